@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import token_codes
+from . import decontaminate, pieces, token_codes
 
 
 def queries() -> dict:
-    return {"op1_token_codes": token_codes.op1_token_codes}
+    return {
+        "op1_token_codes": token_codes.op1_token_codes,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_pieces": pieces.op10_pieces,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -169,7 +169,7 @@ class Memo:
         slot = self.find(h, h2)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            if self.size + len(new) > self.limit and self.size:
+            if self.size and (self.size + len(new) > self.limit or self.used > 32 * self.limit):
                 self.clear()
                 new = np.arange(len(h))
             _, one = np.unique(h[new], return_index=True)
