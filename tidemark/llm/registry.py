@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, token_codes
+from . import decontaminate, pieces, secrets, sharding, token_codes
 
 
 def queries() -> dict:
     return {
         "op1_token_codes": token_codes.op1_token_codes,
+        "op3_jump_shards": sharding.op3_jump_shards,
+        "op6_secrets": secrets.op6_secrets,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_pieces": pieces.op10_pieces,
     }
