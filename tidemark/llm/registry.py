@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, secrets, sharding, token_codes
+from . import decontaminate, near_duplicates, pieces, secrets, sharding, token_codes, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_codes": token_codes.op1_token_codes,
+        "op2_warc": warc.op2_warc,
         "op3_jump_shards": sharding.op3_jump_shards,
         "op6_secrets": secrets.op6_secrets,
+        "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_pieces": pieces.op10_pieces,
     }
