@@ -43,6 +43,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now rather than when the driver's JVM next collects."""
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         jvm, hconf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_duplicates, pieces, secrets, sharding, token_codes, warc
+from . import decontaminate, near_duplicates, pieces, repeats, secrets, sharding, token_codes, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_warc": warc.op2_warc,
         "op3_jump_shards": sharding.op3_jump_shards,
         "op6_secrets": secrets.op6_secrets,
+        "op7_repeats": repeats.op7_repeats,
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_pieces": pieces.op10_pieces,
