@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_duplicates, pieces, repeats, secrets, sharding, token_codes, warc
+from . import decontaminate, near_duplicates, neighbours, pieces, quality, repeats, secrets, sharding, token_codes, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_warc": warc.op2_warc,
         "op3_jump_shards": sharding.op3_jump_shards,
         "op6_secrets": secrets.op6_secrets,
+        "op4_quality": quality.op4_quality,
+        "op5_neighbours": neighbours.op5_neighbours,
         "op7_repeats": repeats.op7_repeats,
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_neighbours": neighbours.ORACLE_SQL}
