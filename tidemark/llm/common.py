@@ -75,6 +75,13 @@ def write_file(uri: str, name: str, parts, attempt: int) -> None:
     f.move(temp, f"{base}/{name}")
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in parts of so many rows: what is made of a part as Python objects stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 

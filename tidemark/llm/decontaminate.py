@@ -146,7 +146,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wor
 
         def run(batches):
             found = _built(shared, window)
-            for b in batches:
+            for b in common.slices(batches):
                 n, hit, items = [], [], []
                 for t in _texts(b.column(1)):
                     words = words_of(t)
@@ -167,7 +167,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wor
 
         def run(batches, shared=shared):
             found = _built(shared, window)
-            for b in batches:
+            for b in common.slices(batches):
                 n, at, items = [], [], []
                 for t in _texts(b.column(1)):
                     words = words_of(t)
@@ -197,7 +197,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wo
 
     def run(batches):
         found = _built(shared, window)
-        for b in batches:
+        for b in common.slices(batches):
             keep = []
             for t in _texts(b.column(at)):
                 words = words_of(t)

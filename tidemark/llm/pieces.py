@@ -187,7 +187,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         coder = piece_tokenizer(model)
-        for b in batches:
+        for b in common.slices(batches):
             texts, doc = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], b.column(0)
             done = 0
             for ids, ends in coder.encode(texts):
@@ -203,7 +203,7 @@ def digest_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         coder = piece_tokenizer(model)
-        for b in batches:
+        for b in common.slices(batches):
             texts, n, one, two = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], [], [], []
             for ids, ends in coder.encode(texts):
                 n.append(np.diff(ends))

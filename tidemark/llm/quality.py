@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on a bounded sample of the labelled documents."""
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             texts, grade = _texts(b.column(1)), b.column(2).to_numpy()
             for i, j in words.groups(texts):
                 text, bucket, n = features(texts[i:j])
@@ -190,7 +190,7 @@ def score_documents(docs: DataFrame, model: CumulativeLink | None, least_tail: f
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             grade, tail, known, keep = _judged(_texts(b.column(1)), shared.value, least_tail)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(grade, 6), mask=~known), pa.array(np.round(tail, 6), mask=~known), pa.array(keep)], ["doc_id", "expected_grade", "tail_probability", "keep"])
 
@@ -203,7 +203,7 @@ def keep_good(docs: DataFrame, model: CumulativeLink | None, least_tail: float =
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             yield b.filter(pa.array(_judged(_texts(b.column(at)), shared.value, least_tail)[3]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -100,7 +100,7 @@ def _shared_keys(docs: DataFrame, window: int, scratch: common.Scratch) -> tuple
     """((doc_id, tag, keys) of documents with shared keys, (doc_id, tag) of whole copies)."""
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             texts = _texts(b.column(2))
             for i, j in words.groups(texts):
                 w = words.Words(texts[i:j])
@@ -140,7 +140,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
     lists, copies = _shared_keys(known, window, scratch)
 
     def windows(batches):
-        for b in batches:
+        for b in common.slices(batches):
             texts, lists = _texts(b.column(2)), b.column(3)
             for i, j in words.groups(texts):
                 w = words.Words(texts[i:j])
@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def finish(batches):
-        for b in batches:
+        for b in common.slices(batches):
             n, gone, sha, texts = [], [], [], []
             for t, at, copy in zip(_texts(b.column(1)), b.column(2), b.column(3).to_pylist(), strict=True):
                 found = t.split()

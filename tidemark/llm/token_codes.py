@@ -198,7 +198,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     def run(batches):
         coder, ids, doc_ids, counts = word_tokenizer(tokenizer), [], [], []
         end = np.array([end_id], np.uint32)
-        for b in batches:
+        for b in common.slices(batches):
             doc_ids.append(np.asarray(b.column(0).fill_null(NULL_ID)))
             for found in coder.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]):
                 small = found.astype(np.uint16) if len(found) == 0 or int(found.max()) < 65536 else found

@@ -118,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         name = f"part-{context.partitionId():06d}.warc.gz"
         fs, base = common.filesystem(folder)
         temp, at, out = f"{base}/.{name}.{context.taskAttemptId()}", 0, None
-        for b in batches:
+        for b in common.slices(batches):
             rows = {k: [] for k in ("key", "page_id", "url", "digest", "record_type", "file", "offset", "length")}
             for page, url, html, refers in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if out is None:
