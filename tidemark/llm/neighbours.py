@@ -158,7 +158,8 @@ def _windows(ordered: DataFrame, every: int, k: int, window: int) -> DataFrame:
             return None
         q, x = np.concatenate(q), np.concatenate(x)
         d = exact_distances(v[q], v[x])
-        best = _best(ids[q], ids[x], d, k)
+        # by place: a query that stands in several orderings has candidates of its own in each
+        best = _best(q, ids[x], d, k)
         return pa.RecordBatch.from_arrays([pa.array(ids[q[best]]), pa.array(ids[x[best]]), pa.array(d[best])], ["query_id", "vec_id", "score"])
 
     def run(batches):

@@ -99,7 +99,7 @@ class CumulativeLink:
         return np.bincount(text, self.weights[bucket], texts)
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, epochs: int = 20, rate: float = 0.3, l1: float = 3e-4, batch: int = 256, least_df: int = 4, seed: int = 7) -> CumulativeLink | None:
+def fit(rows: list[np.ndarray], grade: np.ndarray, steps: int = 1200, rate: float = 0.3, penalty: float = 0.06, batch: int = 256, least_df: int = 4, seed: int = 7) -> CumulativeLink | None:
     """Rows of distinct buckets with their grades.  Buckets of fewer than ``least_df`` rows take no part."""
     if len(np.unique(grade)) < 2:
         return None
@@ -112,9 +112,12 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, epochs: int = 20, rate: float
     start = np.log(below / (1 - below))
     cut = np.array([start[0], np.log(max(start[1] - start[0], 0.1))])
     seen_cut = np.full(2, 1e-2)
+    # noise in a gradient falls with the root of the rows it is summed over, and so does the penalty
+    l1 = penalty / np.sqrt(len(rows))
     random = np.random.default_rng(seed)
+    epochs = max(1, -(-steps * batch // len(rows)))
     for epoch in range(epochs):
-        order, step = random.permutation(len(rows)), rate / (1 + 0.2 * epoch)
+        order, step = random.permutation(len(rows)), rate / (1 + 4.0 * epoch / epochs)
         for i in range(0, len(order), batch):
             part = order[i : i + batch]
             y, index = grade[part], [rows[k] for k in part]
