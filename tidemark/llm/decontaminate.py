@@ -209,3 +209,19 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wo
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item, w, least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+patterns AS (SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS g FROM sized, unnest(range(1, len(w) - m + 2)) AS t(i)),
+lengths AS (SELECT DISTINCT m FROM patterns),
+windows AS (SELECT row, m, i, array_to_string(w[i : i + m - 1], ' ') AS g FROM d CROSS JOIN lengths, unnest(range(1, len(w) - m + 2)) AS t(i)),
+found AS (SELECT row, windows.m AS m, i, item FROM windows JOIN patterns ON windows.m = patterns.m AND windows.g = patterns.g),
+words AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + m)) AS p FROM found) GROUP BY 1),
+items AS (SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT row, item FROM found) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
+"""

@@ -255,4 +255,16 @@ def read_archives(spark: SparkSession, top: list[dict]) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = common.Scratch(spark, "warc")
     entries = scratch.keep(write_archives(common.table(spark, sf_dir, "pages"), scratch.path("warc")), "entries")
-    return read_archives(spark, write_index(entries, scratch.path("index")))
+    return read_archives(spark, write_index(entries, scratch.path("index"))).drop("url")
+
+
+_BITS = ", ".join(f"'{k:04b}'" for k in range(16))
+_FIVE = " + ".join(f"{16 >> j} * CAST(substr(bits, 5 * k + {j + 1}, 1) AS INTEGER)" for j in range(5))
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: list_extract([{_BITS}], strpos('0123456789abcdef', substr(h, i, 1)))), '') AS bits FROM p),
+f AS (SELECT h, payload_bytes, min(page_id) AS least FROM p GROUP BY 1, 2)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest,
+  CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
+FROM b JOIN f USING (h, payload_bytes)
+"""
