@@ -107,3 +107,40 @@ def missing_with_reason(genes: DataFrame, result: DataFrame) -> DataFrame:
     tested = result.where("tested").select("celltype", "gene")
     lost = genes.join(tested, ["celltype", "gene"], "left_anti")
     return lost.join(result.select("celltype", "gene", "skip_reason"), ["celltype", "gene"], "left").fillna("absent", ["skip_reason"])
+
+
+def sensitivity(a: DataFrame, b: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Two runs of one test (other order, other engine): greatest changes, changed calls, whether all is identical."""
+    one = a.select("celltype", "gene", F.col("log2fc").alias("x"), F.col("neglog10p").alias("p"), F.col("fdr").alias("f"))
+    two = b.select("celltype", "gene", F.col("log2fc").alias("y"), F.col("neglog10p").alias("q"), F.col("fdr").alias("g"))
+    j = one.join(two, ["celltype", "gene"])
+    sig = lambda c: F.coalesce(F.col(c) < alpha, F.lit(False))
+    return j.groupBy("celltype").agg(
+        F.count("*").alias("n_genes"), F.max(F.abs(F.col("x") - F.col("y"))).alias("max_log2fc"), F.max(F.abs(F.col("p") - F.col("q"))).alias("max_neglog10p"), F.max(F.abs(F.col("f") - F.col("g"))).alias("max_fdr"),
+        F.count_if(sig("f") != sig("g")).alias("changed_calls"), F.bool_and(F.col("x").eqNullSafe(F.col("y")) & F.col("p").eqNullSafe(F.col("q")) & F.col("f").eqNullSafe(F.col("g"))).alias("identical"),
+    )
+
+
+def boundary_reason(fdr_a: Column, fdr_b: Column, alpha: float = 0.05, near: float = 0.2) -> Column:
+    """Why a gene is called by one run only: untested in one, near the threshold in both, or a real difference."""
+    close = lambda q: F.abs(q - alpha) <= near * alpha
+    return F.when(fdr_a.isNull() | fdr_b.isNull(), "untested_in_one").when(close(fdr_a) & close(fdr_b), "near_boundary").otherwise("different")
+
+
+def refit_summary(full: DataFrame, part: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """A fit on fewer samples against the full one: calls kept, lost and gained, correlation and median change of effects."""
+    j = full.select("celltype", "gene", F.col("log2fc").alias("x"), F.coalesce(F.col("fdr") < alpha, F.lit(False)).alias("s")).join(
+        part.select("celltype", "gene", F.col("log2fc").alias("y"), F.coalesce(F.col("fdr") < alpha, F.lit(False)).alias("t")), ["celltype", "gene"]
+    )
+    both, either = F.count_if(F.col("s") & F.col("t")), F.count_if(F.col("s") | F.col("t"))
+    return j.groupBy("celltype").agg(
+        F.try_divide(both, either).alias("jaccard"), F.count_if(F.col("s") & ~F.col("t")).alias("lost"), F.count_if(~F.col("s") & F.col("t")).alias("gained"),
+        F.corr("x", "y").alias("pearson"), F.median(F.abs(F.col("x") - F.col("y"))).alias("median_change"),
+    )
+
+
+def verdict(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Claims (name, value) against expectations (name, expected, tolerance): OK, MISMATCH, or MISSING."""
+    j = expected.join(found, "name", "left")
+    ok = F.abs(F.col("value") - F.col("expected")) <= F.col("tolerance")
+    return j.withColumn("status", F.when(F.col("value").isNull(), "MISSING").when(ok, "OK").otherwise("MISMATCH"))

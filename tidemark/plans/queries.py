@@ -704,6 +704,47 @@ def streaming_windows(spark, sf):
     return spark.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
+@query(TWO + """, j AS (SELECT celltype, ma.log2fc AS x, mb.log2fc AS y, ma.nlp AS p, mb.nlp AS q, ma.fdr AS f, mb.fdr AS g FROM ma JOIN mb USING (celltype, gene))
+SELECT celltype, count(*) AS n_genes, round(max(abs(x - y)), 6) AS max_log2fc, round(max(abs(p - q)), 6) AS max_neglog10p, round(max(abs(f - g)), 6) AS max_fdr, count(*) FILTER (coalesce(f < 0.3, false) <> coalesce(g < 0.3, false)) AS changed_calls,
+bool_and(x IS NOT DISTINCT FROM y AND p IS NOT DISTINCT FROM q AND f IS NOT DISTINCT FROM g) AS identical FROM j GROUP BY 1""")
+def order_sensitivity(spark, sf):
+    a, b = _two_methods(spark, sf)
+    return compare.sensitivity(a, b, 0.3).select("celltype", "n_genes", *r6("max_log2fc", "max_neglog10p", "max_fdr"), "changed_calls", "identical")
+
+
+@query(TWO + " SELECT celltype, gene, CASE WHEN ma.fdr IS NULL OR mb.fdr IS NULL THEN 'untested_in_one' WHEN abs(ma.fdr - 0.5) <= 0.2 * 0.5 AND abs(mb.fdr - 0.5) <= 0.2 * 0.5 THEN 'near_boundary' ELSE 'different' END AS reason FROM ma JOIN mb USING (celltype, gene)")
+def boundary_class(spark, sf):
+    a, b = _two_methods(spark, sf)
+    j = a.select("celltype", "gene", F.col("fdr").alias("f")).join(b.select("celltype", "gene", F.col("fdr").alias("g")), ["celltype", "gene"])
+    return j.select("celltype", "gene", compare.boundary_reason(F.col("f"), F.col("g"), 0.5).alias("reason"))
+
+
+def _welch_sql(name: str, where: str) -> str:
+    """The sample-level statistic over some donors, under CTE names of its own."""
+    return f""", g_{name} AS (SELECT * FROM good WHERE {where}),
+pbd_{name} AS (SELECT g.celltype, g.sample, g.cond, v.gene, coalesce(pb.n, 0) AS n FROM g_{name} g CROSS JOIN var v LEFT JOIN pb ON pb.celltype = g.celltype AND pb.sample = g.sample AND pb.gene = v.gene)""" + WELCH.replace("pbd", f"pbd_{name}").replace("lib", f"lib_{name}").replace("wm", f"wm_{name}").replace("welch AS", f"welch_{name} AS")
+
+
+@query(WITH_PB + _welch_sql("a", "true") + _welch_sql("b", "donor % 5 <> 0") + """, j AS (SELECT celltype, a.lfc AS x, b.lfc AS y, coalesce(abs(a.t) > 1.6, false) AS s, coalesce(abs(b.t) > 1.6, false) AS t FROM welch_a a JOIN welch_b b USING (celltype, gene))
+SELECT celltype, round(count(*) FILTER (s AND t) / nullif(count(*) FILTER (s OR t), 0)::DOUBLE, 6) AS jaccard, count(*) FILTER (s AND NOT t) AS lost, count(*) FILTER (NOT s AND t) AS gained, round(corr(x, y), 6) AS pearson, round(median(abs(x - y)), 6) AS median_change FROM j GROUP BY 1""")
+def subset_refit(spark, sf):
+    m = orders_by_part(spark, sf)
+    meta = pseudobulk.samples(m.obs)
+    pb = pseudobulk.sums(m.expr, m.obs, meta, m.var)
+    named = lambda df: pseudobulk.welch(df).select("celltype", "gene", F.col("pb_log2FC").alias("log2fc"), F.when(F.abs("pb_stat") > 1.6, 0.01).otherwise(0.5).alias("fdr"))
+    return compare.refit_summary(named(pb), named(pb.where("donor % 5 <> 0"))).select("celltype", F.round("jaccard", 6).alias("jaccard"), "lost", "gained", *r6("pearson", "median_change"))
+
+
+@query(BASE + " SELECT 'n_cells' AS name, 'OK' AS status UNION ALL SELECT 'n_celltypes', 'OK' UNION ALL SELECT 'n_genes', 'MISMATCH' UNION ALL SELECT 'n_planets', 'MISSING'")
+def claims(spark, sf):
+    m = orders_by_part(spark, sf)
+    n = m.obs.agg(F.count("*").cast("double").alias("value")).select(F.lit("n_cells").alias("name"), "value")
+    n = n.unionByName(m.obs.agg(F.count_distinct("celltype").cast("double").alias("value")).select(F.lit("n_celltypes").alias("name"), "value"))
+    n = n.unionByName(m.var.agg(F.count("*").cast("double").alias("value")).select(F.lit("n_genes").alias("name"), "value"))
+    expected = spark.createDataFrame([("n_cells", 0.0, 1e12), ("n_celltypes", 5.0, 0.0), ("n_genes", -1.0, 0.5), ("n_planets", 8.0, 0.0)], "name string, expected double, tolerance double")
+    return compare.verdict(n, expected).select("name", "status")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the whole two-part result of the driver's orders."""
     m = orders_by_part(spark, sf)
