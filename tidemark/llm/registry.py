@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_neighbours": neighbours.ORACLE_SQL}
+    return {
+        "op2_warc": warc.ORACLE_SQL,
+        "op3_jump_shards": sharding.ORACLE_SQL,
+        "op5_neighbours": neighbours.ORACLE_SQL,
+        "op6_secrets": secrets.ORACLE_SQL,
+        "op7_repeats": repeats.ORACLE_SQL,
+        "op9_decontaminate": decontaminate.ORACLE_SQL,
+    }

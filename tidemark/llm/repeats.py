@@ -204,3 +204,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, row, i, array_to_string(w[i : i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+first AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY 1),
+gone AS (SELECT DISTINCT row, p FROM (SELECT row, unnest(range(i, i + 13)) AS p FROM windows JOIN first USING (g) WHERE doc_id > least)),
+words AS (SELECT row, i AS p, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM words ANTI JOIN gone USING (row, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (row)
+"""

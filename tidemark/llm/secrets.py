@@ -192,3 +192,41 @@ def _free(name: str, taken: list[str]) -> str:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(common.table(spark, sf_dir, "documents"))
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _places(name: str, pattern: str, kind: int) -> str:
+    """CTE with the spans of all matches of a pattern in table d: what lies between matches and their lengths add up."""
+    p = _quoted(pattern)
+    return f"""{name}_m AS (SELECT row, regexp_extract_all(text, {p}) AS m, string_split_regex(text, {p}) AS parts, text FROM d WHERE regexp_matches(text, {p})),
+{name}_a AS (SELECT row, i, m[i] AS s, list_sum(list_transform(parts[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS a FROM {name}_m, unnest(range(1, len(m) + 1)) AS t(i)),
+{name} AS (SELECT row, i, s, CAST(a AS BIGINT) AS a, {kind} AS kind, CAST(a + length(s) AS BIGINT) AS b FROM {name}_a)"""
+
+
+def _oracle(rule: EntropyRule = EntropyRule()) -> str:
+    w = rule.window
+    table = ", ".join(str(round(c * math.log2(c) * UNIT) if c else 0) for c in range(w + 1))
+    limit = " ".join(f"WHEN regexp_matches(s, {_quoted(p)}) THEN {round((w * math.log2(w) - w * bits) * UNIT)}" for p, bits in rule.classes)
+    allowed = " AND ".join(f"NOT regexp_matches(s, {_quoted(p)})" for p in rule.allowed)
+    names = ", ".join(_quoted(k) for k in KINDS)
+    said = f"string_agg(list_extract([{names}], kind + 1) || ':' || a || ':' || b, ',' ORDER BY a, kind, b)"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
+{_places("assign0", ASSIGN, 0)}, {_places("access", ACCESS, 1)}, {_places("hexes", HEX, 2)}, {_places("candidates", rule.candidate, 3)},
+assign AS (SELECT x.* FROM assign0 x JOIN d USING (row) WHERE length(regexp_extract_all(text, {_quoted(ASSIGN)}, 2)[i]) >= 8),
+base AS (SELECT row, a, kind, b FROM assign UNION ALL SELECT row, a, kind, b FROM access UNION ALL SELECT row, a, kind, b FROM hexes),
+wanted AS (SELECT row, s, a, CASE {limit} END AS most FROM candidates c WHERE {allowed} AND NOT EXISTS (SELECT 1 FROM base WHERE base.row = c.row AND base.a < c.b AND c.a < base.b)),
+windows AS (SELECT row, a, most, i, substr(s, i + 1, {w}) AS x FROM wanted, unnest(range(0, length(s) - {w - 1})) AS t(i)),
+sums AS (SELECT *, list_sum(list_transform(list_distinct(string_split(x, '')), lambda ch: list_extract([{table}], {w} - length(replace(x, ch, '')) + 1))) AS total FROM windows),
+added AS (SELECT row, CAST(a + min(i) AS BIGINT) AS a, 3 AS kind, CAST(a + max(i) + {w} AS BIGINT) AS b FROM sums WHERE total <= most GROUP BY row, sums.a),
+one AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {said} AS s FROM base GROUP BY 1),
+two AS (SELECT row, {said} AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(one.s, '')) AS base_sha256, coalesce(two.s, '') AS spans
+FROM d LEFT JOIN one USING (row) LEFT JOIN two USING (row)
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -92,3 +92,31 @@ def write_shards(docs: DataFrame, path: str, shards: int) -> None:
 
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(common.table(spark, sf_dir, "documents"), 8)
+
+
+def _crc_table() -> list[int]:
+    """The table of the CRC-32 that zlib computes, from its polynomial."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT coalesce(doc_id, 0) AS k FROM documents),
+walk(k, x, b, j) AS (
+  SELECT k, (CAST(k AS HUGEINT) + 18446744073709551616) % 18446744073709551616, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM ids
+  UNION ALL
+  SELECT k, y, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(y // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT k, b, j, (x * {MULTIPLIER}::HUGEINT + 1) % 18446744073709551616 AS y FROM walk WHERE j < 9)
+),
+homes AS (SELECT k, CAST(max(b) FILTER (b < 8) AS INTEGER) AS shard, CAST(max(b) FILTER (b < 9) AS INTEGER) AS grown_shard FROM walk GROUP BY 1),
+crc AS (SELECT [{", ".join(map(str, _crc_table()))}]::BIGINT[] AS t),
+d AS (SELECT doc_id, coalesce(doc_id, 0) AS k, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, k, size, xor(list_reduce(bytes, lambda s, b: xor(s >> 8, t[xor(s & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM d CROSS JOIN crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard
+FROM c JOIN homes USING (k)
+"""
