@@ -59,7 +59,7 @@ def design_effect(expr: DataFrame, obs: DataFrame) -> DataFrame:
     x = expr.join(obs.select("cell_id", "celltype", "donor"), "cell_id").groupBy("celltype", "donor", "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     # donors without any value of a gene have mean 0: their cells come in by totals
     total = n.groupBy("celltype").agg(F.sum("n").alias("cells"), F.count("*").alias("donors"), F.sum(F.col("n") * F.col("n")).alias("n2"))
-    g = x.join(F.broadcast(n), ["celltype", "donor"]).groupBy("celltype", "gene").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
+    g = x.join(n, ["celltype", "donor"]).groupBy("celltype", "gene").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     j = g.join(F.broadcast(total), "celltype")
     between = (F.col("b") - F.col("s") * F.col("s") / F.col("cells")) / (F.col("donors") - 1)
     within = (F.col("q") - F.col("b")) / (F.col("cells") - F.col("donors"))

@@ -29,7 +29,7 @@ def sums(counts: DataFrame, obs: DataFrame, meta: DataFrame, dense_over: DataFra
     x = counts.join(obs.select("cell_id", *keys), "cell_id").groupBy(*keys, "gene").agg(F.rint(F.sum("n")).cast("long").alias("n"))
     named = meta.select(*keys, "sample")
     if dense_over is None:
-        return x.join(F.broadcast(named), keys).select("celltype", "sample", "donor", "cond", "gene", "n")
+        return x.join(named, keys).select("celltype", "sample", "donor", "cond", "gene", "n")
     every = named.crossJoin(dense_over.select("gene"))
     return every.join(x, [*keys, "gene"], "left").fillna(0, ["n"]).select("celltype", "sample", "donor", "cond", "gene", "n")
 
