@@ -652,10 +652,10 @@ def contract_checks(spark, sf):
     return prep.check_contract(m.obs, m.expr, unpaired=True)
 
 
-@query(PB_DENSE + ", m AS (SELECT celltype, gene, avg(n) AS mean, var_samp(n) AS var FROM pbd GROUP BY 1, 2) SELECT celltype, gene, round(mean, 9) AS mean, round(least(20.0, greatest(1e-3, coalesce((var - mean) / nullif(mean * mean, 0), 1e-3))), 9) AS dispersion FROM m")
+@query(PB_DENSE + ", m AS (SELECT celltype, gene, avg(n) AS mean, var_samp(n) AS var FROM pbd GROUP BY 1, 2) SELECT celltype, gene, round(mean, 9) AS mean, round(least(20.0, greatest(1e-3, coalesce((var - mean) / nullif(mean * mean, 0), 1e-3))), 4) AS dispersion FROM m")
 def nb_params(spark, sf):
     m = orders_by_part(spark, sf)
-    return prep.nb_moments(pseudobulk.sums(m.expr, m.obs, pseudobulk.samples(m.obs), m.var)).select("celltype", "gene", F.round("mean", 9).alias("mean"), F.round("dispersion", 9).alias("dispersion"))
+    return prep.nb_moments(pseudobulk.sums(m.expr, m.obs, pseudobulk.samples(m.obs), m.var)).select("celltype", "gene", F.round("mean", 9).alias("mean"), F.round("dispersion", 4).alias("dispersion"))
 
 
 @query(WITH_SUFF + " SELECT celltype, round(regr_slope(s_test, s_ref), 6) AS slope, round(corr(s_test, s_ref) ^ 2, 6) AS r2 FROM dense GROUP BY 1")
