@@ -63,7 +63,7 @@ def spans(buf: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, n
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def groups(texts: list[bytes], size: int = 1 << 20):
+def groups(texts: list[bytes], size: int = (1 << 20) - 64):
     """(first, last) of consecutive texts of together about ``size`` bytes, one at least."""
     first, n = 0, 0
     for i, t in enumerate(texts):
