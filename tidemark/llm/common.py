@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -75,6 +76,18 @@ def write_file(uri: str, name: str, parts, attempt: int) -> None:
     f.move(temp, f"{base}/{name}")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what is run inside: rows that carry two whole texts are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batches, rows: int = 1024):
     """Arrow batches in parts of so many rows: what is made of a part as Python objects stays small."""
     for b in batches:
