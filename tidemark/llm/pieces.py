@@ -56,7 +56,7 @@ class PieceTokenizer:
         self.cut_space = not any(MARK in p.lstrip(MARK) for p in self.rank)
         self.cut_line = not any("\n" in p for p in self.rank)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path) if check else None
-        self.memo = words.Memo(np.uint16 if len(proto.pieces) < 65536 else np.uint32, 1_400_000)
+        self.memo = words.Memo(np.uint16 if len(proto.pieces) < 65536 else np.uint32, 700_000)
         raw = {i: bytes([b]) for b, i in self.byte.items()}
         said = [raw.get(i, b"" if p.type == CONTROL else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()) for i, p in enumerate(proto.pieces)]
         self.surface = table_of(said)
