@@ -53,3 +53,38 @@ def test_classes(spark, odd, empty):
     assert odd_rows.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
     assert {r.doc_id: r.class_id for r in odd_rows.collect()}[3] == 1
     assert n.classes(empty).count() == 0 and n.keep_first(odd).columns == odd.columns
+
+
+def test_pairs_of_a_family_without_an_original(spark):
+    """All texts mutually a little under the threshold, with pairs over it: no leader stands for its bucket."""
+    draw = random.Random(7)
+    base, docs = [f"q{draw.randrange(10**9)}" for _ in range(4000)], []
+    for p in range(24):
+        at = draw.sample(range(5, 4000, 5), 88)
+        for half in (at[12:50], at[50:]):
+            w = list(base)
+            for k in at[:12]:
+                w[k] = f"shared{p}_{k}"
+            for k in half:
+                w[k] = f"own{p}_{k}"
+            docs.append((len(docs), " ".join(w)))
+    w = words.Words([t.encode() for _, t in docs])
+    text, shingle, count = n.shingles(w)
+    parts = [(shingle[text == i], count[text == i]) for i in range(len(docs))]
+    root, linked, apart = list(range(len(docs))), 0, 0
+    for i in range(len(docs)):
+        for j in range(i):
+            if n.probability_jaccard(parts[i], parts[j]) >= 0.8:
+                linked += 1
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+            else:
+                apart += 1
+    assert linked == 24 and apart > 1000
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    before = n.TILE
+    try:
+        n.TILE = 8  # buckets of several tiles
+        assert {r.doc_id: r.class_id for r in n.classes(df).collect()} == dict(enumerate(root))
+    finally:
+        n.TILE = before

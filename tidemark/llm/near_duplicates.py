@@ -9,8 +9,11 @@ their probability Jaccard similarity J_P.
 BANDS bands of ROWS registers give candidate buckets: at J_P = 0.8 a pair shares no bucket with
 probability (1 - 0.8**6)**32 < 1e-4.  A bucket isn't expanded into pairs.  Its leader is the member
 that shares most with others over CENTRAL bands (an original among its copies); each member is verified
-against the leader by the exact J_P of the whole texts.  Members that fail go on in buckets refined
-by a second band, with leaders of their own, and again; links of at least ``threshold`` make classes.
+against the leader by the exact J_P of the whole texts.  Links of at least ``threshold`` make classes.
+In buckets that then still hold members of different classes every pair of different classes is a
+candidate, whether its members are like their leaders or not: the members meet in tiles of TILE, a
+pair whose registers agree less often than a pair of ``threshold`` does but once in a million
+(1 / RARE, beside the bands' 1e-4) is passed over, and the others are verified by their exact J_P too.
 
 Defined cases: equal texts are one text (their least doc_id stands for them); a text of one to four
 words is one shingle; a text without words, and a null text, links to equal texts only, null to
@@ -21,6 +24,7 @@ are ignored, or kept by ``keep_first``.
 from __future__ import annotations
 
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,10 @@ BANDS, ROWS = 32, 6
 M = BANDS * ROWS
 #: Bands that tell how central a document is.
 CENTRAL = 10
+#: Members of a bucket that meet in one task are two tiles of about so many at most.
+TILE = 512
+#: One in so many pairs of the threshold agrees in fewer registers than ``least_agreement``.
+RARE = 1_000_000
 U = np.uint64
 #: A list of pairs up to this long is broadcast (16 bytes a pair); a longer one is shuffled with the texts.
 SMALL = 100_000
@@ -97,6 +105,16 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return sum(float(c / (n * np.maximum(pairs[0] / s, pairs[1] / t)).sum()) for s, t, c in zip(p, q, n[both], strict=True))
 
 
+def least_agreement(threshold: float, m: int = M) -> int:
+    """The registers that a pair of J_P = threshold agrees in, but for one pair in RARE (registers are independent)."""
+    below = 0.0
+    for c in range(m + 1):
+        below += comb(m, c) * threshold**c * (1 - threshold) ** (m - c)
+        if below > 1 / RARE:
+            return c
+    return m
+
+
 def _text_bytes(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -107,13 +125,14 @@ def _sign(batches):
         for i, j in words.groups(texts, (2 << 20) - 64):
             w = words.Words(texts[i:j])
             text, shingle, weight = shingles(w)
-            keys = bands(signatures(text, shingle, weight, j - i))
+            winner = signatures(text, shingle, weight, j - i)
+            keys, sketch = bands(winner), (winner & U(255)).astype(np.uint8)
             some = np.zeros(j - i, bool)
             some[text] = True
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([blake2b(t, digest_size=16).digest() for t in texts[i:j]]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[some].ravel()))],
-                ["doc_id", "digest", "bands"],
+                [ids.slice(i, j - i), pa.array([blake2b(t, digest_size=16).digest() for t in texts[i:j]]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[some].ravel())), pa.array([x.tobytes() for x in sketch])],
+                ["doc_id", "digest", "bands", "sketch"],
             )
 
 
@@ -158,43 +177,88 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: common.Scratch, name:
         return scratch.keep(out, f"{name}-verified")
 
 
+def _tile_pairs(root: np.ndarray, side: np.ndarray, sketch: np.ndarray, apart: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different classes that agree in ``least`` registers, of two tiles (``apart``) or within one."""
+    one = np.flatnonzero(side == 0) if apart else np.arange(len(root))
+    two = np.flatnonzero(side == 1) if apart else one
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, i in enumerate(one):
+        other = two if apart else two[k + 1 :]
+        other = other[root[other] != root[i]]
+        other = other[(sketch[other] == sketch[i]).sum(1) >= least]
+        a.append(np.full(len(other), i))
+        b.append(other)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _rest(reps: DataFrame, roots: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
+    """(doc, leader) with leader < doc: the pairs that share a bucket and aren't of one class by ``roots``.
+
+    A bucket of n members is dealt to tiles; two tiles meet in one task, so that no task holds a whole large bucket.
+    """
+    own = reps.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root"), "bands", "sketch")
+    own = scratch.keep(own, "own")
+    rows = own.select("doc", "root", F.explode("bands").alias("key"))
+    mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = scratch.keep(mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "mixed")
+    met = rows.join(mixed, "key").select("doc", "root", "key", "tiles", F.pmod(F.xxhash64("doc"), "tiles").cast("int").alias("own"))
+    met = met.select("doc", "root", "key", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+    met = met.select("doc", "root", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"))
+    met = met.join(own.select("doc", "sketch"), "doc").select("key", "i", "j", "side", "doc", "root", "sketch")
+    least = least_agreement(threshold)
+
+    def pairs(held, ends):
+        key, i, j, side, doc, root, sketch = held
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, last in zip(ends[:-1], ends[1:], strict=True):
+            if last - first > 1:
+                x, y = _tile_pairs(root[first:last], side[first:last], sketch[first:last], i[first] != j[first], least)
+                a.append(doc[first:last][x])
+                b.append(doc[first:last][y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["doc", "leader"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [b.column(c).to_numpy() for c in range(6)] + [np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, M)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            starts = np.flatnonzero(np.any([np.diff(x) != 0 for x in held[:3]], axis=0)) + 1
+            if len(starts):
+                # the last tiles may go on in the next batch
+                yield pairs(held, np.concatenate([[0], starts]))
+                held = [x[starts[-1] :] for x in held]
+        if held is not None:
+            yield pairs(held, [0, len(held[0])])
+
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "doc long, leader long").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), n_copies (rows with an equal text), n_links (verified links of its text)."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    signed = scratch.keep(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_sign, "doc_id long, digest binary, bands array<long>"), "signed")
+    signed = scratch.keep(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sketch binary"), "signed")
     first = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     first = scratch.keep(first, "first")
 
     # texts and bands of one document for each distinct text
-    reps = signed.join(first.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("doc"), "bands").dropDuplicates(["doc"])
+    reps = signed.join(first.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("doc"), "bands", "sketch").dropDuplicates(["doc"])
     scored = reps.join(_central(reps, scratch), "doc", "left").select("doc", F.coalesce("score", F.lit(0)).alias("score"), "bands")
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
 
     led = _led(scored.select("doc", "score", F.explode("bands").alias("key")), scratch, "one")
-    links = done = None
-    for name in ("one", "two", "three"):
-        fresh = led.select("doc", "leader")
-        if done is not None:
-            fresh = fresh.distinct().join(done, ["doc", "leader"], "left_anti")
-        tested = _verified(fresh, texts, scratch, name)
-        links = tested if links is None else links.unionByName(tested)
-        done = links.select("doc", "leader")
-        if name == "three":
-            break
-        # members that aren't like their leader: the same bucket, refined by each other band
-        failed = led.join(links.where(F.col("similarity") >= threshold).select("doc", "leader"), ["doc", "leader"], "left_anti").select("key", "doc").distinct()
-        if name == "one":
-            # two bands name one bucket, in whichever of them a member failed
-            finer = failed.join(scored, "doc").select("doc", "score", "key", F.explode("bands").alias("other")).where("key <> other")
-            finer = finer.select("doc", "score", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-        else:
-            finer = failed.join(scored, "doc").select("doc", "score", "key")
-        led = _led(finer, scratch, f"{name}-finer")
-        if led.isEmpty():
-            break
-    kept = scratch.keep(links.where(F.col("similarity") >= threshold).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "links")
+    like = F.col("similarity") >= threshold
+    tested = _verified(led.select("doc", "leader"), texts, scratch, "one")
+    close = scratch.keep(tested.where(like).select(F.col("doc").alias("a"), F.col("leader").alias("b")), "close")
+    rest = _rest(reps, components(close, common.Scratch(spark, "near")), threshold, scratch)
+    # pairs that were verified already, whichever member led
+    done = tested.select(F.least("doc", "leader").alias("leader"), F.greatest("doc", "leader").alias("doc"))
+    links = tested.unionByName(_verified(rest.join(done, ["doc", "leader"], "left_anti"), texts, scratch, "two"))
+    kept = scratch.keep(links.where(like).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct(), "links")
     roots = components(kept, scratch)
     degree = kept.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = first.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
