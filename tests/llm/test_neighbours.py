@@ -35,3 +35,29 @@ def test_against_brute_force(spark):
     wide = {(r.query_id, r.vec_id) for r in n.nearest(df, every=20, k=10, window=60, exact=False).collect() if r.query_id < 300}
     exact = {(q, v) for q, _, v, _ in got if q < 300}
     assert len(wide & exact) / len(exact) > 0.6
+
+
+def test_an_id_that_stands_very_often_near_a_query_counts_once(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, random.standard_normal(8).tolist()) for i in range(200)]
+    rows += [(777, (np.array(rows[q][1]) + 0.01 * random.standard_normal(8)).tolist()) for q in (0, 100) for _ in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    expected = {}
+    for q in (0, 100):
+        least = {}
+        for j, w in rows:
+            if j != q:
+                least[j] = min(least.get(j, 9e9), float(n.exact_distances(np.array([rows[q][1]]), np.array([w]))[0]))
+        expected[q] = [j for _, j in sorted((s, j) for j, s in least.items())][:10]
+    got = n.nearest(df, every=100, k=10, window=400).orderBy("query_id", "rank").collect()
+    assert {q: [r.vec_id for r in got if r.query_id == q] for q in expected} == expected
+    # the windows alone, which hold all rows here
+    alone = n.nearest(df, every=100, k=10, window=1000, exact=False).orderBy("query_id", "rank").collect()
+    assert {q: [r.vec_id for r in alone if r.query_id == q] for q in expected} == expected
+    # a task that trims what it holds: all rows are in reach
+    rows_of, dim = n.valid_vectors(df, "vec_id", "embedding")
+    turn = n.directions(dim)
+    blocks = n._blocks(n._ordered(rows_of, turn, *n._bounds(rows_of, turn)), turn)
+    found = n._checked(blocks.coalesce(1), [(q, rows[q][1], 1e150) for q in expected], turn, dim, 10, hold=100)
+    top = n._top(found, 10).orderBy("query_id", "rank").collect()
+    assert {q: [r.vec_id for r in top if r.query_id == q] for q in expected} == expected

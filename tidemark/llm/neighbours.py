@@ -29,6 +29,8 @@ from . import common
 
 CURVES, DIMS, GRID_BITS = 4, 8, 7
 WINDOW, BLOCK, QUERY_BLOCK = 256, 1024, 20_000
+#: Hits that a task holds before it keeps the k nearest ids of each query.
+HELD = 200_000
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -122,8 +124,12 @@ def _bounds(rows: DataFrame, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k least (score, vec_id) of each query."""
-    order = np.lexsort((vec, score, query))
+    """Indices of the k least (score, vec_id) of each query; an id counts once, at its least score."""
+    order = np.lexsort((score, vec, query))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(query[order]) != 0) | (np.diff(vec[order]) != 0)
+    once = order[new]
+    order = once[np.lexsort((vec[once], score[once], query[once]))]
     q = query[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
     return order[rank < k]
@@ -198,7 +204,7 @@ def _blocks(ordered: DataFrame, turn: np.ndarray) -> DataFrame:
     return ordered.where("curve = 0").mapInArrow(run, "ids array<long>, vectors binary, low array<double>, high array<double>")
 
 
-def _checked(blocks: DataFrame, queries: list[tuple], turn: np.ndarray, dim: int, k: int) -> DataFrame:
+def _checked(blocks: DataFrame, queries: list[tuple], turn: np.ndarray, dim: int, k: int, hold: int = HELD) -> DataFrame:
     """Rows of all blocks that are no farther from a query than its farthest candidate."""
     ids = np.array([q[0] for q in queries], np.int64)
     shared = blocks.sparkSession.sparkContext.broadcast((ids, np.array([q[1] for q in queries], np.float64), np.array([q[2] for q in queries], np.float64)))
@@ -225,17 +231,11 @@ def _checked(blocks: DataFrame, queries: list[tuple], turn: np.ndarray, dim: int
                     d = exact_distances(qv[r], x[c])
                     ok = d <= reach[r]
                     held = [np.concatenate([h, n]) for h, n in zip(held, (r[ok], vec[c[ok]], d[ok]), strict=True)]
-                if len(held[0]) > 200_000:
-                    best = _best(*held, 4 * k)
+                if len(held[0]) > hold:
+                    best = _best(*held, k)
                     held = [h[best] for h in held]
         if len(held[0]):
-            # an id may be there twice; what a task keeps allows for k others still
             q, vec, score = held
-            order = np.lexsort((score, vec, q))
-            q, vec, score = q[order], vec[order], score[order]
-            new = np.ones(len(q), bool)
-            new[1:] = (q[1:] != q[:-1]) | (vec[1:] != vec[:-1])
-            q, vec, score = q[new], vec[new], score[new]
             best = _best(q, vec, score, k)
             yield pa.RecordBatch.from_arrays([pa.array(qid[q[best]]), pa.array(vec[best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
 
