@@ -37,3 +37,11 @@ def test_against_brute_force(spark, odd, empty):
     assert d.find_hits(odd, bench).count() == odd.count()
     assert d.find_hits(empty, bench).count() == 0 and d.find_hits(df, bench.where("false")).where("n_hit > 0").count() == 0
     assert d.keep_clean(odd, bench).columns == odd.columns
+
+
+def test_keep_clean_judges_rows_whatever_the_number_of_blocks(spark):
+    items = [(1, " ".join(f"a{i}" for i in range(30))), (2, " ".join(f"b{i}" for i in range(30)))]
+    docs = [(None, items[0][1]), (None, "clean without an id"), (7, items[1][1]), (7, "clean, though its id is not"), (8, "clean"), (8, "clean")]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    kept = [sorted(((r.doc_id or 0), r.text) for r in d.keep_clean(df, bench, block_words=n).collect()) for n in (4_000_000, 400)]
+    assert kept[0] == kept[1] == sorted((i or 0, t) for i, t in docs if t.startswith("clean"))

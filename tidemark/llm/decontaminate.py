@@ -158,10 +158,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wor
 
         return docs.mapInArrow(run, schema)
 
-    # more blocks than one: each gives the places it hits, joined by a key of the document's row
     scratch = common.Scratch(spark, "decontaminate")
     docs = scratch.keep(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
-    parts = []
+    return _over_blocks(docs, blocks, window, scratch).drop("row")
+
+
+def _over_blocks(docs: DataFrame, blocks: list[list[tuple[str, bytes]]], window: int, scratch: common.Scratch) -> DataFrame:
+    """What ``find_hits`` gives, and row, of (doc_id, text, row): each block gives the places it hits, joined by the row's key."""
+    spark, parts = docs.sparkSession, []
     for k, block in enumerate(blocks):
         shared = spark.sparkContext.broadcast(block)
 
@@ -183,7 +187,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wor
         everything = everything.unionByName(p)
     joined = everything.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     n_hit = F.size("at").cast("long")
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return joined.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 4_000_000) -> DataFrame:
@@ -191,8 +195,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wo
     spark = docs.sparkSession
     blocks = item_blocks(benchmark, window, block_words)
     if len(blocks) > 1:
-        bad = find_hits(docs, benchmark, window, block_words).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+        # rows are judged by a key of their own: a doc_id may be null or stand twice
+        scratch, key = common.Scratch(spark, "decontaminate"), "row_key"
+        while key in {c.lower() for c in docs.columns}:
+            key += "_"
+        rows = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+        judged = _over_blocks(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("row")), blocks, window, scratch)
+        return rows.join(judged.where("contaminated").select(F.col("row").alias(key)), key, "left_anti").select(docs.columns)
     shared, at = spark.sparkContext.broadcast(blocks[0]), docs.columns.index("text")
 
     def run(batches):
