@@ -2,6 +2,7 @@ import random
 from hashlib import sha256
 
 import sentencepiece
+from test_words import thue_morse
 from tidemark.llm import common, pieces
 
 PATH = common.tokenizer_file("piece_bpe_32k.model")
@@ -12,6 +13,7 @@ def test_agenda_agrees_with_the_library():
     draw = random.Random(3)
     texts = ["", " ", "\n", "a▁b ▁ c", "  lead", "trail  ", "x\x00y", "thththe" * 40, ("abtheing" * 30 + " e") * 9]
     texts += ["".join(draw.choice(" ab\n▁é漢.,  the in\t") for _ in range(50)) for _ in range(500)]
+    texts += [f"{thue_morse(n)} {thue_morse(n, 'b', 'a')}" for n in (2048, 4096)]
     out, back = [], []
     for ids, ends in coder.encode([t.encode() for t in texts]):
         out += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]

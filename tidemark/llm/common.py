@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,51 +21,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The cluster's shared folder, with its scheme: ``spark.checkpoint.dir``, or one of our own where that is unset and the master is local (tests).
+
+    A path without a scheme is one of the cluster's default file system, as for Spark, and named so: executors open files by it.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = _OWN_DIR.setdefault(sc.applicationId, "")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that the driver and all executors share")
+        found = _OWN_DIR.get(sc.applicationId)
         if not found:
             found = _OWN_DIR[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
+    p = sc._jvm.org.apache.hadoop.fs.Path(found)
+    found = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables and folders below the shared folder, each under a name that no other run uses."""
+    """Tables and folders below the shared folder, each under a name that no other run uses.
+
+    What a result is read from has to stay; what is left of it goes when the driver's JVM ends.
+    """
+
+    #: Spark deletes a job's shuffle files when the job has ended: its result is a table by then.
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        fs, p = self._hadoop("")
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _hadoop(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and read it back: lineage is cut and lost executors lose nothing."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        with setting(self.spark, self.CLEANUP, "true"):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished jobs now rather than when the driver's JVM next collects."""
-        self.spark._jvm.System.gc()
-
-    def drop(self, name: str = "") -> None:
-        jvm, hconf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        p.getFileSystem(hconf).delete(p, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            fs, p = self._hadoop(name)
+            fs.delete(p, True)
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path in it) for a folder or file; a plain path is a local one."""
+    """(pyarrow file system, path in it) for a folder or file named with its scheme; an absolute path without one is local."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
 
 
@@ -77,15 +98,39 @@ def write_file(uri: str, name: str, parts, attempt: int) -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows for what is run inside: rows that carry two whole texts are wide."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for what is run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what is run inside: rows that carry two whole texts are wide."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+_HELD: dict[tuple, Any] = {}
+
+
+def held(owner: str, key=None, make: Callable[[], Any] = lambda: None):
+    """What a Python worker keeps from task to task for an operator.  One thing at a time: what another left behind goes first."""
+    if (owner, key) not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _HELD[owner, key] = make()
+    return _HELD[owner, key]
 
 
 def slices(batches, rows: int = 1024):

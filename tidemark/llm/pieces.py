@@ -2,7 +2,7 @@
 
 Every symbol pair that stands side by side and makes a piece waits on an agenda ordered by score,
 the leftmost first among equals; the best is merged and its new neighbours join the agenda, until
-none is left.  What is no piece in the end is spelled in byte pieces.
+none is left.  What is no piece in the end is spelled in byte pieces.  Ids are decoded by the library.
 
 No piece of such a vocabulary has a space mark after another character, and none has a line feed,
 so merges never cross those places: a text is the sequence of its segments (a run of spaces with
@@ -55,13 +55,9 @@ class PieceTokenizer:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.cut_space = not any(MARK in p.lstrip(MARK) for p in self.rank)
         self.cut_line = not any("\n" in p for p in self.rank)
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path) if check else None
-        self.memo = words.Memo(np.uint16 if len(proto.pieces) < 65536 else np.uint32, 700_000)
-        raw = {i: bytes([b]) for b, i in self.byte.items()}
-        said = [raw.get(i, b"" if p.type == CONTROL else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()) for i, p in enumerate(proto.pieces)]
-        self.surface = table_of(said)
-        self.decimal = table_of([b"%d," % i for i in range(len(said))])
-        self.leads = np.array([p.type == NORMAL and p.piece.startswith(MARK) for p in proto.pieces])
+        self.library, self.check = sentencepiece.SentencePieceProcessor(model_file=path), check
+        self.memo = words.Memo(np.uint16 if len(proto.pieces) < 65536 else np.uint32, 500_000)
+        self.decimal = table_of([b"%d," % i for i in range(len(proto.pieces))])
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks already."""
@@ -115,7 +111,7 @@ class PieceTokenizer:
         strings, found = [s.decode() for s in new], []
         for s in strings:
             found.append(array("I", self.agenda(s.replace(" ", MARK))))
-        if self.library is not None and self.cut_line:
+        if self.check and self.cut_line:
             line = self.byte[10]
             expected = [self.ids[MARK]]
             for ids in found:
@@ -155,14 +151,9 @@ class PieceTokenizer:
             yield ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(first, at)]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """The text of each run of ids, without the space that stands in front."""
-        pool, at, n = self.surface
-        raw = memoryview(words.gather(pool, at[ids], n[ids]).tobytes())
-        cut = np.concatenate([[0], np.cumsum(n[ids])])[ends]
-        front = np.zeros(len(ends) - 1, np.int64)
-        some = ends[:-1] < ends[1:]
-        front[some] = self.leads[ids[ends[:-1][some]]]
-        return [raw[a:b] for a, b in zip((cut[:-1] + front).tolist(), cut[1:].tolist(), strict=True)]
+        """The text of each run of ids, by the library."""
+        flat = ids.tolist()
+        return [t.encode() for t in self.library.decode([flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], num_threads=1)]
 
     def decimals(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The ids of each run in decimal, joined by commas."""
@@ -172,14 +163,9 @@ class PieceTokenizer:
         return [raw[a : max(a, b - 1)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-_TOKENIZERS: dict[str, PieceTokenizer] = {}
-
-
 def piece_tokenizer(path: str) -> PieceTokenizer:
     """One a Python worker: later tasks in it go on with what is remembered."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = PieceTokenizer(path)
-    return _TOKENIZERS[path]
+    return common.held("pieces", path, lambda: PieceTokenizer(path))
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,9 +9,13 @@ one rank a level; no block is decoded.
 Layout: magic, header length (uint32), JSON header (counts and byte offsets), then the sections:
 doc_ids int64, doc_starts int64 (n_docs + 1), and per level chunks uint8, bitmap uint64, ranks uint64.
 
+A task rolls its files by tokens: it holds the ids of one file (``file_tokens`` and the rest of the
+last document), however many documents its range has.
+
 Defined cases: a null text counts as empty; every document ends with ``end_id``; rows with equal
-doc_id each keep their own entry, ordered by text; a null doc_id sorts first (kept as a flag);
-an empty table gives no files and no rows; other columns are ignored.
+doc_id each keep their own entry, ordered by a hash of the text, so that they may lie in several
+tasks; a null doc_id sorts first (kept as a flag); an empty table gives no files and no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +35,18 @@ from . import common, words
 MAGIC = b"TDAC0001"
 BLOCK = 512
 NULL_ID = -(2**63)
+#: A file is closed when it holds so many tokens.
+FILE_TOKENS = 16_000_000
 
 
 # ---------------------------------------------------------------- the code
 
 
 def encode_levels(ids: np.ndarray) -> list[dict[str, np.ndarray]]:
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], ids
     while True:
         more = rest > 255
-        level = {"chunks": (rest & np.uint64(255)).astype(np.uint8)}
+        level = {"chunks": rest.astype(np.uint8)}
         if not more.any():
             levels.append(level)
             return levels
@@ -50,7 +56,7 @@ def encode_levels(ids: np.ndarray) -> list[dict[str, np.ndarray]]:
         level["bitmap"] = bits.view(np.uint64)
         level["ranks"] = np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.uint64)
         levels.append(level)
-        rest = rest[more] >> np.uint64(8)
+        rest = rest[more] >> rest.dtype.type(8)
 
 
 def file_parts(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
@@ -142,7 +148,7 @@ class WordTokenizer:
         spec["normalizer"], spec["added_tokens"] = None, []
         self.bare = Tokenizer.from_str(json.dumps(spec))
         (self.mark,) = self.bare.encode(self.MARK, add_special_tokens=False).ids
-        self.memo = words.Memo(np.uint32, 1_400_000)
+        self.memo = words.Memo(np.uint32, 1_000_000, 48 << 20)
 
     def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         strings = [c.decode() for c in new]
@@ -175,52 +181,60 @@ class WordTokenizer:
         return out
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """One a Python worker: later tasks in it go on with what is remembered."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return common.held("token_codes", path, lambda: WordTokenizer(path))
 
 
 # ---------------------------------------------------------------- Spark
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> list[dict]:
     """Encode ``docs`` into files in ascending id order; returns the files' directory, one entry a file.
 
     One range shuffle by id; each task encodes and writes its range.  The directory is the only
-    thing that reaches the driver.
+    thing that reaches the driver, an entry for each ``file_tokens`` tokens.
     """
 
     def run(batches):
-        coder, ids, doc_ids, counts = word_tokenizer(tokenizer), [], [], []
-        end = np.array([end_id], np.uint32)
-        for b in common.slices(batches):
-            doc_ids.append(np.asarray(b.column(0).fill_null(NULL_ID)))
-            for found in coder.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]):
+        coder, context = word_tokenizer(tokenizer), TaskContext.get()
+        end, number = np.array([end_id], np.uint32), 0
+        doc_ids, counts, ids, tokens = [], [], [], 0
+
+        def close():
+            nonlocal number, tokens
+            name = f"part-{context.partitionId():06d}-{number:06d}.dac"
+            common.write_file(folder, name, file_parts(np.array(doc_ids), np.array(counts), np.concatenate(ids)), context.taskAttemptId())
+            out = pa.RecordBatch.from_pydict({"part": [context.partitionId()], "number": [number], "file": [f"{folder}/{name}"], "docs": [len(counts)], "tokens": [tokens]})
+            number, tokens = number + 1, 0
+            for x in (doc_ids, counts, ids):
+                x.clear()
+            return out
+
+        for b in common.slices(batches, 256):
+            names = b.column(0).fill_null(NULL_ID).to_pylist()
+            for doc, found in zip(names, coder.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]), strict=True):
                 small = found.astype(np.uint16) if len(found) == 0 or int(found.max()) < 65536 else found
                 ids += [small, end.astype(small.dtype)]
+                doc_ids.append(doc)
                 counts.append(len(found) + 1)
-        if not counts:
-            return
-        context = TaskContext.get()
-        name = f"part-{context.partitionId():06d}.dac"
-        everything = np.concatenate(ids)
-        common.write_file(folder, name, file_parts(np.concatenate(doc_ids), np.array(counts), everything), context.taskAttemptId())
-        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [f"{folder}/{name}"], "docs": [len(counts)], "tokens": [len(everything)]})
+                tokens += len(found) + 1
+                if tokens >= file_tokens:
+                    yield close()
+        if counts:
+            yield close()
 
+    tag = F.xxhash64("text")
     rows = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .repartitionByRange("id")
-        .sortWithinPartitions("id", "text")
-        .mapInArrow(run, "part long, file string, docs long, tokens long")
+        .repartitionByRange("id", tag)
+        .sortWithinPartitions("id", tag, "text")
+        .select("id", "text")
+        .mapInArrow(run, "part long, number long, file string, docs long, tokens long")
         .collect()
     )
     found, start = [], 0
-    for r in sorted(rows, key=lambda r: r.part):
+    for r in sorted(rows, key=lambda r: (r.part, r.number)):
         found.append({"file": r.file, "start": start, "docs": r.docs, "tokens": r.tokens})
         start += r.tokens
     return found
