@@ -2,21 +2,25 @@
 
 A text is a string of words.  A round names blocks of it: equal neighbours form a run, and of two
 neighbours of which the first falls into the left and the second into the right half of the
-alphabet (a bit of the name's hash) a pair; a block's name is the hash of its words, the same name
-in every text on every executor.  Where a block ends depends on the two symbols at its end alone,
-so equal substrings get equal blocks but for a few at their rims.  Two rounds give blocks of one to
-four words, runs aside.
-
-From a block's neighbours follows the stretch of words that fixes the block (its context).  A
-window of 13 words has the blocks whose context lies inside it, the same in whatever text it
-stands; the one with the least hash is its anchor, and the hash of the anchor's context its key
-(a window without such a block, inside a run say, is its own key).  Windows with equal words have equal keys.
-
-1. Keys per document; those in two documents or more are shared (counted before any join).
-2. Windows under shared keys, by two hashes of their words (96 bits) and the least document of each.
-3. Words under windows that start in a smaller document go.
-
-A text that has the same words as that of a smaller document goes whole (from 13 words) and takes no part in step 2.
+alphabet (a bit of the name's hash) a pair.  Where a block ends depends on the two symbols at its end
+alone, so equal substrings get equal blocks but for a few at their rims.  Rounds repeat on the
+names; symbols grow by a third a round.  A task needs no name table to parse: a name is a hash of the
+block's words, the same in every text on every executor.
+
+What is acted upon is named globally, in Spark, by 128 bits of blake2b of the words themselves:
+
+1. High symbols.  The blocks of round HIGH (some 20 words) of at least a window, and each text's
+   root, are grouped over all documents.  A symbol that starts in a smaller document goes whole;
+   the windows inside it are dealt with by that.  A whole copy goes by its root, and all of its
+   blocks occur in its original.
+2. Low symbols.  Every window that no such symbol holds has an anchor: of the blocks of round LOW
+   whose neighbours lie inside the window too, the one with the least hash.  It is the same in
+   whatever text the window stands (a window without such a block, inside a run say, is its own
+   anchor).  Anchors found in two documents or more are shared; only windows under these go on.
+3. Windows under shared anchors are named and grouped; those that start in a smaller document go.
+
+Counts come before joins, and the tables joined are written first: both sides are then plain
+shuffles, whose large partitions (a passage in very many documents) Spark may split.
 
 Defined cases: a null text has no words; fewer than 13 words are never removed; a null doc_id
 compares with nothing and keeps all; rows with equal doc_id don't remove from each other; an empty
@@ -25,8 +29,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b, sha256
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,8 @@ from pyspark.sql import functions as F
 from . import common, words
 
 U = np.uint64
-ROUNDS = 2
+LOW, HIGH = 2, 11
+ROOT, BLOCK, WINDOW = 0, 1, 2
 
 
 def _joined(names: np.ndarray, text: np.ndarray, number: int) -> np.ndarray:
@@ -47,17 +52,27 @@ def _joined(names: np.ndarray, text: np.ndarray, number: int) -> np.ndarray:
     return out
 
 
-def blocks(w: words.Words, sums: np.ndarray):
-    """(name, first word, end, start of context, end of context) of the last round's blocks."""
-    text_of_word = np.repeat(np.arange(len(w.doc_at) - 1), w.counts())
+class Blocks:
+    """The symbols of one round: name, first word and end, and the words that fix the block (its context)."""
+
+    def __init__(self, name, first, last, since, until):
+        self.name, self.first, self.last, self.since, self.until = name, first, last, since, until
+
+
+def rounds(w: words.Words, sums: np.ndarray) -> Iterator[Blocks]:
+    """The symbols of a group of texts after each round in turn."""
+    text = np.repeat(np.arange(len(w.doc_at) - 1), w.counts())
     begin, end = w.doc_at[:-1], w.doc_at[1:]
-    names, text = w.hash, text_of_word
+    names, number = w.hash, 0
     first, last = np.arange(len(names)), np.arange(1, len(names) + 1)
     # a word is fixed by itself; a block by itself and by the symbols beside it
     since, until = first, last
-    for number in range(1, ROUNDS + 1):
+    while True:
+        number += 1
         at = np.flatnonzero(~_joined(names, text, number))
         stop = np.append(at[1:], len(names))
+        if not len(names):
+            at = stop = np.zeros(0, np.int64)
         before, after = np.maximum(at - 1, 0), np.minimum(stop, len(names) - 1)
         no_before = (at == 0) | (text[before] != text[at])
         no_after = (stop == len(names)) | (text[after] != text[at])
@@ -66,140 +81,221 @@ def blocks(w: words.Words, sums: np.ndarray):
         until = np.where(no_after, end[text[at]] + 1, until[after])
         first, last, text = first[at], last[stop - 1], text[at]
         names = words.range_hashes(sums, first, last)
-    return names, first, last, since, until
-
-
-def window_keys(w: words.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, text, key) of every window of a group of texts."""
-    n = np.maximum(w.counts() - window + 1, 0)
-    text = np.repeat(np.arange(len(n)), n)
-    at = np.repeat(w.doc_at[:-1] - (np.cumsum(n) - n), n) + np.arange(len(text))
-    if not len(at):
-        return at, text, np.zeros(0, U)
-    sums = words.prefix_sums(w.hash)
-    names, _, _, since, until = blocks(w, sums)
-    order = words.mix(names ^ U(0xA0761D6478BD642F))
-    low, high = np.searchsorted(since, at), np.searchsorted(until, at + window, "right")
-    best, value = np.full(len(at), -1), np.full(len(at), ~U(0))
-    for k in range(int(max(0, (high - low).max()))):
-        i = np.minimum(low + k, len(order) - 1)
-        better = (low + k < high) & ((order[i] < value) | (best < 0))
-        best[better], value[better] = i[better], order[i][better]
-    key = words.range_hashes(sums, at, at + window) ^ U(0xE7037ED1A0B428DB)
-    some = best >= 0
-    block_key = words.range_hashes(sums, np.maximum(since, 0), np.minimum(until, len(w.hash)))
-    key[some] = block_key[best[some]]
-    return at, text, key
-
-
-def _texts(column) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-
-
-def _shared_keys(docs: DataFrame, window: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, tag, keys) of documents with shared keys, (doc_id, tag) of whole copies)."""
+        yield Blocks(names, first, last, since, until)
+
+
+class Parsed:
+    """A group of texts with its windows, their anchors and the high blocks; texts in words with one space between them."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        w = self.words = words.Words(texts)
+        self.window, self.sums = window, words.prefix_sums(w.hash)
+        self.raw = w.buf.tobytes()
+        for number, found in enumerate(rounds(w, self.sums), 1):
+            if number == LOW:
+                self.low = found
+            if number == HIGH:
+                break
+        some = found.last - found.first >= window
+        #: high blocks of a window or more
+        self.first, self.last = found.first[some], found.last[some]
+        n = np.maximum(w.counts() - window + 1, 0)
+        #: text and first word of each window
+        self.text = np.repeat(np.arange(len(n)), n)
+        self.at = np.repeat(w.doc_at[:-1] - (np.cumsum(n) - n), n) + np.arange(len(self.text))
+
+    def names(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """128 bits of a digest of the words first .. last - 1, a row each."""
+        raw, a, b = self.raw, self.words.first[first].tolist(), self.words.last[last - 1].tolist()
+        found = [blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(a, b, strict=True)]
+        return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+
+    def roots(self) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of a window or more, and their names."""
+        some = np.flatnonzero(self.words.counts() >= self.window)
+        return some, self.names(self.words.doc_at[some], self.words.doc_at[some + 1])
+
+    def owners(self) -> np.ndarray:
+        """The high block that holds each window, -1 where none does."""
+        if not len(self.first):
+            return np.full(len(self.at), -1)
+        block = np.searchsorted(self.first, self.at, "right") - 1
+        return np.where((block >= 0) & (self.at + self.window <= self.last[block]), block, -1)
+
+    def quick(self) -> np.ndarray:
+        """A hash of each window, to find candidates by."""
+        return words.range_hashes(self.sums, self.at, self.at + self.window)
+
+    def anchors(self) -> np.ndarray:
+        """The key of each window's anchor: a hash of the anchor's context."""
+        at, window, low = self.at, self.window, self.low
+        if not len(at):
+            return np.zeros(0, U)
+        order = words.mix(low.name ^ U(0xA0761D6478BD642F))
+        least, most = np.searchsorted(low.since, at), np.searchsorted(low.until, at + window, "right")
+        best, value = np.full(len(at), -1), np.full(len(at), ~U(0))
+        for k in range(int(max(0, (most - least).max()))):
+            i = np.minimum(least + k, len(order) - 1)
+            better = (least + k < most) & ((order[i] < value) | (best < 0))
+            best[better], value[better] = i[better], order[i][better]
+        key = self.quick() ^ U(0xE7037ED1A0B428DB)
+        some = best >= 0
+        context = words.range_hashes(self.sums, np.maximum(low.since, 0), np.minimum(low.until, len(self.words.hash)))
+        key[some] = context[best[some]]
+        return key
+
+
+def _normal(column) -> list[bytes]:
+    """Texts with one space between words."""
+    return [b" ".join((t or b"").split()) for t in column.cast(pa.binary()).to_pylist()]
+
+
+def _parsed(texts: list[bytes], window: int) -> Iterator[tuple[int, int, Parsed]]:
+    for i, j in words.groups(texts):
+        yield i, j, Parsed(texts[i:j], window)
+
+
+SYMBOLS = "doc_id long, kind int, a long, b long, keys array<long>"
+
+
+def _symbols(window: int):
+    """Roots and high blocks with their names and the anchor keys of the windows that they hold (a root: that no block holds)."""
 
     def run(batches):
-        for b in common.slices(batches):
-            texts = _texts(b.column(2))
-            for i, j in words.groups(texts):
-                w = words.Words(texts[i:j])
-                _, text, key = window_keys(w, window)
-                # once a text
-                order = np.lexsort((key, text))
-                text, key = text[order], key[order]
+        common.held("repeats")
+        for batch in common.slices(batches, 512):
+            for i, j, p in _parsed(_normal(batch.column(1)), window):
+                some, root = p.roots()
+                if not len(some):
+                    continue
+                owner, key = p.owners(), p.anchors()
+                # symbols in a row: roots first, then blocks
+                place = np.full(j - i, -1)
+                place[some] = np.arange(len(some))
+                symbol = np.where(owner < 0, place[p.text], len(some) + owner)
+                order = np.lexsort((key, symbol))
+                symbol, key = symbol[order], key[order]
                 new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-                text, key = text[new], key[new]
-                ends = np.searchsorted(text, np.arange(j - i + 1))
-                same = [blake2b(w.hash[a:b].tobytes(), digest_size=16).digest() for a, b in zip(w.doc_at[:-1].tolist(), w.doc_at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(same), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))],
-                    ["doc_id", "tag", "words", "keys"],
-                )
+                new[1:] = (key[1:] != key[:-1]) | (symbol[1:] != symbol[:-1])
+                symbol, key = symbol[new], key[new]
+                n = len(some) + len(p.first)
+                ends = np.searchsorted(symbol, np.arange(n + 1))
+                name = np.concatenate([root, p.names(p.first, p.last)])
+                text = np.concatenate([some, np.searchsorted(p.words.doc_at, p.first, "right") - 1])
+                kind = np.repeat([ROOT, BLOCK], [len(some), len(p.first)]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + text)), pa.array(kind), pa.array(name[:, 0]), pa.array(name[:, 1]), keys], ["doc_id", "kind", "a", "b", "keys"])
 
-    found = scratch.keep(docs.mapInArrow(run, "doc_id long, tag long, words binary, keys array<long>"), "keys")
-    least = found.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    copies = scratch.keep(found.select("doc_id", "tag", "words").join(least, "words").where("doc_id > least").select("doc_id", "tag").distinct(), "copies")
+    return run
 
-    rows = found.select("doc_id", "tag", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
-    lists = rows.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_list("key").alias("keys"))
-    lists = scratch.keep(lists.join(copies, ["doc_id", "tag"], "left_anti"), "lists")
-    scratch.drop("keys")
-    scratch.release()
-    return lists, copies
+
+def _firsts(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, least) of what stands in two documents or more; least is the least document."""
+    return rows.groupBy(*by).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document (and the kept words, if asked for)."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "repeats")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     known = docs.where("doc_id IS NOT NULL")
-    lists, copies = _shared_keys(known, window, scratch)
 
+    # 1. high symbols
+    symbols = scratch.keep(known.mapInArrow(_symbols(window), SYMBOLS), "symbols")
+    first = scratch.keep(_firsts(symbols, "kind", "a", "b"), "first")
+    met = symbols.join(first, ["kind", "a", "b"], "left")
+    met = met.select("doc_id", "kind", "a", "b", (F.col("doc_id") > F.coalesce("least", "doc_id")).alias("gone"), "keys")
+    met = scratch.keep(met.select("doc_id", "kind", "a", "b", "gone", F.when(~F.col("gone"), F.col("keys")).alias("keys")), "met")
+    scratch.drop("symbols", "first")
+
+    # 2. low symbols
+    keys = met.where("NOT gone").select("doc_id", F.explode("keys").alias("key"))
+    shared = scratch.keep(_firsts(keys, "key").select("key"), "shared")
+    lists = scratch.keep(keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lists")
+    scratch.drop("shared")
+
+    # 3. windows
     def windows(batches):
-        for b in common.slices(batches):
-            texts, lists = _texts(b.column(2)), b.column(3)
-            for i, j in words.groups(texts):
-                w = words.Words(texts[i:j])
-                at, text, key = window_keys(w, window)
+        common.held("repeats")
+        for batch in common.slices(batches, 512):
+            lists = batch.column(2)
+            for i, j, p in _parsed(_normal(batch.column(1)), window):
                 part = lists.slice(i, j - i)
                 wanted = part.flatten().to_numpy().view(U)
                 owner = np.repeat(np.arange(j - i), np.diff(part.offsets.to_numpy()))
-                keep = np.isin(words.mix(key + words.mix(text.astype(U))), words.mix(wanted + words.mix(owner.astype(U))))
-                at, text = at[keep], text[keep]
-                one = words.range_hashes(words.prefix_sums(w.hash), at, at + window)
-                two = words.range_hashes(words.prefix_sums(w.hash, 1), at, at + window, 1)
-                place = pa.array(i + text)
+                keep = np.isin(words.mix(p.anchors() + words.mix(p.text.astype(U))), words.mix(wanted + words.mix(owner.astype(U))))
+                text, at, quick = p.text[keep], p.at[keep], p.quick()[keep]
+                name = p.names(at, at + window)
+                # once a text
+                _, one = np.unique(np.column_stack([text, name]), axis=0, return_index=True) if len(text) else (None, np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(place), b.column(1).take(place), pa.array((at - w.doc_at[text]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array((two >> U(32)).astype(np.uint32).view(np.int32))],
-                    ["doc_id", "tag", "at", "one", "two"],
+                    [batch.column(0).take(pa.array(i + text[one])), pa.array(quick[one].view(np.int64)), pa.array(name[one, 0]), pa.array(name[one, 1])], ["doc_id", "quick", "a", "b"]
                 )
 
-    # this shuffle of the texts by document serves step 3 as well
-    found = known.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "keys").mapInArrow(windows, "doc_id long, tag long, at int, one long, two int")
+    found = known.join(lists, "doc_id").select("doc_id", "text", "keys").mapInArrow(windows, "doc_id long, quick long, a long, b long")
     found = scratch.keep(found, "windows")
-    least = found.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    later = found.join(least, ["one", "two"]).where("doc_id > least").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"))
-    none = F.lit(None).cast("array<int>")
-    flags = later.select("doc_id", "tag", "at", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "tag", none.alias("at"), F.lit(True).alias("copy")))
-    flags = scratch.keep(flags, "flags")
-    scratch.drop("windows")
-    scratch.release()
+    first = scratch.keep(_firsts(found, "a", "b"), "first")
+    later = found.join(first, ["a", "b"]).where("doc_id > least")
+    gone = met.where("gone").select("doc_id", "kind", F.lit(0).cast("long").alias("quick"), "a", "b").unionByName(later.select("doc_id", F.lit(WINDOW).alias("kind"), "quick", "a", "b"))
+    gone = scratch.keep(gone.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("kind", "quick", "a", "b"))), "gone")
+    scratch.drop("met", "lists", "windows", "first")
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def finish(batches):
-        for b in common.slices(batches):
-            n, gone, sha, texts = [], [], [], []
-            for t, at, copy in zip(_texts(b.column(1)), b.column(2), b.column(3).to_pylist(), strict=True):
-                found = t.split()
-                n.append(len(found))
-                if copy and len(found) >= window:
-                    gone.append(len(found))
-                    found = []
-                elif at.is_valid:
-                    step = np.zeros(len(found) + 1, np.int64)
-                    first = at.values.to_numpy()
-                    np.add.at(step, first, 1)
-                    np.add.at(step, first + window, -1)
-                    keep = np.cumsum(step)[:-1] == 0
-                    gone.append(int((~keep).sum()))
-                    found = list(compress(found, keep.tolist()))
-                else:
+        common.held("repeats")
+        for batch in common.slices(batches, 512):
+            texts, marks = _normal(batch.column(1)), [None] * batch.num_rows
+            some = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            listed = [batch.column(k).take(pa.array(some)) for k in range(2, 6)]
+            for i, j, p in _parsed([texts[k] for k in some], window):
+                part = [x.slice(i, j - i) for x in listed]
+                for k, mark in enumerate(_marks(p, part)):
+                    marks[some[i + k]] = mark
+            n, gone, sha, kept = [], [], [], []
+            for t, mark in zip(texts, marks, strict=True):
+                count = t.count(b" ") + 1 if t else 0
+                n.append(count)
+                if mark is None:
                     gone.append(0)
-                kept = b" ".join(found)
-                sha.append(sha256(kept).hexdigest())
+                else:
+                    gone.append(int(mark.sum()))
+                    t = b" ".join([x for x, m in zip(t.split(b" "), mark.tolist(), strict=True) if not m])
+                sha.append(sha256(t).hexdigest())
                 if with_text:
-                    texts.append(kept.decode())
-            out = [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(texts, pa.string())] if with_text else []), ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
-
-    joined = known.join(flags, ["doc_id", "tag"], "left").select("doc_id", "text", "at", "copy")
-    lost = docs.where("doc_id IS NULL").select("doc_id", "text", none.alias("at"), F.lit(None).cast("boolean").alias("copy"))
-    return joined.unionByName(lost).mapInArrow(finish, schema)
+                    kept.append(t.decode())
+            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(out + ([pa.array(kept, pa.string())] if with_text else []), ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
+
+    columns = ["doc_id", "text", "kind", "quick", "a", "b"]
+    lost = docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<int>").alias("kind"), *(F.lit(None).cast("array<long>").alias(c) for c in ("quick", "a", "b")))
+    return known.join(gone, "doc_id", "left").select(columns).unionByName(lost).mapInArrow(finish, schema)
+
+
+def _marks(p: Parsed, listed: list) -> Iterator[np.ndarray]:
+    """Of each text of a group, which words go: those of its listed roots, blocks and windows (a list column each of kind, quick, a, b)."""
+    owner = np.repeat(np.arange(len(p.words.doc_at) - 1), np.diff(listed[0].offsets.to_numpy()))
+    kind, quick, a, b = (x.flatten().to_numpy() for x in listed)
+    known = {(t, k, x, y) for t, k, x, y in zip(owner.tolist(), kind.tolist(), a.tolist(), b.tolist(), strict=True)}
+    step = np.zeros(len(p.words.hash) + 1, np.int64)
+
+    def take(text, kind, first, last):
+        name = p.names(first, last).tolist()
+        here = [(t, kind, x, y) in known for t, (x, y) in zip(text.tolist(), name, strict=True)]
+        np.add.at(step, first[here], 1)
+        np.add.at(step, last[here], -1)
+
+    some, _ = p.roots()
+    take(some, ROOT, p.words.doc_at[some], p.words.doc_at[some + 1])
+    take(np.searchsorted(p.words.doc_at, p.first, "right") - 1, BLOCK, p.first, p.last)
+    windows = kind == WINDOW
+    seen = words.mix(quick[windows].view(U) + words.mix(owner[windows].astype(U)))
+    near = np.isin(words.mix(p.quick() + words.mix(p.text.astype(U))), seen)
+    take(p.text[near], WINDOW, p.at[near], p.at[near] + p.window)
+    mask = np.cumsum(step)[:-1] > 0
+    for i, j in zip(p.words.doc_at[:-1].tolist(), p.words.doc_at[1:].tolist(), strict=True):
+        yield mask[i:j]
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
