@@ -129,22 +129,52 @@ class Parsed:
     def anchors(self) -> np.ndarray:
         """The key of each window's anchor: a hash of the anchor's context."""
         at, window, low = self.at, self.window, self.low
-        if not len(at):
-            return np.zeros(0, U)
-        order = words.mix(low.name ^ U(0xA0761D6478BD642F))
-        least, most = np.searchsorted(low.since, at), np.searchsorted(low.until, at + window, "right")
-        best, value = np.full(len(at), -1), np.full(len(at), ~U(0))
-        for k in range(int(max(0, (most - least).max()))):
-            i = np.minimum(least + k, len(order) - 1)
-            better = (least + k < most) & ((order[i] < value) | (best < 0))
-            best[better], value[better] = i[better], order[i][better]
         key = self.quick() ^ U(0xE7037ED1A0B428DB)
-        some = best >= 0
+        n = len(low.name)
+        if not len(at) or not n:
+            return key
+        # a block's rank: bits of its hash, then its place (of equal ones the first in the window counts)
+        place = U((1 << n.bit_length()) - 1)
+        rank = words.mix(low.name ^ U(0xA0761D6478BD642F)) & ~place | np.arange(n, dtype=U)
+        # blocks least .. most - 1 have their context in the window: counts of contexts that begin before it and end by its end
+        size = len(self.words.hash) + 2
+        least = np.cumsum(np.bincount(low.since + 1, minlength=size))[at]
+        most = np.cumsum(np.bincount(low.until, minlength=size))[at + window]
+        # least ranks of 1, 2, 4, ... blocks from each on; two of these cover any range
+        table = [rank]
+        while 2 << len(table) - 1 <= window:
+            step = 1 << len(table) - 1
+            table.append(np.minimum(table[-1], np.append(table[-1][step:], np.full(min(step, n), ~U(0)))))
+        some = np.flatnonzero(most > least)
+        least, many = least[some], (most - least)[some]
+        level = np.log2(np.arange(window + 2), where=np.arange(window + 2) > 0, out=np.zeros(window + 2)).astype(np.int64)[many]
+        table = np.concatenate(table)
+        best = np.minimum(table[level * n + least], table[level * n + least + many - (1 << level)]) & place
         context = words.range_hashes(self.sums, np.maximum(low.since, 0), np.minimum(low.until, len(self.words.hash)))
-        key[some] = context[best[some]]
+        key[some] = context[best.astype(np.int64)]
         return key
 
 
+def _steps(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before them."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _among(own: np.ndarray, text: np.ndarray, listed: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which of the texts' hashes are listed for the text they stand in."""
+    own, listed = words.mix(own + words.mix(text.astype(U))), words.mix(listed + words.mix(owner.astype(U)))
+    seen = np.zeros(1 << 20, bool)
+    seen[listed >> U(44)] = True
+    out = seen[own >> U(44)]
+    maybe = np.flatnonzero(out)
+    out[maybe] = np.isin(own[maybe], listed)
+    return out
+
+
 def _normal(column) -> list[bytes]:
     """Texts with one space between words."""
     return [b" ".join((t or b"").split()) for t in column.cast(pa.binary()).to_pylist()]
@@ -173,10 +203,11 @@ def _symbols(window: int):
                 place = np.full(j - i, -1)
                 place[some] = np.arange(len(some))
                 symbol = np.where(owner < 0, place[p.text], len(some) + owner)
+                new = _steps(key, symbol)  # neighbours mostly share an anchor
+                symbol, key = symbol[new], key[new]
                 order = np.lexsort((key, symbol))
                 symbol, key = symbol[order], key[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (symbol[1:] != symbol[:-1])
+                new = _steps(key, symbol)
                 symbol, key = symbol[new], key[new]
                 n = len(some) + len(p.first)
                 ends = np.searchsorted(symbol, np.arange(n + 1))
@@ -204,16 +235,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
     # 1. high symbols
     symbols = scratch.keep(known.mapInArrow(_symbols(window), SYMBOLS), "symbols")
     first = scratch.keep(_firsts(symbols, "kind", "a", "b"), "first")
-    met = symbols.join(first, ["kind", "a", "b"], "left")
-    met = met.select("doc_id", "kind", "a", "b", (F.col("doc_id") > F.coalesce("least", "doc_id")).alias("gone"), "keys")
-    met = scratch.keep(met.select("doc_id", "kind", "a", "b", "gone", F.when(~F.col("gone"), F.col("keys")).alias("keys")), "met")
+    met = symbols.join(first, ["kind", "a", "b"], "left").select("doc_id", "kind", "a", "b", (F.col("doc_id") > F.coalesce("least", "doc_id")).alias("gone"), "keys")
+    kept = F.when(~F.col("gone"), F.col("keys")).alias("keys")
+    met = scratch.keep(met.select("doc_id", *(F.when(F.col("gone"), F.col(c)).alias(c) for c in ("kind", "a", "b")), kept, "gone"), "met", "gone")
     scratch.drop("symbols", "first")
 
     # 2. low symbols
     keys = met.where("NOT gone").select("doc_id", F.explode("keys").alias("key"))
     shared = scratch.keep(_firsts(keys, "key").select("key"), "shared")
     lists = scratch.keep(keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lists")
-    scratch.drop("shared")
+    scratch.drop("shared", "met/gone=false")
 
     # 3. windows
     def windows(batches):
@@ -224,20 +255,23 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
                 part = lists.slice(i, j - i)
                 wanted = part.flatten().to_numpy().view(U)
                 owner = np.repeat(np.arange(j - i), np.diff(part.offsets.to_numpy()))
-                keep = np.isin(words.mix(p.anchors() + words.mix(p.text.astype(U))), words.mix(wanted + words.mix(owner.astype(U))))
+                key = p.anchors()
+                new = np.flatnonzero(_steps(key, p.text))
+                keep = np.repeat(_among(key[new], p.text[new], wanted, owner), np.diff(np.append(new, len(key))))
                 text, at, quick = p.text[keep], p.at[keep], p.quick()[keep]
                 name = p.names(at, at + window)
                 # once a text
-                _, one = np.unique(np.column_stack([text, name]), axis=0, return_index=True) if len(text) else (None, np.zeros(0, np.int64))
+                one = np.lexsort((name[:, 1], name[:, 0], text))
+                one = one[_steps(text[one], name[one, 0], name[one, 1])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(i + text[one])), pa.array(quick[one].view(np.int64)), pa.array(name[one, 0]), pa.array(name[one, 1])], ["doc_id", "quick", "a", "b"]
+                    [batch.column(0).take(pa.array(i + text[one])), pa.array((quick[one] >> U(32)).astype(np.uint32).view(np.int32)), pa.array(name[one, 0]), pa.array(name[one, 1])], ["doc_id", "quick", "a", "b"]
                 )
 
-    found = known.join(lists, "doc_id").select("doc_id", "text", "keys").mapInArrow(windows, "doc_id long, quick long, a long, b long")
+    found = known.join(lists, "doc_id").select("doc_id", "text", "keys").mapInArrow(windows, "doc_id long, quick int, a long, b long")
     found = scratch.keep(found, "windows")
     first = scratch.keep(_firsts(found, "a", "b"), "first")
     later = found.join(first, ["a", "b"]).where("doc_id > least")
-    gone = met.where("gone").select("doc_id", "kind", F.lit(0).cast("long").alias("quick"), "a", "b").unionByName(later.select("doc_id", F.lit(WINDOW).alias("kind"), "quick", "a", "b"))
+    gone = met.where("gone").select("doc_id", "kind", F.lit(0).alias("quick"), "a", "b").unionByName(later.select("doc_id", F.lit(WINDOW).alias("kind"), "quick", "a", "b"))
     gone = scratch.keep(gone.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("kind", "quick", "a", "b"))), "gone")
     scratch.drop("met", "lists", "windows", "first")
 
@@ -269,7 +303,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
             yield pa.RecordBatch.from_arrays(out + ([pa.array(kept, pa.string())] if with_text else []), ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
     columns = ["doc_id", "text", "kind", "quick", "a", "b"]
-    lost = docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<int>").alias("kind"), *(F.lit(None).cast("array<long>").alias(c) for c in ("quick", "a", "b")))
+    lost = docs.where("doc_id IS NULL").select("doc_id", "text", *(F.lit(None).cast(f"array<{t}>").alias(c) for c, t in (("kind", "int"), ("quick", "int"), ("a", "long"), ("b", "long"))))
     return known.join(gone, "doc_id", "left").select(columns).unionByName(lost).mapInArrow(finish, schema)
 
 
@@ -290,8 +324,7 @@ def _marks(p: Parsed, listed: list) -> Iterator[np.ndarray]:
     take(some, ROOT, p.words.doc_at[some], p.words.doc_at[some + 1])
     take(np.searchsorted(p.words.doc_at, p.first, "right") - 1, BLOCK, p.first, p.last)
     windows = kind == WINDOW
-    seen = words.mix(quick[windows].view(U) + words.mix(owner[windows].astype(U)))
-    near = np.isin(words.mix(p.quick() + words.mix(p.text.astype(U))), seen)
+    near = _among(p.quick() >> U(32), p.text, quick[windows].view(np.uint32).astype(U), owner[windows])
     take(p.text[near], WINDOW, p.at[near], p.at[near] + p.window)
     mask = np.cumsum(step)[:-1] > 0
     for i, j in zip(p.words.doc_at[:-1].tolist(), p.words.doc_at[1:].tolist(), strict=True):
