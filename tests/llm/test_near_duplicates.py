@@ -1,6 +1,7 @@
 import random
+from collections import Counter
 
-import numpy as np
+from test_words import thue_morse
 from tidemark.llm import near_duplicates as n
 from tidemark.llm import words
 
@@ -14,14 +15,14 @@ def test_registers_agree_as_often_as_the_similarity_says():
         w = words.Words([" ".join(a).encode(), " ".join(b).encode()])
         text, shingle, count = n.shingles(w)
         win = n.signatures(text, shingle, count.astype(float), 2, 4096)
-        exact = n.probability_jaccard((shingle[text == 0], count[text == 0]), (shingle[text == 1], count[text == 1]))
+        exact = n.probability_jaccard(*(n.shingle_counts(" ".join(x).encode()) for x in (a, b)))
         assert abs((win[0] == win[1]).mean() - exact) < 0.04
 
 
 def test_exact_similarity():
-    s = lambda d: (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)]))
+    s = Counter
     a, b = {1: 1, 2: 1, 3: 1}, {2: 1, 3: 1, 4: 1}
-    assert n.probability_jaccard(s(a), s(b)) == 0.5
+    assert n.probability_jaccard(s(a), s(b)) == 0.5 and n.probability_jaccard(s(), s()) == n.probability_jaccard(s(a), s()) == 0
     assert abs(n.probability_jaccard(s({1: 2, 2: 4}), s({1: 1, 2: 2})) - 1) < 1e-12  # scale doesn't matter
     a, b = {1: 3, 2: 1, 5: 2}, {1: 1, 2: 4, 6: 1}
     every = {1, 2, 5, 6}
@@ -68,9 +69,7 @@ def test_pairs_of_a_family_without_an_original(spark):
             for k in half:
                 w[k] = f"own{p}_{k}"
             docs.append((len(docs), " ".join(w)))
-    w = words.Words([t.encode() for _, t in docs])
-    text, shingle, count = n.shingles(w)
-    parts = [(shingle[text == i], count[text == i]) for i in range(len(docs))]
+    parts = [n.shingle_counts(t.encode()) for _, t in docs]
     root, linked, apart = list(range(len(docs))), 0, 0
     for i in range(len(docs)):
         for j in range(i):
@@ -88,3 +87,53 @@ def test_pairs_of_a_family_without_an_original(spark):
         assert {r.doc_id: r.class_id for r in n.classes(df).collect()} == dict(enumerate(root))
     finally:
         n.TILE = before
+
+
+def brute(docs):
+    """class_id and n_links of every (doc_id, text), by all pairs."""
+    least, out = {}, []
+    for i, t in docs:
+        if i is not None and t is not None:
+            least[t] = min(least.get(t, i), i)
+    texts = list(least)
+    parts, root, links = [n.shingle_counts(t.encode()) for t in texts], list(range(len(texts))), Counter()
+    for i in range(len(texts)):
+        for j in range(i):
+            if n.probability_jaccard(parts[i], parts[j]) >= 0.8:
+                links.update((i, j))
+                a, b = root[i], root[j]
+                root = [a if r == b else r for r in root]
+    name = {t: min(least[u] for u, r in zip(texts, root, strict=True) if r == root[i]) for i, t in enumerate(texts)}
+    for i, t in docs:
+        out.append((i, name[t]) if i is not None and t is not None else (i, i))
+    return out
+
+
+def test_classes_against_all_pairs(spark):
+    """Families at every likeness around the threshold, with repeated ids of other texts, copies, nulls."""
+    draw, docs = random.Random(13), []
+    for _ in range(25):
+        base = [f"a{draw.randrange(10**6)}" for _ in range(draw.randrange(60, 300))]
+        for _ in range(draw.randrange(1, 10)):
+            w = list(base)
+            for k in draw.sample(range(len(w)), draw.randrange(0, max(2, len(w) // 18))):
+                w[k] = f"b{draw.randrange(10**6)}"
+            docs.append((draw.randrange(80), " ".join(w)))
+    docs += [draw.choice(docs) for _ in range(10)] + [(None, docs[0][1]), (7, None), (8, ""), (9, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is not None, *map(lambda x: x or 0, r))
+    # equal rows of one id and text are one document
+    got = sorted({(r.doc_id, r.class_id) for r in n.classes(df).collect()}, key=key)
+    assert got == sorted(set(brute(docs)), key=key)
+    kept = sorted(((r.doc_id, r.text) for r in n.keep_first(df).collect()), key=lambda r: (r[0] or -1, r[1] or ""))
+    assert kept == sorted((d for d, (_, c) in zip(docs, brute(docs), strict=True) if d[0] is None or c >= d[0]), key=lambda r: (r[0] or -1, r[1] or ""))
+
+
+def test_words_that_defeat_a_power_sum(spark):
+    """Five words each, one shingle: alike only if all words are."""
+    docs = []
+    for size in (2048, 4096):
+        for x in (thue_morse(size), thue_morse(size, "b", "a"), thue_morse(size, "b", "c")):
+            docs.append((len(docs), f"p q r s {x}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert all(r.class_id == r.doc_id and r.n_links == 0 for r in n.classes(df).collect())

@@ -111,9 +111,19 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows for what is run inside: rows that carry two whole texts are wide."""
-    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch that a Python worker is given; a row that is longer comes alone.
+BATCH_BYTES = 4 << 20
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches bounded by bytes, not rows alone: texts differ widely in length.
+
+    The bound is a setting of the session, read when the plan is made; it is lowered here, never raised.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key)) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 _HELD: dict[tuple, Any] = {}

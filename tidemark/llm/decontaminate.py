@@ -156,7 +156,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wor
                     items.append(which)
                 yield summary(b.column(0), n, hit, items)
 
-        return docs.mapInArrow(run, schema)
+        return docs.transform(common.arrow, run, schema)
 
     scratch = common.Scratch(spark, "decontaminate")
     docs = scratch.keep(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
@@ -181,7 +181,7 @@ def _over_blocks(docs: DataFrame, blocks: list[list[tuple[str, bytes]]], window:
                     items.append(sorted(which))
                 yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["row", "doc_id", "n_words", "at", "items"])
 
-        parts.append(scratch.keep(docs.mapInArrow(run, "row long, doc_id long, n_words long, at array<long>, items array<string>"), f"block{k}"))
+        parts.append(scratch.keep(docs.transform(common.arrow, run, "row long, doc_id long, n_words long, at array<long>, items array<string>"), f"block{k}"))
     everything = parts[0]
     for p in parts[1:]:
         everything = everything.unionByName(p)
@@ -213,7 +213,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wo
                 keep.append(not contaminated(hits(found, words)[0].count(1), len(words)))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(common.arrow, run, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,21 +9,27 @@ their probability Jaccard similarity J_P.
 BANDS bands of ROWS registers give candidate buckets: at J_P = 0.8 a pair shares no bucket with
 probability (1 - 0.8**6)**32 < 1e-4.  A bucket isn't expanded into pairs.  Its leader is the member
 that shares most with others over CENTRAL bands (an original among its copies); each member is verified
-against the leader by the exact J_P of the whole texts.  Links of at least ``threshold`` make classes.
+against the leader by the exact J_P of the whole texts, their words compared as such.  Links of at
+least ``threshold`` make classes.
+
 In buckets that then still hold members of different classes every pair of different classes is a
-candidate, whether its members are like their leaders or not: the members meet in tiles of TILE, a
-pair whose registers agree less often than a pair of ``threshold`` does but once in a million
-(1 / RARE, beside the bands' 1e-4) is passed over, and the others are verified by their exact J_P too.
+candidate, whether its members are like their leaders or not.  The bucket's largest class stays in
+tiles of TILE members; the others go to every tile, so that no two members of one class meet for
+their own sake and no task holds a large bucket.  A pair whose registers agree less often than a pair
+of ``threshold`` does but once in a million (1 / RARE, beside the bands' 1e-4) is passed over, and
+the others are verified by their exact J_P too.
+
+Texts are known by a digest and numbered; doc_id only says which of them is least.
 
 Defined cases: equal texts are one text (their least doc_id stands for them); a text of one to four
 words is one shingle; a text without words, and a null text, links to equal texts only, null to
-none; rows with equal doc_id and text are one document; an empty table gives no rows; other columns
-are ignored, or kept by ``keep_first``.
+none; rows with equal doc_id and text are one document, and rows with equal doc_id but other texts
+one each; an empty table gives no rows; other columns are ignored, or kept by ``keep_first``.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from collections import Counter
 from math import comb
 
 import numpy as np
@@ -92,17 +98,21 @@ def bands(winner: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Exact J_P of two (sorted shingles, counts)."""
-    every = np.unique(np.concatenate([a[0], b[0]]))
-    if not len(every):
-        return 0.0
-    x, y = np.zeros(len(every)), np.zeros(len(every))
-    x[np.searchsorted(every, a[0])], y[np.searchsorted(every, b[0])] = a[1], b[1]
-    pairs, n = np.unique(np.stack([x, y]), axis=1, return_counts=True)
-    both = (pairs[0] > 0) & (pairs[1] > 0)
-    p, q = pairs[0][both], pairs[1][both]
-    return sum(float(c / (n * np.maximum(pairs[0] / s, pairs[1] / t)).sum()) for s, t, c in zip(p, q, n[both], strict=True))
+def shingle_counts(text: bytes) -> Counter:
+    """The shingles of a text as tuples of its words, each with its count."""
+    found = text.split()
+    if len(found) < SHINGLE:
+        return Counter([tuple(found)] if found else [])
+    return Counter(zip(*(found[k:] for k in range(SHINGLE)), strict=False))
+
+
+def probability_jaccard(a: Counter, b: Counter) -> float:
+    """Exact J_P of two weighted sets."""
+    # elements by their two weights: there are few different ones
+    kinds = Counter(zip(map(a.__getitem__, a), map(b.__getitem__, a), strict=True))
+    kinds.update((0, y) for e, y in b.items() if e not in a)
+    x, y, n = (np.array(c, float) for c in zip(*((x, y, n) for (x, y), n in kinds.items()), strict=True)) if kinds else (np.zeros(0),) * 3
+    return sum(float(c / (n * np.maximum(x / s, y / t)).sum()) for s, t, c in zip(x, y, n, strict=True) if s > 0 and t > 0)
 
 
 def least_agreement(threshold: float, m: int = M) -> int:
@@ -120,9 +130,10 @@ def _text_bytes(column) -> list[bytes]:
 
 
 def _sign(batches):
-    for b in common.slices(batches):
-        ids, texts = b.column(0), _text_bytes(b.column(1))
-        for i, j in words.groups(texts, (2 << 20) - 64):
+    common.held("near_duplicates")
+    for b in common.slices(batches, 512):
+        texts = _text_bytes(b.column(2))
+        for i, j in words.groups(texts):
             w = words.Words(texts[i:j])
             text, shingle, weight = shingles(w)
             winner = signatures(text, shingle, weight, j - i)
@@ -131,7 +142,7 @@ def _sign(batches):
             some[text] = True
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([blake2b(t, digest_size=16).digest() for t in texts[i:j]]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[some].ravel())), pa.array([x.tobytes() for x in sketch])],
+                [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[some].ravel())), pa.array([x.tobytes() for x in sketch])],
                 ["doc_id", "digest", "bands", "sketch"],
             )
 
@@ -140,7 +151,7 @@ def _central(reps: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(doc, score): how many documents share the document's buckets in the first CENTRAL bands; documents that share none have no row."""
     rows = reps.select("doc", F.explode(F.slice("bands", 1, CENTRAL)).alias("key"))
     sizes = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    return scratch.keep(rows.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("score")), "central")
+    return rows.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("score"))
 
 
 def _led(rows: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
@@ -153,38 +164,45 @@ def _led(rows: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
     return scratch.keep(rows.select("doc", "key").join(leader, "key").where("doc <> leader").select("key", "doc", "leader"), f"{name}-led")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
-    """(doc, leader, similarity) of distinct pairs, by the exact J_P of the whole texts."""
+def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """(doc, leader, similarity) of distinct pairs, by the exact J_P of the whole texts.
+
+    ``texts``: (doc_id, digest, text) of the documents; ``first`` names the row that stands for each text.
+    """
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
+    asked = pairs.select("doc").union(pairs.select("leader")).distinct().join(first.select("doc", F.col("rep").alias("doc_id"), "digest"), "doc")
     if pairs.count() <= SMALL:
-        ids = F.broadcast(pairs.select("doc").union(pairs.select(F.col("leader").alias("doc"))).distinct())
-        texts = texts.join(ids, "doc")
+        asked = F.broadcast(asked)
+    # a row may stand more than once in the input
+    texts = texts.join(asked, ["doc_id", "digest"]).groupBy("doc").agg(F.first("text").alias("text"))
 
     def run(batches):
+        common.held("near_duplicates")
         kept, shown = -1, None
-        for b in common.slices(batches, 256):
+        for b in common.slices(batches, 64):
             raw = [_text_bytes(b.column(2)), _text_bytes(b.column(3))]
             leaders, found = b.column(1).to_pylist(), []
             for k, (one, two) in enumerate(zip(*raw, strict=True)):
                 if leaders[k] != kept:
-                    kept, shown = leaders[k], shingles(words.Words([two]))[1:]
-                found.append(probability_jaccard(shingles(words.Words([one]))[1:], shown))
+                    kept, shown = leaders[k], shingle_counts(two)
+                found.append(probability_jaccard(shingle_counts(one), shown))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], ["doc", "leader", "similarity"])
 
+    # read twice, so written: an aggregate's output in a join would hold large partitions together
+    texts = scratch.keep(texts, f"{name}-texts")
     joined = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("other")), "leader")
-    out = joined.select("doc", "leader", "text", "other").sortWithinPartitions("leader").mapInArrow(run, "doc long, leader long, similarity double")
-    with common.small_batches(texts.sparkSession, 128):
-        return scratch.keep(out, f"{name}-verified")
+    out = joined.select("doc", "leader", "text", "other").sortWithinPartitions("leader").transform(common.arrow, run, "doc long, leader long, similarity double")
+    out = scratch.keep(out, f"{name}-verified")
+    scratch.drop(f"{name}-texts", f"{name}-pairs")
+    return out
 
 
-def _tile_pairs(root: np.ndarray, side: np.ndarray, sketch: np.ndarray, apart: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of different classes that agree in ``least`` registers, of two tiles (``apart``) or within one."""
-    one = np.flatnonzero(side == 0) if apart else np.arange(len(root))
-    two = np.flatnonzero(side == 1) if apart else one
+def _tile_pairs(root: np.ndarray, own: np.ndarray, minor: np.ndarray, sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile's own members and those of smaller classes, of different classes, that agree in ``least`` registers."""
+    here = np.flatnonzero(own)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, i in enumerate(one):
-        other = two if apart else two[k + 1 :]
-        other = other[root[other] != root[i]]
+    for i in np.flatnonzero(minor):
+        other = here[root[here] != root[i]]
         other = other[(sketch[other] == sketch[i]).sum(1) >= least]
         a.append(np.full(len(other), i))
         b.append(other)
@@ -192,87 +210,105 @@ def _tile_pairs(root: np.ndarray, side: np.ndarray, sketch: np.ndarray, apart: b
 
 
 def _rest(reps: DataFrame, roots: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
-    """(doc, leader) with leader < doc: the pairs that share a bucket and aren't of one class by ``roots``.
-
-    A bucket of n members is dealt to tiles; two tiles meet in one task, so that no task holds a whole large bucket.
-    """
+    """(doc, leader) with leader < doc: the pairs that share a bucket and aren't of one class by ``roots``."""
     own = reps.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root"), "bands", "sketch")
     own = scratch.keep(own, "own")
     rows = own.select("doc", "root", F.explode("bands").alias("key"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = scratch.keep(mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "mixed")
-    met = rows.join(mixed, "key").select("doc", "root", "key", "tiles", F.pmod(F.xxhash64("doc"), "tiles").cast("int").alias("own"))
-    met = met.select("doc", "root", "key", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
-    met = met.select("doc", "root", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"))
-    met = met.join(own.select("doc", "sketch"), "doc").select("key", "i", "j", "side", "doc", "root", "sketch")
+    of_class = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = of_class.groupBy("key").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("size"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = scratch.keep(mixed.select("key", F.col("major.root").alias("major"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "mixed")
+    met = rows.join(mixed, "key").select("doc", "root", "key", "tiles", F.pmod(F.xxhash64("doc"), "tiles").cast("int").alias("home"), (F.col("root") != F.col("major")).alias("minor"))
+    alone = F.array("home")
+    met = met.select("doc", "root", "key", "home", "minor", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(alone)).alias("tile"))
+    met = met.join(own.select("doc", "sketch"), "doc").select("key", "tile", "doc", "root", (F.col("home") == F.col("tile")).alias("own"), "minor", "sketch")
     least = least_agreement(threshold)
 
     def pairs(held, ends):
-        key, i, j, side, doc, root, sketch = held
+        _, _, doc, root, own, minor, sketch = held
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for first, last in zip(ends[:-1], ends[1:], strict=True):
             if last - first > 1:
-                x, y = _tile_pairs(root[first:last], side[first:last], sketch[first:last], i[first] != j[first], least)
+                x, y = _tile_pairs(root[first:last], own[first:last], minor[first:last], sketch[first:last], least)
                 a.append(doc[first:last][x])
                 b.append(doc[first:last][y])
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["doc", "leader"])
 
     def run(batches):
+        common.held("near_duplicates")
         held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(c).to_numpy() for c in range(6)] + [np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, M)]
+            new = [b.column(c).to_numpy(zero_copy_only=False) for c in range(6)] + [np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, M)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            starts = np.flatnonzero(np.any([np.diff(x) != 0 for x in held[:3]], axis=0)) + 1
+            starts = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
             if len(starts):
-                # the last tiles may go on in the next batch
+                # the last tile may go on in the next batch
                 yield pairs(held, np.concatenate([[0], starts]))
                 held = [x[starts[-1] :] for x in held]
         if held is not None:
             yield pairs(held, [0, len(held[0])])
 
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "doc long, leader long").distinct()
+    return met.repartition("key", "tile").sortWithinPartitions("key", "tile").transform(common.arrow, run, "doc long, leader long").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), n_copies (rows with an equal text), n_links (verified links of its text)."""
+    return _classes(docs, threshold).drop("digest")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """What ``classes`` gives, and the digest of the row's text (null for rows without id or text)."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    signed = scratch.keep(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sketch binary"), "signed")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("digest"), F.col("text").alias("text"))
+    texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL")
+    signed = scratch.keep(texts.transform(common.arrow, _sign, "doc_id long, digest binary, bands array<long>, sketch binary"), "signed")
     first = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    first = scratch.keep(first, "first")
-
-    # texts and bands of one document for each distinct text
-    reps = signed.join(first.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("doc"), "bands", "sketch").dropDuplicates(["doc"])
+    # each distinct text has a number, ``doc``; written, so that it stays the same
+    first = scratch.keep(first.withColumn("doc", F.monotonically_increasing_id()), "first")
+    reps = signed.where(F.size("bands") > 0).join(first.select("digest", F.col("rep").alias("doc_id"), "doc"), ["digest", "doc_id"])
+    reps = scratch.keep(reps.groupBy("doc").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
     scored = reps.join(_central(reps, scratch), "doc", "left").select("doc", F.coalesce("score", F.lit(0)).alias("score"), "bands")
-    texts = docs.select(F.col("doc_id").alias("doc"), "text")
 
     led = _led(scored.select("doc", "score", F.explode("bands").alias("key")), scratch, "one")
     like = F.col("similarity") >= threshold
-    tested = _verified(led.select("doc", "leader"), texts, scratch, "one")
+    tested = _verified(led.select("doc", "leader"), texts, first, scratch, "one")
+    scratch.drop("one-leader", "one-led")
     close = scratch.keep(tested.where(like).select(F.col("doc").alias("a"), F.col("leader").alias("b")), "close")
     rest = _rest(reps, components(close, common.Scratch(spark, "near")), threshold, scratch)
     # pairs that were verified already, whichever member led
     done = tested.select(F.least("doc", "leader").alias("leader"), F.greatest("doc", "leader").alias("doc"))
-    links = tested.unionByName(_verified(rest.join(done, ["doc", "leader"], "left_anti"), texts, scratch, "two"))
+    links = tested.unionByName(_verified(rest.join(done, ["doc", "leader"], "left_anti"), texts, first, scratch, "two"))
     kept = scratch.keep(links.where(like).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct(), "links")
+    scratch.drop("reps", "own", "mixed", "close")
     roots = components(kept, scratch)
-    degree = kept.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = first.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("digest", F.coalesce("root", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = signed.select("doc_id", "digest").distinct().join(named, "digest").select("doc_id", "class_id", "n_copies", "n_links")
-    zero = F.lit(0).cast("long")
-    rest = docs.where("text IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), zero.alias("n_links"))
+    degree = kept.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
+    named = first.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").join(degree, "doc", "left")
+    named = scratch.keep(named.select("digest", "rep", F.coalesce("root", "doc").alias("root"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    # the least doc_id of each class of two texts or more
+    least = scratch.keep(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    named = scratch.keep(named.join(least, "root", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), "n_copies", "n_links"), "classes")
+    out = signed.select("doc_id", "digest").distinct().join(named, "digest").select("doc_id", "digest", "class_id", "n_copies", "n_links")
+    rest = docs.where("text IS NULL OR doc_id IS NULL").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(rest)
 
 
+def _digest(text):
+    """128 bits of SHA-256 of a text."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents without those whose class has one with a smaller doc_id, with all their columns."""
-    drop = classes(docs, threshold).where("class_id < doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """The documents without those whose class has one with a smaller doc_id, with all their columns.
+
+    Rows are judged by doc_id and text: of rows with equal doc_id only those whose text's class has a smaller one go.
+    """
+    scratch = common.Scratch(docs.sparkSession, "near")
+    drop = scratch.keep(_classes(docs, threshold).where("class_id < doc_id").select(F.col("doc_id").alias("id"), F.col("digest").alias("of")).distinct(), "drop")
+    gone = (F.col("of") == _digest(docs["text"])) & (F.col("id") == docs["doc_id"])
+    return docs.join(drop, gone, "left_anti").select(docs.columns)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

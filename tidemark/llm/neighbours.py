@@ -118,7 +118,7 @@ def _bounds(rows: DataFrame, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if low is not None:
             yield pa.RecordBatch.from_pydict({"low": [low.ravel().tolist()], "high": [high.ravel().tolist()]})
 
-    found = rows.select("embedding").mapInArrow(run, "low array<double>, high array<double>").collect()
+    found = rows.select("embedding").transform(common.arrow, run, "low array<double>, high array<double>").collect()
     shape = (CURVES, turn.shape[2])
     return np.min([r.low for r in found], axis=0).reshape(shape), np.max([r.high for r in found], axis=0).reshape(shape)
 
@@ -145,7 +145,7 @@ def _ordered(rows: DataFrame, turn: np.ndarray, low: np.ndarray, high: np.ndarra
                 for c in range(CURVES):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(places(v, c, turn, low, high)), b.column(0), b.column(1)], ["curve", "place", "vec_id", "embedding"])
 
-    return rows.mapInArrow(run, "curve int, place long, vec_id long, embedding array<double>").repartitionByRange("curve", "place", "vec_id").sortWithinPartitions("curve", "place", "vec_id")
+    return rows.transform(common.arrow, run, "curve int, place long, vec_id long, embedding array<double>").repartitionByRange("curve", "place", "vec_id").sortWithinPartitions("curve", "place", "vec_id")
 
 
 def _windows(ordered: DataFrame, every: int, k: int, window: int) -> DataFrame:
@@ -184,7 +184,7 @@ def _windows(ordered: DataFrame, every: int, k: int, window: int) -> DataFrame:
         if v is not None and (out := found(curve, ids, v, done, len(ids))) is not None:
             yield out
 
-    return ordered.mapInArrow(run, FOUND)
+    return ordered.transform(common.arrow, run, FOUND)
 
 
 def _blocks(ordered: DataFrame, turn: np.ndarray) -> DataFrame:
@@ -201,7 +201,7 @@ def _blocks(ordered: DataFrame, turn: np.ndarray) -> DataFrame:
                     ["ids", "vectors", "low", "high"],
                 )
 
-    return ordered.where("curve = 0").mapInArrow(run, "ids array<long>, vectors binary, low array<double>, high array<double>")
+    return ordered.where("curve = 0").transform(common.arrow, run, "ids array<long>, vectors binary, low array<double>, high array<double>")
 
 
 def _checked(blocks: DataFrame, queries: list[tuple], turn: np.ndarray, dim: int, k: int, hold: int = HELD) -> DataFrame:
@@ -239,7 +239,7 @@ def _checked(blocks: DataFrame, queries: list[tuple], turn: np.ndarray, dim: int
             best = _best(q, vec, score, k)
             yield pa.RecordBatch.from_arrays([pa.array(qid[q[best]]), pa.array(vec[best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
 
-    return blocks.mapInArrow(run, FOUND)
+    return blocks.transform(common.arrow, run, FOUND)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:

@@ -181,7 +181,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([doc.slice(done, len(found)), found], ["doc_id", "ids"])
                 done += len(found)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(common.arrow, run, "doc_id long, ids array<int>")
 
 
 def digest_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +199,7 @@ def digest_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.transform(common.arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # sample_rows rows of 16 bytes at most
     sample = F.broadcast(grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(sample, "doc_id").select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, buckets array<int>").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(sample, "doc_id").select("doc_id", "text", "grade").transform(common.arrow, run, "doc_id long, grade int, buckets array<int>").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     lists = rows.column("buckets").combine_chunks()
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
@@ -198,7 +198,7 @@ def score_documents(docs: DataFrame, model: CumulativeLink | None, least_tail: f
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(grade, 6), mask=~known), pa.array(np.round(tail, 6), mask=~known), pa.array(keep)], ["doc_id", "expected_grade", "tail_probability", "keep"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, keep boolean")
+    return docs.transform(common.arrow, run, "doc_id long, expected_grade double, tail_probability double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: CumulativeLink | None, least_tail: float = 0.5) -> DataFrame:
@@ -209,7 +209,7 @@ def keep_good(docs: DataFrame, model: CumulativeLink | None, least_tail: float =
         for b in common.slices(batches):
             yield b.filter(pa.array(_judged(_texts(b.column(at)), shared.value, least_tail)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(common.arrow, run, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
     known = docs.where("doc_id IS NOT NULL")
 
     # 1. high symbols
-    symbols = scratch.keep(known.mapInArrow(_symbols(window), SYMBOLS), "symbols")
+    symbols = scratch.keep(known.transform(common.arrow, _symbols(window), SYMBOLS), "symbols")
     first = scratch.keep(_firsts(symbols, "kind", "a", "b"), "first")
     met = symbols.join(first, ["kind", "a", "b"], "left").select("doc_id", "kind", "a", "b", (F.col("doc_id") > F.coalesce("least", "doc_id")).alias("gone"), "keys")
     kept = F.when(~F.col("gone"), F.col("keys")).alias("keys")
@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
                     [batch.column(0).take(pa.array(i + text[one])), pa.array((quick[one] >> U(32)).astype(np.uint32).view(np.int32)), pa.array(name[one, 0]), pa.array(name[one, 1])], ["doc_id", "quick", "a", "b"]
                 )
 
-    found = known.join(lists, "doc_id").select("doc_id", "text", "keys").mapInArrow(windows, "doc_id long, quick int, a long, b long")
+    found = known.join(lists, "doc_id").select("doc_id", "text", "keys").transform(common.arrow, windows, "doc_id long, quick int, a long, b long")
     found = scratch.keep(found, "windows")
     first = scratch.keep(_firsts(found, "a", "b"), "first")
     later = found.join(first, ["a", "b"]).where("doc_id > least")
@@ -304,7 +304,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
 
     columns = ["doc_id", "text", "kind", "quick", "a", "b"]
     lost = docs.where("doc_id IS NULL").select("doc_id", "text", *(F.lit(None).cast(f"array<{t}>").alias(c) for c, t in (("kind", "int"), ("quick", "int"), ("a", "long"), ("b", "long"))))
-    return known.join(gone, "doc_id", "left").select(columns).unionByName(lost).mapInArrow(finish, schema)
+    return known.join(gone, "doc_id", "left").select(columns).unionByName(lost).transform(common.arrow, finish, schema)
 
 
 def _marks(p: Parsed, listed: list) -> Iterator[np.ndarray]:

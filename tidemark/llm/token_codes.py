@@ -230,7 +230,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         .repartitionByRange("id", tag)
         .sortWithinPartitions("id", tag, "text")
         .select("id", "text")
-        .mapInArrow(run, "part long, number long, file string, docs long, tokens long")
+        .transform(common.arrow, run, "part long, number long, file string, docs long, tokens long")
         .collect()
     )
     found, start = [], 0
@@ -266,7 +266,7 @@ def read_token_files(spark: SparkSession, files: list[dict]) -> DataFrame:
     if not files:
         return spark.createDataFrame([], schema)
     given = spark.createDataFrame([(f["file"], f["start"]) for f in files], "file string, start long")
-    return given.repartition(len(files)).mapInArrow(run, schema)
+    return given.repartition(len(files)).transform(common.arrow, run, schema)
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("sha"))
     given = given.join(revisits(pages, min_bytes), ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
     # ordered, so that a task that runs again writes the same bytes
-    return given.sortWithinPartitions("page_id", "url", "html").mapInArrow(run, ENTRY)
+    return given.sortWithinPartitions("page_id", "url", "html").transform(common.arrow, run, ENTRY)
 
 
 def write_index(entries: DataFrame, folder: str) -> list[dict]:
@@ -175,7 +175,7 @@ def write_index(entries: DataFrame, folder: str) -> list[dict]:
         common.write_file(folder, name, [*parts, tail, struct.pack("<QI", at, len(tail))], context.taskAttemptId())
         yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [f"{folder}/{name}"], "first_key": [directory[0][0]], "entries": [count]})
 
-    rows = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset").mapInArrow(run, "part long, file string, first_key string, entries long").collect()
+    rows = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset").transform(common.arrow, run, "part long, file string, first_key string, entries long").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r.part)]
 
 
@@ -248,8 +248,8 @@ def read_archives(spark: SparkSession, top: list[dict]) -> DataFrame:
     if not top:
         return spark.createDataFrame([], schema)
     files = spark.createDataFrame([(t["file"],) for t in top], "file string").repartition(len(top))
-    places = files.mapInArrow(entries, "file string, offset long, length long")
-    return places.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(records, schema)
+    places = files.transform(common.arrow, entries, "file string, offset long, length long")
+    return places.repartition("file").sortWithinPartitions("file", "offset").transform(common.arrow, records, schema)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
