@@ -13,11 +13,13 @@ against the leader by the exact J_P of the whole texts, their words compared as
 least ``threshold`` make classes.
 
 In buckets that then still hold members of different classes every pair of different classes is a
-candidate, whether its members are like their leaders or not.  The bucket's largest class stays in
-tiles of TILE members; the others go to every tile, so that no two members of one class meet for
-their own sake and no task holds a large bucket.  A pair whose registers agree less often than a pair
-of ``threshold`` does but once in a million (1 / RARE, beside the bands' 1e-4) is passed over, and
-the others are verified by their exact J_P too.
+candidate, whether its members are like their leaders or not.  All members are dealt to tiles of
+TILE, those of the smaller classes to tiles too, and each pair of such tiles meets in one task, so that
+members of the largest class never meet for their own sake and no task holds a large bucket.  In a
+task a pair whose registers agree less often than a pair of ``threshold`` does but once in a million
+(1 / RARE, beside the bands' 1e-4) is passed over, as is one that shares an earlier bucket.
+Only members that then still have a candidate come again, with their texts, and their exact J_P
+decides.  A task gives links that join its classes: at most one a member, never its pairs.
 
 Texts are known by a digest and numbered; doc_id only says which of them is least.
 
@@ -50,7 +52,7 @@ TILE = 512
 #: One in so many pairs of the threshold agrees in fewer registers than ``least_agreement``.
 RARE = 1_000_000
 U = np.uint64
-#: A list of pairs up to this long is broadcast (16 bytes a pair); a longer one is shuffled with the texts.
+#: A list of texts up to this long is broadcast (32 bytes a text) to fetch them; a longer one is shuffled with the texts.
 SMALL = 100_000
 
 
@@ -164,17 +166,22 @@ def _led(rows: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
     return scratch.keep(rows.select("doc", "key").join(leader, "key").where("doc <> leader").select("key", "doc", "leader"), f"{name}-led")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
-    """(doc, leader, similarity) of distinct pairs, by the exact J_P of the whole texts.
+def _texts_of(asked: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc, text) of the documents (doc) asked for.
 
-    ``texts``: (doc_id, digest, text) of the documents; ``first`` names the row that stands for each text.
+    ``texts``: (doc_id, digest, text) of all rows; ``first`` names the row that stands for each text.
     """
-    pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
-    asked = pairs.select("doc").union(pairs.select("leader")).distinct().join(first.select("doc", F.col("rep").alias("doc_id"), "digest"), "doc")
-    if pairs.count() <= SMALL:
-        asked = F.broadcast(asked)
+    rows = asked.join(first.select("doc", F.col("rep").alias("doc_id"), "digest"), "doc")
+    if asked.count() <= SMALL:
+        rows = F.broadcast(rows)
     # a row may stand more than once in the input
-    texts = texts.join(asked, ["doc_id", "digest"]).groupBy("doc").agg(F.first("text").alias("text"))
+    return texts.join(rows, ["doc_id", "digest"]).groupBy("doc").agg(F.first("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """(doc, leader, similarity) of distinct pairs, by the exact J_P of the whole texts."""
+    pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
+    texts = _texts_of(pairs.select("doc").union(pairs.select("leader")).distinct(), texts, first)
 
     def run(batches):
         common.held("near_duplicates")
@@ -197,64 +204,145 @@ def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, scratch: com
     return out
 
 
-def _tile_pairs(root: np.ndarray, own: np.ndarray, minor: np.ndarray, sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile's own members and those of smaller classes, of different classes, that agree in ``least`` registers."""
-    here = np.flatnonzero(own)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in np.flatnonzero(minor):
-        other = here[root[here] != root[i]]
-        other = other[(sketch[other] == sketch[i]).sum(1) >= least]
-        a.append(np.full(len(other), i))
-        b.append(other)
-    return np.concatenate(a), np.concatenate(b)
+class Tile:
+    """Members that meet in one task: rows 0, 1, ... with a class (root), a role (1: of a smaller class, looks for partners among those of role 0), registers and bands."""
+
+    def __init__(self, key: int, doc: np.ndarray, root: np.ndarray, role: np.ndarray, sketch: np.ndarray, bands: np.ndarray, minor: np.ndarray):
+        self.doc, self.root, self.sketch, self.bands, self.minor = doc, root.copy(), sketch, bands, minor
+        self.here, self.asking = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        self.band = int(np.flatnonzero(bands[0] == key)[0])
+
+    def partners(self, i: int, least: int) -> np.ndarray:
+        """Rows of another class that agree with row i in ``least`` registers and meet it here first."""
+        other = self.here[self.root[self.here] != self.root[i]]
+        # two members of smaller classes ask each other: once is enough
+        other = other[~self.minor[other] | (self.doc[other] < self.doc[i])]
+        other = other[(self.sketch[other] == self.sketch[i]).sum(1) >= least]
+        return other[(self.bands[other] == self.bands[i]).argmax(1) == self.band]
+
+
+def _tiles(batches, texts: bool):
+    """(key and tile numbers, Tile, texts) of rows that come sorted by key and tile."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def made():
+        t = pa.Table.from_batches(held)
+        number = [t.column(c).to_numpy() for c in range(7)]
+        sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, M)
+        bands = np.concatenate([x.flatten().to_numpy() for x in t.column(8).chunks]).reshape(-1, BANDS)
+        raw = [x.encode() for x in t.column(9).to_pylist()] if texts else None
+        return last, Tile(last[0], number[3], number[4], number[5], sketch, bands, number[6] != 0), raw
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        where = np.column_stack([b.column(c).to_numpy() for c in range(3)])
+        starts = np.concatenate([[0], np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1, [b.num_rows]])
+        for first, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            this = tuple(where[first].tolist())
+            if held and this != last:
+                yield made()
+                held.clear()
+            last = this
+            held.append(b.slice(first, end - first))
+    if held:
+        yield made()
+
+
+def _asked(least: int):
+    """Of each tile, the members that have a partner to be verified with."""
+
+    def run(batches):
+        common.held("near_duplicates")
+        out: list[tuple] = []
+        for (key, i, j), tile, _ in _tiles(batches, False):
+            some = np.zeros(len(tile.doc), bool)
+            for k in tile.asking:
+                other = tile.partners(k, least)
+                some[other] = True
+                some[k] |= len(other) > 0
+            at = np.flatnonzero(some)
+            if len(at):
+                out.append((np.full(len(at), key), np.full(len(at), i, np.int32), np.full(len(at), j, np.int32), tile.doc[at], np.isin(at, tile.asking).astype(np.int32)))
+            if sum(len(x[0]) for x in out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "i", "j", "doc", "role"])
+                out.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "i", "j", "doc", "role"])
+
+    return run
+
+
+def _tile_links(tile: Tile, texts: list[bytes], least: int, threshold: float) -> tuple[list[int], list[int]]:
+    """Pairs of rows whose exact J_P is ``threshold`` at least, as many as join what can be joined."""
+    counts = [shingle_counts(t) for t in texts]
+    known: dict[tuple, int] = {}
+    ids = [np.array([known.setdefault(e, len(known)) for e in c], np.int64) for c in counts]
+    weight = [np.fromiter(c.values(), np.int64, len(c)) for c in counts]
+    n = np.array([len(x) for x in ids])
+    at, flat, heavy = np.cumsum(n) - n, np.concatenate(ids), np.concatenate(weight)
+    total = np.array([x.sum() for x in weight])
+    own, a, b = np.zeros(len(known), np.int64), [], []
+    for i in tile.asking:
+        other = tile.partners(i, least)
+        if not len(other):
+            continue
+        # J_P is at most the sum of the greater weights of common shingles over that of all
+        own[ids[i]] = weight[i]
+        x, y = words.gather(heavy, at[other], n[other]), own[words.gather(flat, at[other], n[other])]
+        own[ids[i]] = 0
+        cut = np.cumsum(n[other]) - n[other]
+        common_max, common_min = np.add.reduceat(np.where(y > 0, np.maximum(x, y), 0), cut), np.add.reduceat(np.minimum(x, y), cut)
+        for j in other[common_max >= (threshold - 1e-9) * (total[other] + total[i] - common_min)].tolist():
+            if tile.root[j] != tile.root[i] and probability_jaccard(counts[i], counts[j]) >= threshold:
+                tile.root[tile.root == tile.root[j]] = tile.root[i]
+                a.append(i)
+                b.append(j)
+    return a, b
+
+
+def _verifying(least: int, threshold: float):
+    def run(batches):
+        common.held("near_duplicates")
+        for _, tile, texts in _tiles(batches, True):
+            a, b = _tile_links(tile, texts, least, threshold)
+            if a:
+                x, y = tile.doc[a], tile.doc[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return run
 
 
-def _rest(reps: DataFrame, roots: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
-    """(doc, leader) with leader < doc: the pairs that share a bucket and aren't of one class by ``roots``."""
+def _rest(reps: DataFrame, roots: DataFrame, texts: DataFrame, first: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
+    """(a, b): verified links between members of buckets that aren't of one class by ``roots``; they join all classes that any pair joins."""
     own = reps.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root"), "bands", "sketch")
     own = scratch.keep(own, "own")
     rows = own.select("doc", "root", F.explode("bands").alias("key"))
     of_class = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = of_class.groupBy("key").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("size"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = scratch.keep(mixed.select("key", F.col("major.root").alias("major"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "mixed")
-    met = rows.join(mixed, "key").select("doc", "root", "key", "tiles", F.pmod(F.xxhash64("doc"), "tiles").cast("int").alias("home"), (F.col("root") != F.col("major")).alias("minor"))
-    alone = F.array("home")
-    met = met.select("doc", "root", "key", "home", "minor", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(alone)).alias("tile"))
-    met = met.join(own.select("doc", "sketch"), "doc").select("key", "tile", "doc", "root", (F.col("home") == F.col("tile")).alias("own"), "minor", "sketch")
-    least = least_agreement(threshold)
-
-    def pairs(held, ends):
-        _, _, doc, root, own, minor, sketch = held
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for first, last in zip(ends[:-1], ends[1:], strict=True):
-            if last - first > 1:
-                x, y = _tile_pairs(root[first:last], own[first:last], minor[first:last], sketch[first:last], least)
-                a.append(doc[first:last][x])
-                b.append(doc[first:last][y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["doc", "leader"])
-
-    def run(batches):
-        common.held("near_duplicates")
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = [b.column(c).to_numpy(zero_copy_only=False) for c in range(6)] + [np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, M)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            starts = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
-            if len(starts):
-                # the last tile may go on in the next batch
-                yield pairs(held, np.concatenate([[0], starts]))
-                held = [x[starts[-1] :] for x in held]
-        if held is not None:
-            yield pairs(held, [0, len(held[0])])
-
-    return met.repartition("key", "tile").sortWithinPartitions("key", "tile").transform(common.arrow, run, "doc long, leader long").distinct()
+    tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
+    mixed = scratch.keep(mixed.select("key", F.col("major.root").alias("major"), tiles(F.col("size")).alias("here"), tiles(F.col("size") - F.col("major.n")).alias("asking")), "mixed")
+    met = rows.join(mixed, "key").select("doc", "key", "here", "asking", (F.col("root") != F.col("major")).alias("minor"))
+    every, place = lambda n: F.sequence(F.lit(0), n - 1), lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    stay = met.select("doc", "key", place(F.col("here")).alias("i"), F.explode(every(F.col("asking"))).alias("j"), F.lit(0).alias("role"), F.col("minor").cast("int").alias("minor"))
+    ask = met.where("minor").select("doc", "key", F.explode(every(F.col("here"))).alias("i"), place(F.col("asking")).alias("j"), F.lit(1).alias("role"), F.lit(1).alias("minor"))
+    order, least = ["key", "i", "j", "doc", "root", "role", "minor", "sketch", "bands"], least_agreement(threshold)
+    met = scratch.keep(stay.unionByName(ask), "met")
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(*order, *more).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
+
+    asked = dealt(met.join(own, "doc")).transform(common.arrow, _asked(least), "key long, i int, j int, doc long, role int")
+    asked = scratch.keep(asked, "asked")
+    named = _texts_of(asked.select("doc").distinct(), texts, first)
+    told = scratch.keep(named, "told")
+    again = asked.join(met, ["key", "i", "j", "doc", "role"]).join(own, "doc").join(told, "doc")
+    return dealt(again, "text").transform(common.arrow, _verifying(least, threshold), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_copies (rows with an equal text), n_links (verified links of its text)."""
+    """doc_id, class_id (the least doc_id of its class), n_copies (rows with an equal text), n_links (links of its text that were verified and join its class)."""
     return _classes(docs, threshold).drop("digest")
 
 
@@ -276,13 +364,10 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     like = F.col("similarity") >= threshold
     tested = _verified(led.select("doc", "leader"), texts, first, scratch, "one")
     scratch.drop("one-leader", "one-led")
-    close = scratch.keep(tested.where(like).select(F.col("doc").alias("a"), F.col("leader").alias("b")), "close")
-    rest = _rest(reps, components(close, common.Scratch(spark, "near")), threshold, scratch)
-    # pairs that were verified already, whichever member led
-    done = tested.select(F.least("doc", "leader").alias("leader"), F.greatest("doc", "leader").alias("doc"))
-    links = tested.unionByName(_verified(rest.join(done, ["doc", "leader"], "left_anti"), texts, first, scratch, "two"))
-    kept = scratch.keep(links.where(like).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct(), "links")
-    scratch.drop("reps", "own", "mixed", "close")
+    close = scratch.keep(tested.where(like).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct(), "close")
+    rest = _rest(reps, components(close, common.Scratch(spark, "near")), texts, first, threshold, scratch)
+    kept = scratch.keep(close.unionByName(rest).distinct(), "links")
+    scratch.drop("reps", "own", "mixed", "met", "asked", "told", "close")
     roots = components(kept, scratch)
     degree = kept.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
     named = first.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").join(degree, "doc", "left")
