@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,7 +23,7 @@ def brute(t):
     more = []
     for m in re.finditer(RULE.candidate, t):
         s = m.group()
-        if any(b[0] < m.end() and m.start() < b[2] for b in base) or any(re.search(a, s) for a in RULE.allowed):
+        if any(b[0] < m.end() and m.start() < b[2] for b in base) or any(re.search(a, s) and not (b and re.search(b, s)) for a, b in RULE.allowed):
             continue
         bits = next(b for p, b in RULE.classes if re.search(p, s))
         ok = [i for i in range(len(s) - 19) if entropy(s[i : i + 20]) >= bits - 1e-7]
@@ -72,3 +74,22 @@ def test_redaction(spark, odd, empty):
         assert out[i].text == expected and out[i].base == "x" and out[i].n_chars == (None if t is None else len(expected))
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == odd.count()
     assert secrets.find_secrets(empty).count() == 0 and secrets.redact(empty).count() == 0
+
+
+def test_long_candidates_and_many_matches_take_linear_time(spark):
+    """A candidate of 400,000 characters, tens of thousands of spans, and a long chain of words between marks."""
+    draw = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    blob = "".join(draw.choices(letters, k=400_000))
+    keys = " ".join("".join(draw.choices("0123456789abcdef", k=32)) for _ in range(20_000))
+    texts = ["é " + blob + " end", keys, "-".join(["ab", "12"] * 100_000), "aB3" * 30_000, "token=abcdefgh " + blob[:50_000]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
+    cleaned = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert time.time() - began < 90
+    assert rows[0].spans.startswith("entropy:2:") and int(rows[0].spans.split(":")[2]) > 399_000 and rows[0].n_hex == 0
+    assert rows[1].n_hex == 20_000 and rows[1].spans == said([(33 * k, 2, 33 * k + 32) for k in range(20_000)])
+    assert rows[2].spans == "" and cleaned[2] == texts[2] and cleaned[1] == " ".join(["[SECRET]"] * 20_000)
+    for i in (3, 4):
+        assert rows[i].spans == said(brute(texts[i])[1])

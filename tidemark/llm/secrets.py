@@ -1,10 +1,11 @@
 """Secrets in whole texts, in SQL functions only.
 
 Base patterns give the spans of assignments, access keys and hex strings.  Beside them, candidate
-strings are scanned with a sliding window whose Shannon entropy is kept up by counts: when the
-window moves by one character only the counts of the leaving and the entering character change, so
-the sum of c*log2(c) changes by two table entries.  The table is in whole numbers (1e-9 bits): no
-rounding builds up along a string.  Each character class has a threshold of its own; a candidate's
+strings are scanned with a sliding window whose Shannon entropy is kept up by counts: a fold carries
+one count for each character, and when the window moves only those of the leaving and the entering
+character change, so the sum of c*log2(c) changes by two table entries.  The table is in whole
+numbers (1e-9 bits): no rounding builds up along a string.  Work is linear in a text's and in a
+candidate's length: matches come as strings, places as running sums over blocks.  Each character class has a threshold of its own; a candidate's
 added span runs from its first to its last window at or over it.  Candidates that match the
 allow-list, or that overlap a base span, add nothing.
 
@@ -16,6 +17,7 @@ rows; other columns are ignored, or kept by ``redact``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,32 +42,67 @@ class EntropyRule:
     window: int = 20
     #: (what the whole candidate matches, bits a character); the first class that fits counts
     classes: tuple[tuple[str, float], ...] = ((r"^[0-9A-Fa-f]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.75), (r"^[A-Za-z0-9+/_=-]+$", 3.75))
-    #: candidates in which one of these is found are no secrets
-    allowed: tuple[str, ...] = field(
+    #: candidates in which the first of a pair is found and the second is not are no secrets (without groups that repeat: these take a stack as deep as the text)
+    allowed: tuple[tuple[str, str | None], ...] = field(
         default=(
-            r"^[^0-9]*$",  # no digit: words
-            r"^[^A-Za-z]*$",  # no letter: numbers
-            r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",  # UUID
-            r"(?i)example|sample|placeholder|dummy|changeme",
-            r"(?i)0123456789|abcdefghijkl|qwertyuiop",
-            r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Za-z]+|[0-9]{1,4}))+$",  # paths and dated names
+            (r"^[^0-9]*$", None),  # no digit: words
+            (r"^[^A-Za-z]*$", None),  # no letter: numbers
+            (r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$", None),  # UUID
+            (r"(?i)example|sample|placeholder|dummy|changeme", None),
+            (r"(?i)0123456789|abcdefghijkl|qwertyuiop", None),
+            (r"[-_/=+]", r"[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}|[-_/=+]{2}|^[-_/=+]|[-_/=+]$"),  # paths and dated names: words or up to four digits between single marks
         )
     )
 
 
-def _located(text: Column, pattern: str, kind: int) -> Column:
-    """All matches of a pattern with their places: what lies between them and their own lengths add up."""
+#: Folds that build a list do so in blocks of so many, as a list is copied when it grows.
+BLOCK = 512
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(a: Column) -> Column:
+    """An array's elements in consecutive arrays of BLOCK."""
+    n = F.ceil(F.size(a) / F.lit(BLOCK)).cast("int")
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.slice(a, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _running(a: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Of each number of an array what those before it come to, from 0."""
+
+    def fold(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(values, start, lambda s, x: F.struct(combine(s["now"], x).cast("int").alias("now"), F.array_append(s["before"], s["now"]).alias("before")))
+
+    def shifted(parts: Column) -> Column:
+        over = fold(F.transform(parts, lambda p: p["now"]))["before"]
+        return F.flatten(F.zip_with(parts, over, lambda p, o: F.transform(p["before"], lambda x: combine(o, x).cast("int"))))
+
+    return _let(F.transform(_blocks(a), fold), shifted)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """All matches of a pattern with their places and strings: what lies between them and their own lengths add up."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("spans"))
 
-    def step(s: Column, i: Column) -> Column:
-        a = s["at"] + F.length(F.get(between, i))
-        b = a + F.length(F.get(found, i))
-        one = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end")))
-        return F.struct(b.alias("at"), F.concat(F.coalesce(s["spans"], F.array().cast(SPAN)), one).cast(SPAN).alias("spans"))
+    def placed(z: Column) -> Column:
+        gaps = F.transform(F.slice(z["between"], 1, F.size(z["found"])), F.length)
+        steps = F.zip_with(gaps, z["found"], lambda g, m: g + F.length(m))
+        starts = F.zip_with(_running(steps, _sum), gaps, _sum)
+        return F.zip_with(starts, z["found"], lambda a, m: F.struct(a.alias("start"), (a + F.length(m)).alias("end"), m.alias("said")))
 
-    indexes = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.aggregate(indexes, start, step, lambda s: s["spans"]), F.array().cast(SPAN))
+    return _let(F.struct(found.alias("found"), between.alias("between")), placed)
+
+
+def _spans(matches: Column, kind: int) -> Column:
+    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))).cast(SPAN)
 
 
 def _none() -> Column:
@@ -75,71 +112,86 @@ def _none() -> Column:
 def base_spans(text: Column) -> Column:
     """Spans of the three base patterns by start, then kind.  Short matches still use up their characters, and go."""
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    long_enough = F.transform(F.filter(F.arrays_zip(_located(text, ASSIGN, 0).alias("span"), values.alias("value")), lambda z: F.length(z["value"]) >= 8), lambda z: z["span"]).cast(SPAN)
+    long_enough = F.transform(F.filter(F.arrays_zip(_spans(_matches(text, ASSIGN), 0).alias("span"), values.alias("value")), lambda z: F.length(z["value"]) >= 8), lambda z: z["span"]).cast(SPAN)
     parts = [
         F.when(text.rlike(ASSIGN_HEAD), long_enough).otherwise(_none()),
-        F.when(text.contains("AKIA") & text.rlike(ACCESS), _located(text, ACCESS, 1)).otherwise(_none()),
-        F.when(text.rlike("[0-9a-f]{32}"), _located(text, HEX, 2)).otherwise(_none()),
+        F.when(text.contains("AKIA") & text.rlike(ACCESS), _spans(_matches(text, ACCESS), 1)).otherwise(_none()),
+        F.when(text.rlike("[0-9a-f]{32}"), _spans(_matches(text, HEX), 2)).otherwise(_none()),
     ]
     return F.array_sort(F.concat(*parts))
 
 
-def _counts(n: int) -> Column:
-    """c * log2(c) for c from 0 to n, in whole units."""
-    return F.array(*[F.lit(round(c * math.log2(c) * UNIT) if c else 0).cast("long") for c in range(n + 1)])
+def _gains(n: int) -> Column:
+    """What c * log2(c) grows by, in whole units, when the count goes from c to c + 1, for c from 0 to n."""
+    of = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(n + 2)]
+    return F.array(*[F.lit(b - a).cast("long") for a, b in zip(of, of[1:], strict=False)])
 
 
 def _windows(text: Column, limit: Column, w: int) -> Column:
-    """(first, last) start of the windows whose sum of c*log2(c) is at most ``limit``; nulls where none is."""
-    table = _counts(w)
-    value = lambda c: F.get(table, c)
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, ch, F.lit("")))
-    head = F.substring(text, 1, w)
-    total = F.aggregate(F.array_distinct(F.split(head, "")), F.lit(0).cast("long"), lambda s, ch: s + F.when(ch == "", F.lit(0).cast("long")).otherwise(value(count(head, ch))))
-    state = lambda t, first, last: F.struct(t.alias("sum"), first.alias("first"), last.alias("last"))
-    none = F.lit(None).cast("int")
-    start = state(total, F.when(total <= limit, F.lit(0)), F.when(total <= limit, F.lit(0)))
-
-    def step(s: Column, i: Column) -> Column:
-        # the window moves from i - 1 to i
-        rest = text.substr(i + 1, F.lit(w - 1))
-        out, new = text.substr(i, F.lit(1)), text.substr(i + w, F.lit(1))
-        # counts among the characters that stay
-        a, b = count(rest, out), count(rest, new)
-        t = s["sum"] - value(a + 1) + value(a) + value(b + 1) - value(b)
-        t = F.when(out == new, s["sum"]).otherwise(t)
-        return state(t, F.when(t <= limit, F.coalesce(s["first"], i)).otherwise(s["first"]), F.when(t <= limit, i).otherwise(s["last"]))
-
-    moves = F.when(F.length(text) > w, F.sequence(F.lit(1), F.length(text) - w)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(moves, start, step, lambda s: F.struct(F.coalesce(s["first"], none).alias("first"), F.coalesce(s["last"], none).alias("last")))
+    """(first, last) start of the windows whose sum of c*log2(c) is at most ``limit``; nulls where none is.
+
+    ``text`` is ASCII.  The counts stand in a string, one letter for each character from "!" to "z": A for none, B for one ...
+    """
+    gains = _gains(w)
+
+    def scan(z: Column) -> Column:
+        place = lambda i: F.ascii(F.substr(z["raw"], i + 1, F.lit(1)).cast("string")) - 32
+        count = lambda s, p: F.ascii(F.substr(s["counts"], p, F.lit(1))) - 65
+        put = lambda counts, p, c: F.overlay(counts, F.char(c + 65), p, F.lit(1))
+        none = F.lit(None).cast("int")
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit("A" * 96).alias("counts"), none.alias("first"), none.alias("last"))
+
+        def reached(s: Column, i: Column) -> tuple[Column, Column]:
+            """first and last with the window that ends before i."""
+            ok = (i >= w) & (s["sum"] <= z["limit"])
+            return F.when(ok, F.coalesce(s["first"], i - w)).otherwise(s["first"]), F.when(ok, i - w).otherwise(s["last"])
+
+        def step(s: Column, i: Column) -> Column:
+            new, old = place(i), place(i - w)
+            a, b = count(s, new), count(s, old)
+            more, counts = s["sum"] + F.get(gains, a), put(s["counts"], new, a + 1)
+            total = F.when(i < w, more).when(new == old, s["sum"]).otherwise(more - F.get(gains, b - 1))
+            counts = F.when(i < w, counts).when(new == old, s["counts"]).otherwise(put(counts, old, b - 1))
+            first, last = reached(s, i)
+            return F.struct(total.alias("sum"), counts.alias("counts"), first.alias("first"), last.alias("last"))
+
+        def finish(s: Column) -> Column:
+            first, last = reached(s, z["n"])
+            return F.struct(first.alias("first"), last.alias("last"))
+
+        return F.aggregate(F.sequence(F.lit(0), z["n"] - 1), start, step, finish)
+
+    return _let(F.struct(F.encode(text, "utf-8").alias("raw"), limit.alias("limit"), F.length(text).alias("n")), scan)
 
 
 def entropy_spans(text: Column, base: Column, rule: EntropyRule = EntropyRule()) -> Column:
     """Added spans: high-entropy stretches of candidates that are neither allowed nor touched by a base span."""
     w = rule.window
-    limit = F.lit(None).cast("long")
-    word = lambda span: text.substr(span["start"] + 1, span["end"] - span["start"])
 
     def limit_of(s: Column) -> Column:
-        found = limit
+        found = F.lit(None).cast("long")
         for pattern, bits in reversed(rule.classes):
             found = F.when(s.rlike(pattern), F.lit(round((w * math.log2(w) - w * bits) * UNIT)).cast("long")).otherwise(found)
         return found
 
-    def wanted(span: Column) -> Column:
-        s = word(span)
-        ok = ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        for pattern in rule.allowed:
-            ok = ok & ~s.rlike(pattern)
-        return ok
+    def free(blocks: Column) -> Column:
+        """Candidates that are not allowed and that no base span touches; base spans are by start, in blocks with their least start and greatest end."""
+
+        def wanted(m: Column) -> Column:
+            ok = F.lit(True)
+            for found, missing in rule.allowed:
+                ok = ok & ~(m["said"].rlike(found) & ~m["said"].rlike(missing) if missing else m["said"].rlike(found))
+            touch = lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
+            return ok & ~F.exists(blocks, lambda b: touch(b) & F.exists(b["spans"], touch))
+
+        return F.filter(_matches(text, rule.candidate), wanted)
+
+    blocks = F.transform(_blocks(base), lambda b: F.struct(F.get(b, F.lit(0))["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("spans")))
 
-    def narrowed(span: Column) -> Column:
-        s = word(span)
-        found = _windows(s, limit_of(s), w)
-        return F.transform(F.array(found), lambda f: F.struct((span["start"] + f["first"]).alias("start"), F.lit(3).alias("kind"), (span["start"] + f["last"] + w).alias("end")))[0]
+    def narrowed(m: Column) -> Column:
+        return _let(_windows(m["said"], limit_of(m["said"]), w), lambda f: F.struct((m["start"] + f["first"]).alias("start"), F.lit(3).alias("kind"), (m["start"] + f["last"] + w).alias("end")))
 
-    some = F.transform(F.filter(_located(text, rule.candidate, 3), wanted), narrowed).cast(SPAN)
-    some = F.filter(some, lambda s: s["start"].isNotNull())
+    some = F.filter(F.transform(_let(blocks, free), narrowed).cast(SPAN), lambda s: s["start"].isNotNull())
     return F.when(text.rlike(rule.candidate), some).otherwise(_none())
 
 
@@ -165,17 +217,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rule: EntropyRule = EntropyR
     text = F.col("text")
     rows = docs.withColumn(base, F.when(text.isNotNull(), base_spans(text)))
     rows = rows.withColumn(spans, F.when(text.isNotNull(), F.array_sort(F.concat(F.col(base), entropy_spans(text, F.col(base), rule)))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, span: Column) -> Column:
-        new = span["end"] > s["at"]
-        kept = text.substr(s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0)))
-        # a span that begins inside the last one adds no second mark
-        out = F.concat(s["out"], kept, F.when(span["start"] >= s["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.greatest(span["end"], s["at"]).alias("at"), F.when(new, out).otherwise(s["out"]).alias("out"))
+    def marked(z: Column) -> Column:
+        # spans by start; each leaves what lies between it and the furthest end before it, and a mark unless it begins inside
+        furthest = _running(F.transform(z["spans"], lambda x: x["end"]), F.greatest)
+        cut = lambda first, last: F.array_join(F.slice(z["chars"], first + 1, F.greatest(last - first, F.lit(0))), "")
+        parts = F.zip_with(z["spans"], furthest, lambda x, at: F.when(x["start"] >= at, F.concat(cut(at, x["start"]), F.lit(mark))).otherwise(F.lit("")))
+        end = F.array_max(F.transform(z["spans"], lambda x: x["end"]))
+        return F.concat(F.array_join(parts, ""), cut(end, F.size(z["chars"])))
 
     clean = _free("clean", names)
-    found = F.aggregate(F.col(spans), start, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    found = _let(F.struct(F.col(spans).alias("spans"), F.split(text, "", -1).alias("chars")), marked)
     rows = rows.withColumn(clean, F.when(F.size(F.col(spans)) > 0, found))
     new = {"text": F.coalesce(F.col(clean), text)}
     if "n_chars" in names:
@@ -210,7 +262,7 @@ def _oracle(rule: EntropyRule = EntropyRule()) -> str:
     w = rule.window
     table = ", ".join(str(round(c * math.log2(c) * UNIT) if c else 0) for c in range(w + 1))
     limit = " ".join(f"WHEN regexp_matches(s, {_quoted(p)}) THEN {round((w * math.log2(w) - w * bits) * UNIT)}" for p, bits in rule.classes)
-    allowed = " AND ".join(f"NOT regexp_matches(s, {_quoted(p)})" for p in rule.allowed)
+    allowed = " AND ".join(f"NOT (regexp_matches(s, {_quoted(p)}){f' AND NOT regexp_matches(s, {_quoted(q)})' if q else ''})" for p, q in rule.allowed)
     names = ", ".join(_quoted(k) for k in KINDS)
     said = f"string_agg(list_extract([{names}], kind + 1) || ':' || a || ':' || b, ',' ORDER BY a, kind, b)"
     return f"""
