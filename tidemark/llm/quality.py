@@ -10,8 +10,8 @@ Only the fit sees a sample: ``sample_rows`` labelled rows at most, those first b
 Every document is scored, over its whole text.
 
 Defined cases: a text without words, and a null text, has no evidence and is kept, with null
-scores; repeated labels of a document count once, at the lowest grade; labels with nulls are left
-out; without labels of two grades nothing is learned and every score is null; rows with equal
+scores; repeated labels of a document count once, at the lowest grade; of labelled rows with equal
+doc_id the least text is fitted; labels with nulls are left out; without labels of two grades nothing is learned and every score is null; rows with equal
 doc_id each give a row; an empty table gives no rows; other columns are ignored, or kept by ``keep_good``.
 """
 
@@ -156,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on a bounded sample of the labelled documents."""
 
     def run(batches):
+        common.held("quality")
         for b in common.slices(batches):
             texts, grade = _texts(b.column(1)), b.column(2).to_numpy()
             for i, j in words.groups(texts):
@@ -170,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # sample_rows rows of 16 bytes at most
     sample = F.broadcast(grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(sample, "doc_id").select("doc_id", "text", "grade").transform(common.arrow, run, "doc_id long, grade int, buckets array<int>").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(sample, "doc_id")
+    # as many rows as the sample has reach the driver, however often a doc_id stands in docs
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade")).transform(common.arrow, run, "doc_id long, grade int, buckets array<int>").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     lists = rows.column("buckets").combine_chunks()
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
@@ -193,6 +196,7 @@ def score_documents(docs: DataFrame, model: CumulativeLink | None, least_tail: f
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        common.held("quality")
         for b in common.slices(batches):
             grade, tail, known, keep = _judged(_texts(b.column(1)), shared.value, least_tail)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(grade, 6), mask=~known), pa.array(np.round(tail, 6), mask=~known), pa.array(keep)], ["doc_id", "expected_grade", "tail_probability", "keep"])
@@ -206,6 +210,7 @@ def keep_good(docs: DataFrame, model: CumulativeLink | None, least_tail: float =
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
+        common.held("quality")
         for b in common.slices(batches):
             yield b.filter(pa.array(_judged(_texts(b.column(at)), shared.value, least_tail)[3]))
 
