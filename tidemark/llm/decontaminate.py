@@ -7,8 +7,8 @@ the window may move on without missing a pattern (m - 1 for a block that no patt
 shift is 0, the patterns that end in this block and begin with the window's first word are compared
 with the text word by word.
 
-The benchmark is read in blocks of at most ``block_words`` pattern words, each a search of its own
-over all documents; with more than one block, what they hit is joined by document.
+The benchmark is read in blocks of at most ``block_words`` pattern words, one at a time, each a search
+of its own over all documents; with more than one block, what they hit is joined by a key of the row.
 
 Defined cases: a null or empty text has no words and is clean; an item without words has no
 pattern; items with equal id count once; an item without id counts under the empty string; rows
@@ -18,7 +18,8 @@ table gives no rows, an empty benchmark hits nothing; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import itertools
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -31,6 +32,9 @@ from . import common
 #: A-Z to a-z; what is no digit, letter or part of a longer UTF-8 character to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+#: Words in the patterns of a block; a Python worker holds some 80 bytes for each.
+BLOCK_WORDS = 1_000_000
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
@@ -96,41 +100,41 @@ def contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-_BUILT: dict[int, list[WuManber]] = {}
-
-
 def _built(shared, window: int) -> list[WuManber]:
     """The searches for a broadcast block; a Python worker keeps those of one block."""
-    key = hash((window, tuple(shared.value)))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = searches(shared.value, window)
-    return _BUILT[key]
+    return common.held("decontaminate", hash((window, tuple(shared.value))), lambda: searches(shared.value, window))
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark in blocks whose patterns have at most ``block_words`` words (one item at least)."""
-    blocks, n = [[]], 0
+def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark in blocks whose patterns have at most ``block_words`` words (one item at least); one block is held at a time."""
+    block, n = [], 0
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text")).orderBy("item_id", "text")
     for item, text in rows.toLocalIterator():
         raw = (text or "").encode()
         size = window * len(words_of(raw))
-        if blocks[-1] and n + size > block_words:
-            blocks.append([])
-            n = 0
-        blocks[-1].append((item or "", raw))
+        if block and n + size > block_words:
+            yield block
+            block, n = [], 0
+        block.append((item or "", raw))
         n += size
-    return blocks
+    yield block
+
+
+def _one_or_more(blocks: Iterator[list]) -> tuple[list | None, Iterator[list]]:
+    """The only block, or None and all of them."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return (first, iter([])) if second is None else (None, itertools.chain([first, second], blocks))
 
 
 def _texts(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 4_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     spark = docs.sparkSession
-    blocks = item_blocks(benchmark, window, block_words)
+    only, blocks = _one_or_more(item_blocks(benchmark, window, block_words))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -141,8 +145,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wor
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         )
 
-    if len(blocks) == 1:
-        shared = spark.sparkContext.broadcast(blocks[0])
+    if only is not None:
+        shared = spark.sparkContext.broadcast(only)
 
         def run(batches):
             found = _built(shared, window)
@@ -163,7 +167,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wor
     return _over_blocks(docs, blocks, window, scratch).drop("row")
 
 
-def _over_blocks(docs: DataFrame, blocks: list[list[tuple[str, bytes]]], window: int, scratch: common.Scratch) -> DataFrame:
+def _over_blocks(docs: DataFrame, blocks: Iterator[list[tuple[str, bytes]]], window: int, scratch: common.Scratch) -> DataFrame:
     """What ``find_hits`` gives, and row, of (doc_id, text, row): each block gives the places it hits, joined by the row's key."""
     spark, parts = docs.sparkSession, []
     for k, block in enumerate(blocks):
@@ -182,6 +186,7 @@ def _over_blocks(docs: DataFrame, blocks: list[list[tuple[str, bytes]]], window:
                 yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["row", "doc_id", "n_words", "at", "items"])
 
         parts.append(scratch.keep(docs.transform(common.arrow, run, "row long, doc_id long, n_words long, at array<long>, items array<string>"), f"block{k}"))
+        shared.destroy()
     everything = parts[0]
     for p in parts[1:]:
         everything = everything.unionByName(p)
@@ -190,11 +195,11 @@ def _over_blocks(docs: DataFrame, blocks: list[list[tuple[str, bytes]]], window:
     return joined.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 4_000_000) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     spark = docs.sparkSession
-    blocks = item_blocks(benchmark, window, block_words)
-    if len(blocks) > 1:
+    only, blocks = _one_or_more(item_blocks(benchmark, window, block_words))
+    if only is None:
         # rows are judged by a key of their own: a doc_id may be null or stand twice
         scratch, key = common.Scratch(spark, "decontaminate"), "row_key"
         while key in {c.lower() for c in docs.columns}:
@@ -202,7 +207,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wo
         rows = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
         judged = _over_blocks(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("row")), blocks, window, scratch)
         return rows.join(judged.where("contaminated").select(F.col("row").alias(key)), key, "left_anti").select(docs.columns)
-    shared, at = spark.sparkContext.broadcast(blocks[0]), docs.columns.index("text")
+    shared, at = spark.sparkContext.broadcast(only), docs.columns.index("text")
 
     def run(batches):
         found = _built(shared, window)
