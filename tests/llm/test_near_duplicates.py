@@ -123,7 +123,9 @@ def test_classes_against_all_pairs(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     key = lambda r: (r[0] is not None, *map(lambda x: x or 0, r))
     # equal rows of one id and text are one document
-    got = sorted({(r.doc_id, r.class_id) for r in n.classes(df).collect()}, key=key)
+    rows = n.classes(df).collect()
+    assert len(rows) == len({(i, t) for i, t in docs if i is not None and t is not None}) + 2
+    got = sorted({(r.doc_id, r.class_id) for r in rows}, key=key)
     assert got == sorted(set(brute(docs)), key=key)
     kept = sorted(((r.doc_id, r.text) for r in n.keep_first(df).collect()), key=lambda r: (r[0] or -1, r[1] or ""))
     assert kept == sorted((d for d, (_, c) in zip(docs, brute(docs), strict=True) if d[0] is None or c >= d[0]), key=lambda r: (r[0] or -1, r[1] or ""))

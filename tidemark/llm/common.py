@@ -49,8 +49,10 @@ class Scratch:
     #: Spark deletes a job's shuffle files when the job has ended: its result is a table by then.
     CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, alike: bool = False):
+        """``alike``: tables that grow with the input are joined by shuffles at every size, not broadcast while they happen to be small."""
         self.spark = spark
+        self.settings = {self.CLEANUP: "true"} | ({"spark.sql.autoBroadcastJoinThreshold": "-1"} if alike else {})
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         fs, p = self._hadoop("")
         fs.mkdirs(p)
@@ -65,7 +67,9 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """Write ``df`` once (in folders ``by`` its last columns) and read it back: lineage is cut and lost executors lose nothing."""
-        with setting(self.spark, self.CLEANUP, "true"):
+        with contextlib.ExitStack() as inside:
+            for k, v in self.settings.items():
+                inside.enter_context(setting(self.spark, k, v))
             df.write.mode("overwrite").partitionBy(*by).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -149,21 +149,22 @@ def _sign(batches):
             )
 
 
-def _central(reps: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(doc, score): how many documents share the document's buckets in the first CENTRAL bands; documents that share none have no row."""
-    rows = reps.select("doc", F.explode(F.slice("bands", 1, CENTRAL)).alias("key"))
+def _buckets(reps: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(doc, key, band, size) of the buckets with two members or more; all that follows works on these."""
+    rows = reps.select("doc", F.posexplode("bands").alias("band", "key"))
     sizes = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    return rows.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("score"))
+    return scratch.keep(rows.join(sizes, "key").select("doc", "key", F.col("band").cast("byte").alias("band"), "size"), "buckets")
 
 
-def _led(rows: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
-    """(key, doc, leader) of buckets with two members or more, from (doc, score, key); the leader is the most central member.
+def _led(rows: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(doc, leader) in every bucket, of its members and the most central one: that with the most company in the first CENTRAL bands.
 
     The leaders are written before they are joined: both sides are then plain shuffles, whose large partitions Spark may split.
     """
-    best = rows.groupBy("key").agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"))).alias("best"), F.count("*").alias("size")).where("size > 1")
-    leader = scratch.keep(best.select("key", (-F.col("best.minus")).alias("leader")), f"{name}-leader")
-    return scratch.keep(rows.select("doc", "key").join(leader, "key").where("doc <> leader").select("key", "doc", "leader"), f"{name}-led")
+    score = scratch.keep(rows.groupBy("doc").agg(F.sum(F.when(F.col("band") < CENTRAL, F.col("size")).otherwise(0)).alias("score")), "scores")
+    best = rows.select("doc", "key").join(score, "doc").groupBy("key").agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"))).alias("best"))
+    leader = scratch.keep(best.select("key", (-F.col("best.minus")).alias("leader")), "leaders")
+    return rows.select("doc", "key").join(leader, "key").where("doc <> leader").select("doc", "leader")
 
 
 def _texts_of(asked: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
@@ -178,10 +179,9 @@ def _texts_of(asked: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame
     return texts.join(rows, ["doc_id", "digest"]).groupBy("doc").agg(F.first("text").alias("text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(doc, leader, similarity) of distinct pairs, by the exact J_P of the whole texts."""
-    pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
-    texts = _texts_of(pairs.select("doc").union(pairs.select("leader")).distinct(), texts, first)
+    pairs = scratch.keep(pairs.distinct(), "pairs")
 
     def run(batches):
         common.held("near_duplicates")
@@ -195,12 +195,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, scratch: com
                 found.append(probability_jaccard(shingle_counts(one), shown))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], ["doc", "leader", "similarity"])
 
-    # read twice, so written: an aggregate's output in a join would hold large partitions together
-    texts = scratch.keep(texts, f"{name}-texts")
-    joined = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("other")), "leader")
+    # a document has BANDS leaders at most, a leader any number of documents: its text is written before the join, which may then be split
+    leaders = scratch.keep(_texts_of(pairs.select(F.col("leader").alias("doc")).distinct(), texts, first), "leader-texts")
+    own = pairs.join(_texts_of(pairs.select("doc").distinct(), texts, first), "doc")
+    joined = own.join(leaders.select(F.col("doc").alias("leader"), F.col("text").alias("other")), "leader")
     out = joined.select("doc", "leader", "text", "other").sortWithinPartitions("leader").transform(common.arrow, run, "doc long, leader long, similarity double")
-    out = scratch.keep(out, f"{name}-verified")
-    scratch.drop(f"{name}-texts", f"{name}-pairs")
+    out = scratch.keep(out, "verified")
+    scratch.drop("leader-texts", "pairs")
     return out
 
 
@@ -314,21 +315,21 @@ def _verifying(least: int, threshold: float):
     return run
 
 
-def _rest(reps: DataFrame, roots: DataFrame, texts: DataFrame, first: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
+def _rest(reps: DataFrame, buckets: DataFrame, roots: DataFrame, texts: DataFrame, first: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
     """(a, b): verified links between members of buckets that aren't of one class by ``roots``; they join all classes that any pair joins."""
-    own = reps.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root"), "bands", "sketch")
-    own = scratch.keep(own, "own")
-    rows = own.select("doc", "root", F.explode("bands").alias("key"))
+    rows = buckets.select("doc", "key").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("doc", "key", F.coalesce("root", "doc").alias("root"))
+    rows = scratch.keep(rows, "rows")
     of_class = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = of_class.groupBy("key").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("size"), F.count("*").alias("classes")).where("classes > 1")
     tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
     mixed = scratch.keep(mixed.select("key", F.col("major.root").alias("major"), tiles(F.col("size")).alias("here"), tiles(F.col("size") - F.col("major.n")).alias("asking")), "mixed")
-    met = rows.join(mixed, "key").select("doc", "key", "here", "asking", (F.col("root") != F.col("major")).alias("minor"))
+    met = rows.join(mixed, "key").select("doc", "root", "key", "here", "asking", (F.col("root") != F.col("major")).alias("minor"))
     every, place = lambda n: F.sequence(F.lit(0), n - 1), lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
-    stay = met.select("doc", "key", place(F.col("here")).alias("i"), F.explode(every(F.col("asking"))).alias("j"), F.lit(0).alias("role"), F.col("minor").cast("int").alias("minor"))
-    ask = met.where("minor").select("doc", "key", F.explode(every(F.col("here"))).alias("i"), place(F.col("asking")).alias("j"), F.lit(1).alias("role"), F.lit(1).alias("minor"))
+    stay = met.select("doc", "root", "key", place(F.col("here")).alias("i"), F.explode(every(F.col("asking"))).alias("j"), F.lit(0).alias("role"), F.col("minor").cast("int").alias("minor"))
+    ask = met.where("minor").select("doc", "root", "key", F.explode(every(F.col("here"))).alias("i"), place(F.col("asking")).alias("j"), F.lit(1).alias("role"), F.lit(1).alias("minor"))
     order, least = ["key", "i", "j", "doc", "root", "role", "minor", "sketch", "bands"], least_agreement(threshold)
     met = scratch.keep(stay.unionByName(ask), "met")
+    own = reps.select("doc", "sketch", "bands")
 
     def dealt(rows: DataFrame, *more: str) -> DataFrame:
         return rows.select(*order, *more).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
@@ -343,31 +344,32 @@ def _rest(reps: DataFrame, roots: DataFrame, texts: DataFrame, first: DataFrame,
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), n_copies (rows with an equal text), n_links (links of its text that were verified and join its class)."""
-    return _classes(docs, threshold).drop("digest")
+    # rows of one id and text are one; by a tag, as the join by digest has to be free to split a text that stands very often
+    known = _classes(docs, threshold).select("doc_id", "class_id", "n_copies", "n_links", F.xxhash64("digest").alias("tag")).distinct().drop("tag")
+    rest = docs.where("text IS NULL OR doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    return known.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """What ``classes`` gives, and the digest of the row's text (null for rows without id or text)."""
+    """What ``classes`` gives for every row with an id and a text, and the text's digest."""
     spark = docs.sparkSession
-    scratch = common.Scratch(spark, "near")
+    scratch = common.Scratch(spark, "near", alike=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("digest"), F.col("text").alias("text"))
     texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL")
     signed = scratch.keep(texts.transform(common.arrow, _sign, "doc_id long, digest binary, bands array<long>, sketch binary"), "signed")
-    first = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     # each distinct text has a number, ``doc``; written, so that it stays the same
+    first = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     first = scratch.keep(first.withColumn("doc", F.monotonically_increasing_id()), "first")
-    reps = signed.where(F.size("bands") > 0).join(first.select("digest", F.col("rep").alias("doc_id"), "doc"), ["digest", "doc_id"])
-    reps = scratch.keep(reps.groupBy("doc").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
-    scored = reps.join(_central(reps, scratch), "doc", "left").select("doc", F.coalesce("score", F.lit(0)).alias("score"), "bands")
+    reps = first.where(F.size("bands") > 0).select("doc", "bands", "sketch")
+    buckets = _buckets(reps, scratch)
 
-    led = _led(scored.select("doc", "score", F.explode("bands").alias("key")), scratch, "one")
     like = F.col("similarity") >= threshold
-    tested = _verified(led.select("doc", "leader"), texts, first, scratch, "one")
-    scratch.drop("one-leader", "one-led")
+    tested = _verified(_led(buckets, scratch), texts, first, scratch)
+    scratch.drop("sizes", "scores", "leaders")
     close = scratch.keep(tested.where(like).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct(), "close")
-    rest = _rest(reps, components(close, common.Scratch(spark, "near")), texts, first, threshold, scratch)
+    rest = _rest(reps, buckets, components(close, common.Scratch(spark, "near", alike=True)), texts, first, threshold, scratch)
     kept = scratch.keep(close.unionByName(rest).distinct(), "links")
-    scratch.drop("reps", "own", "mixed", "met", "asked", "told", "close")
+    scratch.drop("buckets", "rows", "mixed", "met", "asked", "told", "close")
     roots = components(kept, scratch)
     degree = kept.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
     named = first.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").join(degree, "doc", "left")
@@ -375,9 +377,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     # the least doc_id of each class of two texts or more
     least = scratch.keep(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
     named = scratch.keep(named.join(least, "root", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), "n_copies", "n_links"), "classes")
-    out = signed.select("doc_id", "digest").distinct().join(named, "digest").select("doc_id", "digest", "class_id", "n_copies", "n_links")
-    rest = docs.where("text IS NULL OR doc_id IS NULL").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(rest)
+    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id", "n_copies", "n_links")
 
 
 def _digest(text):
@@ -390,8 +390,8 @@ def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Rows are judged by doc_id and text: of rows with equal doc_id only those whose text's class has a smaller one go.
     """
-    scratch = common.Scratch(docs.sparkSession, "near")
-    drop = scratch.keep(_classes(docs, threshold).where("class_id < doc_id").select(F.col("doc_id").alias("id"), F.col("digest").alias("of")).distinct(), "drop")
+    scratch = common.Scratch(docs.sparkSession, "near", alike=True)
+    drop = scratch.keep(_classes(docs, threshold).where("class_id < doc_id").select(F.col("doc_id").alias("id"), F.col("digest").alias("of")), "drop")
     gone = (F.col("of") == _digest(docs["text"])) & (F.col("id") == docs["doc_id"])
     return docs.join(drop, gone, "left_anti").select(docs.columns)
 
