@@ -84,21 +84,21 @@ def run_two_part(expr: DataFrame, obs: DataFrame, var: DataFrame, ref: str, test
     settings = preset(settings) if mast_compat else settings
     settings.labels = {"comparison": f"{ref}_vs_{test}", "ref_level": ref, "test_level": test}
     result, gate = two_part(expr, obs.withColumn("cond", condition.by_label(F.col(column), ref)), var, settings)
-    return _written(result, gate, folder, prefix, form, name)
+    return _written(result, gate, var, folder, prefix, form, name)
 
 
 def run_threshold(expr: DataFrame, obs: DataFrame, var: DataFrame, score: str, threshold: float, ref: str = "low", test: str = "high", folder: str | None = None, prefix: str = "threshold", form: str = "parquet", name: str | None = None, settings: Settings = Settings()) -> DataFrame | str:
     """The same with the condition from a numeric score."""
     settings.labels = {"comparison": f"{test}_vs_{ref}_thr{threshold}", "ref_level": ref, "test_level": test}
     result, gate = two_part(expr, obs.withColumn("cond", condition.by_threshold(F.col(score), threshold)), var, settings)
-    return _written(result, gate, folder, prefix, form, name)
+    return _written(result, gate, var, folder, prefix, form, name)
 
 
-def _written(result: DataFrame, gate: DataFrame, folder: str | None, prefix: str, form: str, name: str | None) -> DataFrame | str:
+def _written(result: DataFrame, gate: DataFrame, var: DataFrame, folder: str | None, prefix: str, form: str, name: str | None) -> DataFrame | str:
     if folder is None:
         return result
     path, diag = writers.result_path(folder, prefix, form, name)
-    writers.write_result(result, path)
+    writers.write_result(result, path, var)
     # counts come from what was written: nothing is computed twice
     written = readers.read_result(result.sparkSession, path)
     writers.diagnostics(written, gate).orderBy("celltype").coalesce(1).write.mode("overwrite").option("header", True).csv(diag)

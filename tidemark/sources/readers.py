@@ -33,24 +33,25 @@ def read_result(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in RESULT if f.name in df.columns])
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a text file, or of a folder's parts, with what puts them in order: file, split, and a number within the read."""
+    df = spark.read.text(path)
+    return df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with their 1-based numbers (side files: one line a gene or cell)."""
-    return spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0].value)).toDF("i long, name string")
+    """Lines of a side file with their 1-based numbers (one line a gene or cell)."""
+    ordered = _lines(spark, path).orderBy("file", "block", "line").select("value")
+    return ordered.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0].value)).toDF("i long, name string")
 
 
 def read_matrix_market(spark: SparkSession, folder: str, matrix: str = "counts.mtx", genes: str = "genes.txt", cells: str = "cells.txt") -> DataFrame:
     """cell_id, gene, n of a genes x cells coordinate file with its two side files."""
-    lines = spark.read.text(f"{folder}/{matrix}").where(~F.col("value").startswith("%"))
+    lines = _lines(spark, f"{folder}/{matrix}").where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    # the size line is the first that is no comment, whatever it looks like
+    head = lines.orderBy("file", "block", "line").first()
     parts = F.split(F.trim("value"), "\\s+")
-    rows = lines.select(parts[0].cast("long").alias("i"), parts[1].cast("long").alias("j"), parts[2].cast("double").alias("n"))
-    size = spark.read.text(f"{folder}/{matrix}").where(~F.col("value").startswith("%")).limit(1).select(parts.alias("p")).first()["p"]
-    head = (F.col("i") == int(size[0])) & (F.col("j") == int(size[1])) & (F.col("n") == float(size[2]))
-    # the size line may look like an entry: it is the first line, and entries are counted without it
-    entries = rows.withColumn("head", head)
-    if entries.where("head").count() == 1:
-        entries = entries.where("NOT head")
-    else:
-        entries = entries.dropDuplicates(["i", "j"])
+    entries = lines.where(F.col("line") != (head["line"] if head else -1)).select(parts[0].cast("long").alias("i"), parts[1].cast("long").alias("j"), parts[2].cast("double").alias("n"))
     g = _numbered(spark, f"{folder}/{genes}").select("i", F.col("name").alias("gene"))
     c = _numbered(spark, f"{folder}/{cells}").select(F.col("i").alias("j"), F.col("name").alias("cell_id"))
     return entries.join(g, "i").join(c, "j").select("cell_id", "gene", "n")

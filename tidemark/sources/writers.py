@@ -16,9 +16,14 @@ def result_path(folder: str, prefix: str, form: str = "parquet", name: str | Non
     return f"{folder}/{file}", f"{folder}/{file.rsplit('.', 1)[0]}_diagnostics.csv"
 
 
-def write_result(df: DataFrame, path: str) -> str:
-    """One distributed write in cell type and gene order; an empty result still has its columns."""
-    out = conform(df).orderBy("celltype", "gene")
+def write_result(df: DataFrame, path: str, var: DataFrame | None = None) -> str:
+    """One distributed write by cell type and gene, genes in the input's order where ``var`` has it (gene, gene_pos); an empty result still has its columns."""
+    out = conform(df)
+    if var is not None and "gene_pos" in var.columns:
+        names, place = out.columns, var.groupBy("gene").agg(F.min("gene_pos").alias("gene_pos"))
+        out = out.join(place, "gene", "left").orderBy("celltype", F.col("gene_pos").asc_nulls_last(), "gene").select(names)
+    else:
+        out = out.orderBy("celltype", "gene")
     if path.endswith(".csv"):
         out.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
     else:
@@ -37,11 +42,15 @@ def diagnostics(result: DataFrame, gate: DataFrame) -> DataFrame:
 
 
 def write_matrix_market(expr: DataFrame, folder: str, value: str = "n") -> None:
-    """genes x cells coordinate lines and the two side tables, all written by Spark."""
+    """A genes x cells coordinate file (header, size line, entries by gene and cell) and the two side files, for ``read_matrix_market``
+    with the names matrix, genes and cells.  Each is a folder of parts whose names are in order."""
     genes, cells = expr.select("gene").distinct(), expr.select("cell_id").distinct()
     number = lambda df, c: df.orderBy(c).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)).toDF(df.schema.add("i", "long"))
     g, c = number(genes, "gene"), number(cells, "cell_id").withColumnRenamed("i", "j")
-    lines = expr.join(g, "gene").join(c, "cell_id").select(F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.format_string("%.7g", F.col(value).cast("double"))).alias("value"))
-    lines.write.mode("overwrite").text(f"{folder}/matrix")
-    g.orderBy("i").select("gene").coalesce(1).write.mode("overwrite").text(f"{folder}/genes")
-    c.orderBy("j").select(F.col("cell_id").cast("string")).coalesce(1).write.mode("overwrite").text(f"{folder}/cells")
+    entries = expr.join(g, "gene").join(c, "cell_id").select("i", "j", F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.format_string("%.17g", F.col(value).cast("double"))).alias("value"))
+    spark, n = expr.sparkSession, entries.count()
+    size = f"{genes.count()} {cells.count()} {n}"
+    head = spark.createDataFrame([(-1, 0, "%%MatrixMarket matrix coordinate real general"), (0, 0, size)], "i long, j long, value string")
+    head.unionByName(entries).orderBy("i", "j").select("value").write.mode("overwrite").text(f"{folder}/matrix")
+    g.orderBy("i").select("gene").write.mode("overwrite").text(f"{folder}/genes")
+    c.orderBy("j").select(F.col("cell_id").cast("string")).write.mode("overwrite").text(f"{folder}/cells")
