@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import special
@@ -111,8 +112,9 @@ def test_matrix_market_round_trip(spark, data, tmp_path):
     (m / "cells.txt").write_text("x\ny\nz\n")
     got = {tuple(r) for r in readers.read_matrix_market(spark, str(m)).collect()}
     assert got == {("x", "a", 5.0), ("z", "b", 1.0), ("y", "a", 4.0)}
-    writers.write_matrix_market(spark.createDataFrame(sorted(got), "cell_id string, gene string, n double"), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out" / "matrix")).count() == 3
+    writers.write_matrix_market(spark.createDataFrame(sorted(got), "cell_id string, gene string, n double").repartition(3), str(tmp_path / "out"))
+    assert {tuple(r) for r in readers.read_matrix_market(spark, str(tmp_path / "out"), "matrix", "genes", "cells").collect()} == got
+    assert spark.read.text(str(tmp_path / "out" / "matrix")).count() == 5
 
 
 def test_adjusted_p(spark):
@@ -165,7 +167,7 @@ def test_wald_test_ignores_sample_order():
 
 def test_donor_splits():
     for n in (4, 5, 6, 7):
-        s = calibrate.donor_splits(list(range(n)))
+        s = calibrate.donor_splits(list(range(n)), 1000)
         assert len(s) == calibrate.n_donor_splits(n) == len({tuple(x) for x in s})
         assert all(sum(a for _, a in x) == len(x) // 2 for x in s)
 
@@ -176,3 +178,32 @@ def test_separated_logistic_fit():
     beta, llf = general.fit_logistic(x, y)
     assert np.isfinite(llf).all() and abs(llf[0]) < 1e-3 and np.abs(beta[1]).max() < 1e-8
     assert general.contingency(5, 10, 5, 10, "chisq")[0] == 0 and general.contingency(0, 10, 0, 10, "fisher")[2] == "constant"
+
+
+def test_matrix_market_size_line_like_an_entry(tmp_path, spark):
+    """A 2 x 2 matrix of two entries whose size line could be an entry, which also stands as one."""
+    (tmp_path / "counts.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% note\n2 2 2\n1 1 7\n2 2 2\n")
+    (tmp_path / "genes.txt").write_text("b\na\n")
+    (tmp_path / "cells.txt").write_text("x\ny\n")
+    assert {tuple(r) for r in readers.read_matrix_market(spark, str(tmp_path)).collect()} == {("x", "b", 7.0), ("y", "a", 2.0)}
+
+
+def test_result_keeps_the_order_of_the_input(tmp_path, spark):
+    var = spark.createDataFrame([("b", 0), ("c", 1), ("a", 2)], "gene string, gene_pos int")
+    rows = spark.createDataFrame([("T", g) for g in "abc"] + [("S", g) for g in "cab"], "celltype string, gene string")
+    path = writers.write_result(rows, str(tmp_path / "r.parquet"), var)
+    files = sorted(f for f in (tmp_path / "r.parquet").iterdir() if f.suffix == ".parquet")
+    got = [(r["celltype"], r["gene"]) for f in files for r in pq.read_table(f).to_pylist()]
+    assert got == [(t, g) for t in "ST" for g in "bca"] and path.endswith("r.parquet")
+
+
+def test_random_splits_are_different_and_equal(spark):
+    for n, most, expected in ((4, 10, 3), (7, 6, 6), (25, 12, 12)):
+        rows = calibrate.random_splits(spark.createDataFrame([(d,) for d in range(100, 100 + n)], "donor long"), most).collect()
+        splits = {}
+        for r in rows:
+            splits.setdefault(r.split_id, {}).setdefault(r.arm, set()).add(r.donor)
+        assert len(splits) == expected == len({frozenset(map(frozenset, s.values())) for s in splits.values()})
+        assert all(len(s[0]) == len(s[1]) == n // 2 and min(s[0] | s[1]) in s[0] for s in splits.values())
+    with pytest.raises(ValueError):
+        calibrate.donor_splits(list(range(25)), 1000)

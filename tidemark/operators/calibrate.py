@@ -18,10 +18,13 @@ def permuted(obs: DataFrame, seed: int = 0) -> DataFrame:
     return a.join(b, ["celltype", "_k"]).drop("_k")
 
 
-def donor_splits(donors: list, most: int | None = None) -> list[list[tuple]]:
-    """All ways to deal donors into two equal arms, mirror images once (the first donor stays in arm 0); an odd
-    one is left out in turn.  With ``most``, that many evenly spaced ones."""
+def donor_splits(donors: list, most: int) -> list[list[tuple]]:
+    """Ways to deal donors into two equal arms, mirror images once (the first donor stays in arm 0); an odd one is
+    left out in turn.  All ways have to be ``most`` at most: their number grows as that of combinations (``random_splits``
+    draws from more donors)."""
     donors = sorted(donors)
+    if n_donor_splits(len(donors)) > most:
+        raise ValueError(f"{len(donors)} donors have {n_donor_splits(len(donors))} splits, more than {most}: draw some by random_splits")
     sets = [donors] if len(donors) % 2 == 0 else [donors[:i] + donors[i + 1 :] for i in range(len(donors))]
     found = []
     for group in sets:
@@ -29,8 +32,6 @@ def donor_splits(donors: list, most: int | None = None) -> list[list[tuple]]:
         for rest in combinations(group[1:], half - 1):
             arm = {group[0], *rest}
             found.append([(d, 0 if d in arm else 1) for d in group])
-    if most is not None and len(found) > most:
-        found = [found[i * len(found) // most] for i in range(most)]
     return found
 
 
@@ -42,9 +43,33 @@ def split_table(spark: SparkSession, splits: list[list[tuple]]) -> DataFrame:
     return spark.createDataFrame([(i, d, arm) for i, s in enumerate(splits) for d, arm in s], "split_id int, donor long, arm int")
 
 
+def eligible_donors(obs: DataFrame, least: int = 10) -> DataFrame:
+    """Donors with ``least`` cells or more."""
+    return obs.groupBy("donor").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("donor")
+
+
+def random_splits(donors: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """(split_id, donor, arm): up to ``most`` different equal splits of all donors, never listing all there are.
+
+    Draw k orders the donors by a hash of (seed, k, donor): the first half is one arm, the second the other, an odd donor
+    stays out.  The arm with the least donor is arm 0, so that mirror images are one; of equal draws the first counts.  Four
+    draws are made for each split asked for: few donors may give fewer splits.
+    """
+    spark = donors.sparkSession
+    draws = donors.select("donor").distinct().crossJoin(F.broadcast(spark.range(4 * most).select(F.col("id").cast("int").alias("split_id"))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("split_id").cast("string"), F.col("donor").cast("string")))
+    each = Window.partitionBy("split_id")
+    dealt = draws.withColumn("r", F.row_number().over(each.orderBy(key, "donor"))).withColumn("half", F.floor(F.count("*").over(each) / 2))
+    dealt = dealt.where(F.col("r") <= 2 * F.col("half")).withColumn("arm", (F.col("r") > F.col("half")).cast("int"))
+    dealt = dealt.withColumn("arm", F.abs(F.col("arm") - F.min_by("arm", "donor").over(each)))
+    drawn = dealt.groupBy("split_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("donor").cast("string"), F.col("arm").cast("string")))), ","), 256).alias("same"))
+    first = drawn.groupBy("same").agg(F.min("split_id").alias("split_id")).orderBy("split_id").limit(most)
+    return dealt.join(F.broadcast(first.select("split_id")), "split_id").select("split_id", "donor", "arm")
+
+
 def swapped(obs: DataFrame, splits: DataFrame) -> DataFrame:
-    """Every split's cells in one table: the arm becomes the condition.  The split table is small by construction."""
-    return obs.drop("cond").join(F.broadcast(splits.withColumnRenamed("arm", "cond")), "donor")
+    """Every split's cells in one table: the arm becomes the condition."""
+    return obs.drop("cond").join(splits.withColumnRenamed("arm", "cond"), "donor")
 
 
 def stratified(obs: DataFrame, by: list[str], n: int, seed: int = 0) -> DataFrame:

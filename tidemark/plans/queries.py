@@ -442,10 +442,12 @@ def symdiff_calls(spark, sf):
     return compare.changed_calls(a, b, 0.3)
 
 
-@query(with_stats(10) + f" SELECT celltype, gene, {STRICT} AS skip_reason FROM stats WHERE {STRICT} <> ''")
+@query(with_stats(10) + f" SELECT celltype, gene, {STRICT} AS skip_reason FROM stats WHERE {STRICT} <> '' UNION ALL SELECT celltype, gene || '*', 'absent' FROM stats")
 def missing_reasons(spark, sf):
+    """Of the genes tested and as many that the run has no row of."""
     s = _stats(spark, sf)
-    return compare.missing_with_reason(s.select("celltype", "gene"), s).select("celltype", "gene", "skip_reason")
+    asked = s.select("celltype", "gene")
+    return compare.missing_with_reason(asked.unionByName(asked.select("celltype", F.concat("gene", F.lit("*")).alias("gene"))), s).select("celltype", "gene", "skip_reason")
 
 
 @query(ADJUSTED + ", t AS (SELECT celltype, gene, CAST(row_number() OVER (PARTITION BY celltype ORDER BY p, gene) AS INTEGER) AS rank FROM adj WHERE p IS NOT NULL) SELECT * FROM t WHERE rank <= 10")
@@ -553,13 +555,20 @@ def design_quartile_fp(spark, sf):
     return e.select("celltype", "gene", scoring.quartile("i", ["celltype"]).alias("quartile"))
 
 
-SPLIT_VALUES = ", ".join(f"({i}, {d}, {a})" for i, s in enumerate(calibrate.donor_splits(list(range(6)))) for d, a in s)
+SPLITS = """, donors AS (SELECT donor FROM obs GROUP BY 1 HAVING count(*) >= 10),
+draws AS (SELECT k AS split_id, donor, row_number() OVER (PARTITION BY k ORDER BY md5('0:' || k || ':' || donor), donor) AS r, count(*) OVER (PARTITION BY k) // 2 AS half FROM donors, range(40) t(k)),
+arms AS (SELECT split_id, donor, CAST(r > half AS INTEGER) AS arm FROM draws WHERE r <= 2 * half),
+dealt AS (SELECT split_id, donor, abs(arm - arg_min(arm, donor) OVER (PARTITION BY split_id)) AS arm FROM arms),
+drawn AS (SELECT split_id, string_agg(donor || ':' || arm, ',' ORDER BY donor) AS same FROM dealt GROUP BY 1),
+firsts AS (SELECT min(split_id) AS split_id FROM drawn GROUP BY same ORDER BY 1 LIMIT 10),
+splits AS (SELECT dealt.* FROM dealt SEMI JOIN firsts USING (split_id))"""
 
 
-@query(BASE + f", splits(split_id, donor, arm) AS (VALUES {SPLIT_VALUES}) SELECT CAST(split_id AS INTEGER) AS split_id, celltype, count(*) FILTER (arm = 0) AS n_ref, count(*) FILTER (arm = 1) AS n_test FROM obs JOIN splits USING (donor) GROUP BY 1, 2")
+@query(BASE + SPLITS + " SELECT CAST(split_id AS INTEGER) AS split_id, celltype, count(*) FILTER (arm = 0) AS n_ref, count(*) FILTER (arm = 1) AS n_test FROM obs JOIN splits USING (donor) GROUP BY 1, 2")
 def donor_swap(spark, sf):
-    splits = calibrate.split_table(spark, calibrate.donor_splits(list(range(6))))
-    x = calibrate.swapped(orders_by_part(spark, sf).obs, splits)
+    """Cells of each arm in ten drawn splits of all donors."""
+    obs = orders_by_part(spark, sf).obs
+    x = calibrate.swapped(obs, calibrate.random_splits(calibrate.eligible_donors(obs), 10))
     return x.groupBy("split_id", "celltype").agg(F.count_if(F.col("cond") == 0).alias("n_ref"), F.count_if(F.col("cond") == 1).alias("n_test"))
 
 
@@ -692,16 +701,12 @@ def monotone_order(spark, sf):
 @query("SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_windows(spark, sf):
     """Windowed counts of events read as a stream, to the end of what is there."""
-    import uuid
-
     from ..streaming import suff_stats as stream
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    name = "w" + uuid.uuid4().hex
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    q = stream.windowed_counts(events, late="3650 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
+    counts = stream.to_the_end(stream.windowed_counts(events, late="3650 days"), "windowed-counts")
+    return counts.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @query(TWO + """, j AS (SELECT celltype, ma.log2fc AS x, mb.log2fc AS y, ma.nlp AS p, mb.nlp AS q, ma.fdr AS f, mb.fdr AS g FROM ma JOIN mb USING (celltype, gene))
@@ -735,13 +740,16 @@ def subset_refit(spark, sf):
     return compare.refit_summary(named(pb), named(pb.where("donor % 5 <> 0"))).select("celltype", F.round("jaccard", 6).alias("jaccard"), "lost", "gained", *r6("pearson", "median_change"))
 
 
-@query(BASE + " SELECT 'n_cells' AS name, 'OK' AS status UNION ALL SELECT 'n_celltypes', 'OK' UNION ALL SELECT 'n_genes', 'MISMATCH' UNION ALL SELECT 'n_planets', 'MISSING'")
+@query(BASE + """, found AS (SELECT 'n_cells' AS name, CAST(count(*) AS DOUBLE) AS value FROM obs UNION ALL SELECT 'n_celltypes', count(DISTINCT celltype) FROM obs UNION ALL SELECT 'n_genes', count(*) FROM var UNION ALL SELECT 'n_donors', count(DISTINCT donor) FROM obs),
+expected(name, expected, tolerance) AS (VALUES ('n_cells', 15000.0, 2000.0), ('n_celltypes', 5.0, 0.0), ('n_genes', -1.0, 0.5), ('n_planets', 8.0, 0.0), ('n_donors', 24.0, 1.0))
+SELECT name, CASE WHEN value IS NULL THEN 'MISSING' WHEN abs(value - expected) <= tolerance THEN 'OK' ELSE 'MISMATCH' END AS status FROM expected LEFT JOIN found USING (name)""")
 def claims(spark, sf):
     m = orders_by_part(spark, sf)
     n = m.obs.agg(F.count("*").cast("double").alias("value")).select(F.lit("n_cells").alias("name"), "value")
     n = n.unionByName(m.obs.agg(F.count_distinct("celltype").cast("double").alias("value")).select(F.lit("n_celltypes").alias("name"), "value"))
     n = n.unionByName(m.var.agg(F.count("*").cast("double").alias("value")).select(F.lit("n_genes").alias("name"), "value"))
-    expected = spark.createDataFrame([("n_cells", 0.0, 1e12), ("n_celltypes", 5.0, 0.0), ("n_genes", -1.0, 0.5), ("n_planets", 8.0, 0.0)], "name string, expected double, tolerance double")
+    n = n.unionByName(m.obs.agg(F.count_distinct("donor").cast("double").alias("value")).select(F.lit("n_donors").alias("name"), "value"))
+    expected = spark.createDataFrame([("n_cells", 15000.0, 2000.0), ("n_celltypes", 5.0, 0.0), ("n_genes", -1.0, 0.5), ("n_planets", 8.0, 0.0), ("n_donors", 24.0, 1.0)], "name string, expected double, tolerance double")
     return compare.verdict(n, expected).select("name", "status")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +27,22 @@ def running_statistics(values: DataFrame, obs: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling-window counts of event types with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def to_the_end(stream: DataFrame, label: str) -> DataFrame:
+    """The whole result of a streaming aggregate when all that is there has been read: a written table, not the driver's memory."""
+    spark = stream.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        # each batch holds the whole result so far
+        batch.write.mode("overwrite").parquet(f"{path}/result")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/result")
