@@ -207,3 +207,16 @@ def test_random_splits_are_different_and_equal(spark):
         assert all(len(s[0]) == len(s[1]) == n // 2 and min(s[0] | s[1]) in s[0] for s in splits.values())
     with pytest.raises(ValueError):
         calibrate.donor_splits(list(range(25)), 1000)
+
+
+def test_fits_are_the_same_for_any_block_of_genes(spark, data, monkeypatch):
+    expr, obs, _ = data
+    cells = obs.withColumn("cond", condition.by_label(F.col("condition"), "ctrl"))
+    values = expr.join(cells.select("cell_id", "celltype"), "cell_id").select("cell_id", "gene", "value").toPandas()
+    values = values[values["value"] > 0]
+    frame = cells.toPandas()
+    whole = general.fit_genes("T", values, frame, ["age"], 10, False, "chisq")
+    monkeypatch.setattr(general, "FITTED", 1)
+    single = general.fit_genes("T", values.sample(frac=1, random_state=1), frame, ["age"], 10, False, "chisq")
+    pd.testing.assert_frame_equal(whole, single, rtol=1e-9)
+    assert (whole["df_detect"] + whole["df_continuous"]).max() == 2

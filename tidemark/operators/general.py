@@ -1,7 +1,9 @@
 """The two-part test with covariates: per gene a logistic and a Gaussian likelihood-ratio test.
 
 Genes of a cell type are dealt into buckets; each bucket meets its cell type's design once and fits
-all its genes together in NumPy (iteratively reweighted least squares, batched over genes).
+its genes in NumPy (iteratively reweighted least squares, batched over genes).  Values stay as the
+list of positives they come as; only the detection of a few genes at a time is laid out over all
+cells, so that a task holds its positives, its design and FITTED numbers a working array.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from ..functions import special
 
 ETA, LEAST_WEIGHT, EPS = 30.0, 1e-10, 1e-12
+#: Cells times genes that are fitted at once.
+FITTED = 2_000_000
+#: Positives of a cell type in a bucket, on average at most.
+VALUES_PER_BUCKET = 4_000_000
 OUT = (
     "celltype string, gene string, c_ref long, c_test long, s_ref double, s_test double, df_detect int, stat_detect double, p_detect double, detect_status string, "
     "df_continuous int, stat_continuous double, beta double, s2 double, dfres long, vcoef double, skip string"
@@ -92,19 +98,24 @@ def fit_genes(celltype: str, values: pd.DataFrame, cells: pd.DataFrame, names: l
     z = cells[covariates].to_numpy(float).reshape(len(cells), -1)
     full, null = np.column_stack([np.ones(len(cells)), cond, z]), np.column_stack([np.ones(len(cells)), z])
     n_ref, n_test = int((cond == 0).sum()), int((cond == 1).sum())
-    genes = sorted(values["gene"].unique())
-    column = {g: i for i, g in enumerate(genes)}
-    at = place.reindex(values["cell_id"]).to_numpy()
-    v = np.zeros((len(cells), len(genes)))
-    v[at.astype(int), values["gene"].map(column).to_numpy()] = values["value"].to_numpy(float)
-    y = (v > 0).astype(float)
-    c_ref, c_test = y[cond == 0].sum(0).astype(int), y[cond == 1].sum(0).astype(int)
-    varies = (y.sum(0) > 0) & (y.sum(0) < len(cells))
+    genes, gene = np.unique(values["gene"].to_numpy(str), return_inverse=True)
+    at, v = place.reindex(values["cell_id"]).to_numpy().astype(int), values["value"].to_numpy(float)
+    order = np.lexsort((at, gene))
+    gene, at, v = gene[order], at[order], v[order]
+    ends = np.searchsorted(gene, np.arange(len(genes) + 1))
+    c_ref, c_test = (np.bincount(gene[cond[at] == k], minlength=len(genes)) for k in (0, 1))
+    s_ref, s_test = (np.bincount(gene[cond[at] == k], v[cond[at] == k], len(genes)) for k in (0, 1))
+    varies = (c_ref + c_test > 0) & (c_ref + c_test < len(cells))
     gain = np.full(len(genes), np.nan)
-    if varies.any():
-        gain[varies] = 2 * (fit_logistic(full, y[:, varies])[1] - fit_logistic(null, y[:, varies])[1])
+    some, several = np.flatnonzero(varies), max(1, FITTED // len(cells))
+    for k in range(0, len(some), several):
+        part = some[k : k + several]
+        y = np.zeros((len(cells), len(part)))
+        for j, g in enumerate(part):
+            y[at[ends[g] : ends[g + 1]], j] = 1.0
+        gain[part] = 2 * (fit_logistic(full, y)[1] - fit_logistic(null, y)[1])
     rows = []
-    for g, i in column.items():
+    for i, g in enumerate(genes):
         n = int(c_ref[i] + c_test[i])
         skip = ""
         if n == 0:
@@ -124,16 +135,15 @@ def fit_genes(celltype: str, values: pd.DataFrame, cells: pd.DataFrame, names: l
             skip = "logistic_separation"
         found = None
         if not skip and c_ref[i] >= 1 and c_test[i] >= 1 and n >= min_positive:
-            on = v[:, i] > 0
-            found = fit_gaussian(full[on], null[on], v[on, i])
+            on = at[ends[i] : ends[i + 1]]
+            found = fit_gaussian(full[on], null[on], v[ends[i] : ends[i + 1]])
         if not skip and found is None and not partial:
             skip = "singular_design"
         if not skip and df_d + (found is not None) == 0:
             skip = "model_failed"
         stat_c, beta, s2, dfres, vcoef = found or (0.0, None, None, None, None)
-        s = [float(v[cond == k, i].sum()) for k in (0, 1)]
         p_d = float(special.chi2_sf(stat_d, 1)[0]) if df_d else None
-        rows.append((celltype, g, int(c_ref[i]), int(c_test[i]), *s, df_d, 0.0 if not df_d else stat_d, p_d, status, int(found is not None), stat_c, beta, s2, dfres, vcoef, skip))
+        rows.append((celltype, g, int(c_ref[i]), int(c_test[i]), float(s_ref[i]), float(s_test[i]), df_d, 0.0 if not df_d else stat_d, p_d, status, int(found is not None), stat_c, beta, s2, dfres, vcoef, skip))
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
     out["dfres"] = out["dfres"].astype("Int64")
     return out
@@ -144,10 +154,13 @@ def fit_all(expr: DataFrame, obs: DataFrame, names: list[str], min_positive: int
     if fallback not in ("chisq", "fisher", "none"):
         raise ValueError("detection_fallback must be chisq, fisher or none")
     n_genes = n_genes or expr.select("gene").distinct().count()
-    buckets = max(1, math.ceil(n_genes / genes_per_bucket))
-    bucket = F.pmod(F.xxhash64("gene"), F.lit(buckets)).cast("int")
     cells = obs.select("cell_id", "celltype", F.col("cond").cast("int").alias("cond"), *names)
-    values = expr.where(F.col("value") > 0).join(cells.select("cell_id", "celltype"), "cell_id").select("celltype", bucket.alias("bucket"), "cell_id", "gene", "value")
+    values = expr.where(F.col("value") > 0).join(cells.select("cell_id", "celltype"), "cell_id")
+    # as many buckets as genes ask for, or the positives of the largest cell type
+    most = values.groupBy("celltype").count().agg(F.max("count")).first()[0] or 0
+    buckets = max(1, math.ceil(n_genes / genes_per_bucket), math.ceil(most / VALUES_PER_BUCKET))
+    bucket = F.pmod(F.xxhash64("gene"), F.lit(buckets)).cast("int")
+    values = values.select("celltype", bucket.alias("bucket"), "cell_id", "gene", "value")
     # aliases, so that the two sides of the cogroup share no column identities
     copies = cells.select(*[F.col(c).alias(c) for c in cells.columns], F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
 
