@@ -381,6 +381,61 @@ def events_by_user(spark, sf):
     return api.two_part(m.expr, m.obs, m.var, api.preset(api.Settings()))[0]
 
 
+# The statistics of the four whole runs above, beside SQL: either part is enough, no moderation.
+
+EVENTS_SQL = """
+obs AS (SELECT DISTINCT user_id AS cell_id, 'all' AS celltype, CAST(user_id % 2 AS INTEGER) AS cond FROM events),
+expr AS (SELECT user_id AS cell_id, event_type AS gene, count(*)::DOUBLE AS n, ln(1 + count(*)) AS value FROM events GROUP BY 1, 2),
+var AS (SELECT DISTINCT event_type AS gene FROM events)
+"""
+WORDS_SQL = r"""
+labelled AS (SELECT doc_id, lang, source, quality, text FROM documents JOIN labels USING (doc_id)),
+obs AS (SELECT doc_id AS cell_id, lang AS celltype, quality AS cond FROM labelled),
+words AS (SELECT doc_id AS cell_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS gene FROM labelled),
+expr AS (SELECT cell_id, gene, count(*)::DOUBLE AS n, ln(1 + count(*)) AS value FROM words WHERE gene <> '' GROUP BY 1, 2),
+var AS (SELECT DISTINCT gene FROM expr)
+"""
+BY_BALANCE_SQL = ORDERS_BY_PART_SQL.replace("CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END", "CASE WHEN c_acctbal >= 5000 THEN 1 ELSE 0 END")
+
+
+def _run_sql(inputs: str) -> str:
+    """What ``_run_statistics`` gives, from the inputs as CTEs."""
+    then = lambda x: f"CASE WHEN {PARTIAL} = '' THEN {x} END"
+    return with_stats(2).replace(ORDERS_BY_PART_SQL, inputs) + f""" SELECT celltype, gene, n_ref, n_test, c_ref AS n_positive_ref, c_test AS n_positive_test, {PARTIAL} AS skip_reason, {then('round(sd, 6)')} AS stat_detect,
+  {then('round(sc, 6)')} AS stat_continuous, {then('CAST(dd + dc AS INTEGER)')} AS df_hurdle, CASE WHEN {PARTIAL} = '' AND dd + dc = 2 THEN round((sd + sc) / (2 * ln(10)), 6) END AS neglog10p_df2 FROM stats WHERE n_cells >= 20"""
+
+
+def _run_statistics(result: DataFrame) -> DataFrame:
+    two = F.when(F.col("df_hurdle") == 2, F.round("neglog10p", 6)).alias("neglog10p_df2")
+    return result.select("celltype", "gene", "n_ref", "n_test", "n_positive_ref", "n_positive_test", "skip_reason", *r6("stat_detect", "stat_continuous"), "df_hurdle", two)
+
+
+def _plain_preset() -> api.Settings:
+    return api.preset(api.Settings(), moderated=False)
+
+
+@query(_run_sql(ORDERS_BY_PART_SQL))
+def hurdle_full_statistics(spark, sf):
+    return _run_statistics(hurdle_full(spark, sf))
+
+
+@query(_run_sql(BY_BALANCE_SQL))
+def threshold_run_statistics(spark, sf):
+    m = orders_by_part(spark, sf)
+    return _run_statistics(api.run_threshold(m.expr, m.obs.drop("cond"), m.var, "balance", 5000, settings=_plain_preset()))
+
+
+@query(_run_sql(WORDS_SQL))
+def words_by_quality_statistics(spark, sf):
+    return _run_statistics(words_by_quality(spark, sf))
+
+
+@query(_run_sql(EVENTS_SQL))
+def events_by_user_statistics(spark, sf):
+    m = users_by_event(spark, sf)
+    return _run_statistics(api.two_part(m.expr, m.obs, m.var, _plain_preset())[0])
+
+
 # ---------------------------------------------------------------- ranks, concordance, truth
 
 RANKS = BASE + """, pos AS (SELECT celltype, gene, cond, rank() OVER (PARTITION BY celltype, gene ORDER BY value) + (count(*) OVER (PARTITION BY celltype, gene, value) - 1) / 2.0 AS r FROM expr JOIN obs USING (cell_id) WHERE value > 0),
