@@ -4,7 +4,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import special
-from tidemark.operators import calibrate, calls, condition, general, hurdle, nb, pseudobulk
+from tidemark.operators import calibrate, calls, condition, design, general, hurdle, nb, pseudobulk
 from tidemark.operators.fdr import benjamini_hochberg
 from tidemark.plans import api
 from tidemark.schema import RESULT
@@ -220,3 +220,17 @@ def test_fits_are_the_same_for_any_block_of_genes(spark, data, monkeypatch):
     single = general.fit_genes("T", values.sample(frac=1, random_state=1), frame, ["age"], 10, False, "chisq")
     pd.testing.assert_frame_equal(whole, single, rtol=1e-9)
     assert (whole["df_detect"] + whole["df_continuous"]).max() == 2
+
+
+def test_designs_fill_by_the_mean(spark):
+    rows = [("T", 1, 1.0, "a"), ("T", 2, 3.0, "b"), ("T", 3, None, None), ("T", 4, 8.0, "b"), ("S", 5, 2.0, "b"), ("S", 6, 2.0, "c")]
+    obs = spark.createDataFrame(rows, "celltype string, cell_id long, age double, site string")
+    out, names = design.design(obs, ["age", "site", "nothing"])
+    got = {r.cell_id: r.asDict() for r in out.collect()}
+    x = np.array([1.0, 3.0, 4.0, 8.0])
+    assert np.allclose([got[i]["z_age"] for i in (1, 2, 3, 4)], (x - x.mean()) / x.std()) and got[5]["z_age"] is None
+    assert names == ["z_age", "site_a", "site_b", "site_c", "site_nan"] and out.columns[:4] == obs.columns
+    # the first level of each cell type has no column of its own, and constant columns are null
+    assert got[1]["site_a"] is None and got[5]["site_b"] is None and got[6]["site_c"] > 0 > got[5]["site_c"]
+    with pytest.raises(ValueError):
+        design.one_hot(obs, "site", most=2)

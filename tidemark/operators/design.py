@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_SD = 1e-12
 
 
 def zscore(obs: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column as its z-score within the cell type (population deviation); null where it is constant."""
-    w = Window.partitionBy("celltype")
-    out = obs
-    for c in columns:
-        x = F.coalesce(F.col(c), F.avg(c).over(w))
-        out = out.withColumn(c, x)
-        sd = F.stddev_pop(c).over(w)
-        out = out.withColumn(c, F.when(sd >= LEAST_SD, (F.col(c) - F.avg(c).over(w)) / sd))
-    return out
-
-
-def one_hot(obs: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
-    """Dummies of a label within each cell type, its first sorted level left out; a missing label is the level 'nan'."""
+    """Each column as its z-score within the cell type (population deviation); null where it is constant.
+
+    Means and deviations are aggregated first, a row a cell type: no task gathers a cell type's cells.
+    """
+    if not columns:
+        return obs
+    names, each = obs.columns, list(enumerate(columns))
+    stats = obs.groupBy("celltype").agg(F.count("*").alias("_n"), *[f(c).alias(f"_{k}{i}") for i, c in each for k, f in (("m", F.avg), ("s", F.stddev_pop), ("k", F.count))])
+    joined = obs.join(F.broadcast(stats), "celltype", "left")
+    new = {}
+    for i, c in each:
+        # a missing value counts as the mean: it adds a row and no deviation
+        sd = F.col(f"_s{i}") * F.sqrt(F.col(f"_k{i}") / F.col("_n"))
+        new[c] = F.when(sd >= LEAST_SD, (F.coalesce(F.col(c), F.col(f"_m{i}")) - F.col(f"_m{i}")) / sd)
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
+
+
+def one_hot(obs: DataFrame, column: str, most: int = 1000) -> tuple[DataFrame, list[str]]:
+    """Dummies of a label within each cell type, its first sorted level left out; a missing label is the level 'nan'.
+
+    A label of more than ``most`` levels is refused: each level is a column of every design.
+    """
     label = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    levels = [r[0] for r in obs.select(label.alias("l")).distinct().orderBy("l").collect()]
-    least = F.min(label).over(Window.partitionBy("celltype"))
+    levels = [r[0] for r in obs.select(label.alias("l")).distinct().orderBy("l").limit(most + 1).collect()]
+    if len(levels) > most:
+        raise ValueError(f"{column} has more than {most} levels")
+    least = obs.groupBy("celltype").agg(F.min(label).alias("_least"))
     names = [f"{column}_{v}" for v in levels]
-    return obs.select("*", *[F.when(label == least, F.lit(0.0)).otherwise((label == v).cast("double")).alias(n) for n, v in zip(names, levels, strict=True)]), names
+    joined = obs.join(F.broadcast(least), "celltype", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in obs.columns], *[F.when(label == F.col("_least"), F.lit(0.0)).otherwise((label == v).cast("double")).alias(n) for n, v in zip(names, levels, strict=True)]), names
 
 
 def design(obs: DataFrame, covariates: list[str]) -> tuple[DataFrame, list[str]]:
