@@ -14,8 +14,8 @@ the windows alone answer.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null
 or non-finite components take no part; rows with equal vec_id count once, at the nearest;
-ties go to the smaller vec_id; fewer candidates than k give all; an empty table gives no rows;
-other columns are ignored.
+ties go to the smaller vec_id; fewer candidates than k give all, but for rows farther than 1e150, whose
+squares are at the end of what doubles hold; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
