@@ -234,3 +234,28 @@ def test_designs_fill_by_the_mean(spark):
     assert got[1]["site_a"] is None and got[5]["site_b"] is None and got[6]["site_c"] > 0 > got[5]["site_c"]
     with pytest.raises(ValueError):
         design.one_hot(obs, "site", most=2)
+
+
+def test_permuted_numbers_do_not_depend_on_the_parts(spark):
+    obs = spark.createDataFrame([(f"c{k:04d}", "T" if k % 3 else "U", k % 2) for k in range(700)], "cell_id string, celltype string, cond int")
+    one = {r.cell_id: r.cond for r in calibrate.permuted(obs, cuts=1).collect()}
+    assert one == {r.cell_id: r.cond for r in calibrate.permuted(obs, cuts=40).collect()} and len(one) == 700
+    assert sum(one.values()) == 350 and any(one[f"c{k:04d}"] != k % 2 for k in range(700))
+
+
+def test_split_statistics_are_those_of_each_split(spark, data):
+    expr, obs, _ = data
+    splits = calibrate.split_table(spark, calibrate.donor_splits(list(range(6)), 10))
+    suff, sizes = calibrate.split_statistics(expr, obs, splits)
+    cells = calibrate.swapped(obs, splits).where("split_id = 3")
+    key = lambda df, *c: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*c).collect())
+    columns = ("gene", "c_ref", "c_test", "s_ref", "s_test", "q_ref", "q_test")
+    assert key(suff.where("celltype = '3:T'"), *columns) == key(hurdle.sufficient(expr, cells), *columns)
+    assert key(sizes.where("celltype = '3:T'"), "n_ref", "n_test", "n_cells") == key(condition.group_sizes(cells), "n_ref", "n_test", "n_cells")
+
+
+def test_discoveries(spark):
+    rows = [(0, "T", "a", 0.01), (0, "T", "b", 0.5), (0, "T", "c", None), (1, "T", "a", 0.9)]
+    out = {r.split_id: r.asDict() for r in calibrate.discoveries(spark.createDataFrame(rows, "split_id int, celltype string, gene string, fdr double"), F.col("gene") == "a").collect()}
+    assert out[0] == {"split_id": 0, "celltype": "T", "n_tested": 2, "n_tested_listed": 1, "n_discoveries": 1, "n_discoveries_listed": 1, "listed_discoveries": "a", "rejection_pct": 50.0, "any_discovery": True}
+    assert out[1]["rejection_pct"] == 0.0 and not out[1]["any_discovery"] and out[1]["listed_discoveries"] == ""

@@ -10,7 +10,7 @@ import pytest
 from tidemark.plans import queries as q
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["group_sizes", "suff_stats", "gtest_detect", "gauss_lrt", "bh_fdr", "bh_masked", "pb_sums", "pb_welch", "combine_calls", "wilcoxon_z", "concordance", "roc_auc", "avg_precision", "ks_uniform", "fdr_matched", "icc_design_effect", "arm_offset", "donor_swap", "majority_label", "nb_params", "strict_skip_reasons", "streaming_windows", "missing_reasons", "claims", "order_sensitivity", "permutation_null", "stratified_sample", "consensus", "hurdle_full_statistics", "threshold_run_statistics", "words_by_quality_statistics", "events_by_user_statistics"]
+FAST = ["group_sizes", "suff_stats", "gtest_detect", "gauss_lrt", "bh_fdr", "bh_masked", "pb_sums", "pb_welch", "combine_calls", "wilcoxon_z", "concordance", "roc_auc", "avg_precision", "ks_uniform", "fdr_matched", "icc_design_effect", "arm_offset", "donor_swap", "donor_swap_discoveries", "majority_label", "nb_params", "strict_skip_reasons", "streaming_windows", "missing_reasons", "claims", "order_sensitivity", "permutation_null", "stratified_sample", "consensus", "hurdle_full_statistics", "threshold_run_statistics", "words_by_quality_statistics", "events_by_user_statistics"]
 
 
 @pytest.fixture(scope="module")

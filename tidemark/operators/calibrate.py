@@ -6,15 +6,30 @@ from itertools import combinations
 from math import comb
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def permuted(obs: DataFrame, seed: int = 0) -> DataFrame:
-    """Labels dealt anew within each cell type: the k-th cell by one hash gets the label of the k-th by id."""
+def _places(df: DataFrame, part: Column, *order: Column | str) -> DataFrame:
+    """``_k``: the row's number within its cell type.  ``part`` deals a type's rows into parts that follow each other in
+    that order, so that a type is numbered by many tasks: within its part, after all rows of the parts before."""
+    dealt = df.withColumn("_part", part)
+    sizes = dealt.groupBy("celltype", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("celltype").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    within = F.row_number().over(Window.partitionBy("celltype", "_part").orderBy(*order))
+    return dealt.withColumn("_r", within).join(sizes.select("celltype", "_part", before.alias("_before")), ["celltype", "_part"]).withColumn("_k", F.col("_before") + F.col("_r")).drop("_part", "_r", "_before")
+
+
+def permuted(obs: DataFrame, seed: int = 0, cuts: int = 255) -> DataFrame:
+    """Labels dealt anew within each cell type: the k-th cell by one hash gets the label of the k-th by id.
+
+    Hashes are dealt into parts by their first three digits, ids by ``cuts`` ids a cell type, those of least hash.
+    """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_id").cast("string")))
-    a = obs.withColumn("_k", F.row_number().over(Window.partitionBy("celltype").orderBy(key, "cell_id"))).drop("cond")
-    b = obs.select("celltype", "cond", F.row_number().over(Window.partitionBy("celltype").orderBy("cell_id")).alias("_k"))
+    a = _places(obs.withColumn("_key", key), F.substring("_key", 1, 3), "_key", "cell_id").drop("cond", "_key")
+    marks = stratified(obs.select("celltype", "cell_id"), ["celltype"], cuts, seed).groupBy("celltype").agg(F.collect_list("cell_id").alias("_marks"))
+    b = obs.select("celltype", "cell_id", "cond").join(marks, "celltype")
+    b = _places(b, F.size(F.filter("_marks", lambda m: m <= F.col("cell_id"))), "cell_id").select("celltype", "cond", "_k")
     return a.join(b, ["celltype", "_k"]).drop("_k")
 
 
@@ -72,6 +87,34 @@ def swapped(obs: DataFrame, splits: DataFrame) -> DataFrame:
     return obs.drop("cond").join(splits.withColumnRenamed("arm", "cond"), "donor")
 
 
+def split_statistics(expr: DataFrame, obs: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sufficient statistics, sizes) of every split, for ``hurdle.densify``; celltype is ``split_id:celltype``.
+
+    Cells are read once: statistics are made a donor, and those of its arm's donors are added up for each split.
+    """
+    cells = obs.select("cell_id", F.col("celltype").cast("string").alias("celltype"), "donor")
+    v = F.col("value")
+    made = expr.where(v > 0).join(cells, "cell_id").groupBy("celltype", "donor", "gene").agg(F.count("*").alias("c"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    scope = F.concat_ws(":", F.col("split_id").cast("string"), F.col("celltype")).alias("celltype")
+    arm = lambda k, c: F.sum(F.when(F.col("arm") == k, F.col(c)).otherwise(0)).alias(f"{c}_{'test' if k else 'ref'}")
+    suff = made.join(splits, "donor").groupBy(scope, "gene").agg(*[arm(k, c) for c in "csq" for k in (0, 1)])
+    n = cells.groupBy("celltype", "donor").agg(F.count("*").alias("n"))
+    sizes = n.join(splits, "donor").groupBy(scope).agg(arm(0, "n"), arm(1, "n"), F.sum("n").alias("n_cells"))
+    return suff, sizes
+
+
+def discoveries(tested: DataFrame, listed: Column, alpha: float = 0.05) -> DataFrame:
+    """Per split and cell type (split_id, celltype, gene, fdr; null where not tested): genes tested and found, of all and of
+    those ``listed``, the listed ones found, the share found in per cent, and whether any was."""
+    found, on = F.coalesce(F.col("fdr") < alpha, F.lit(False)), F.coalesce(listed, F.lit(False))
+    known = F.col("fdr").isNotNull()
+    out = tested.groupBy("split_id", "celltype").agg(
+        F.count_if(known).alias("n_tested"), F.count_if(known & on).alias("n_tested_listed"), F.count_if(found).alias("n_discoveries"), F.count_if(found & on).alias("n_discoveries_listed"),
+        F.array_join(F.array_sort(F.collect_set(F.when(found & on, F.col("gene")))), ";").alias("listed_discoveries"),
+    )
+    return out.withColumn("rejection_pct", 100.0 * F.col("n_discoveries") / F.greatest(F.col("n_tested"), F.lit(1))).withColumn("any_discovery", F.col("n_discoveries") > 0)
+
+
 def stratified(obs: DataFrame, by: list[str], n: int, seed: int = 0) -> DataFrame:
     """At most n rows of each group, by a hash of the id."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_id").cast("string")))

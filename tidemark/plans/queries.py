@@ -95,14 +95,18 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
     return hurdle.densify(hurdle.sufficient(m.expr, m.obs), condition.group_sizes(m.obs), m.var)
 
 
-def _adjusted(spark: SparkSession, sf: str) -> DataFrame:
+def _tested(dense: DataFrame) -> DataFrame:
     """celltype, gene, stat, p, q, coef with the elementary tail."""
-    x = hurdle.continuous(hurdle.detection(hurdle.describe(_dense(spark, sf))), 10)
+    x = hurdle.continuous(hurdle.detection(hurdle.describe(dense)), 10)
     both = (F.col("df_detect") + F.col("df_continuous") == 2) & (F.col("n_positive") >= 10)
     x = x.withColumn("stat", F.col("stat_detect") + F.col("stat_continuous")).withColumn("p", F.when(both, F.exp(-F.col("stat") / 2))).withColumn("coef", F.col("mean_expr_test") - F.col("mean_expr_ref"))
     return benjamini_hochberg(x, "p", "q", ["celltype"])
 
 
+def _adjusted(spark: SparkSession, sf: str) -> DataFrame:
+    return _tested(_dense(spark, sf))
+
+
 # ---------------------------------------------------------------- conditions, gates, statistics
 
 
@@ -627,6 +631,20 @@ def donor_swap(spark, sf):
     return x.groupBy("split_id", "celltype").agg(F.count_if(F.col("cond") == 0).alias("n_ref"), F.count_if(F.col("cond") == 1).alias("n_test"))
 
 
+SPLIT_SQL = "WITH " + ORDERS_BY_PART_SQL + SPLITS + ", scoped AS (SELECT split_id || ':' || celltype AS celltype, cell_id, arm AS cond FROM obs JOIN splits USING (donor)), " + (SIZES + ", " + SUFF).replace("obs", "scoped") + ", " + DENSE + ", " + STATS.format(least=10) + PVALS + BH_CTE
+
+
+@query(SPLIT_SQL + """ SELECT CAST(split_part(celltype, ':', 1) AS INTEGER) AS split_id, split_part(celltype, ':', 2) AS celltype, count(q) AS n_tested, count(q) FILTER (gene LIKE 'Brand#1%') AS n_tested_listed, count(*) FILTER (q < 0.6) AS n_discoveries,
+  count(*) FILTER (q < 0.6 AND gene LIKE 'Brand#1%') AS n_discoveries_listed, coalesce(string_agg(gene, ';' ORDER BY gene) FILTER (q < 0.6 AND gene LIKE 'Brand#1%'), '') AS listed_discoveries,
+  round(100.0 * count(*) FILTER (q < 0.6) / greatest(count(q), 1), 6) AS rejection_pct, count(*) FILTER (q < 0.6) > 0 AS any_discovery FROM adj GROUP BY 1, 2""")
+def donor_swap_discoveries(spark, sf):
+    """What the cell-level test finds between arms that no condition tells apart, in ten drawn splits; brands of one kind are the list."""
+    m = orders_by_part(spark, sf)
+    suff, sizes = calibrate.split_statistics(m.expr, m.obs, calibrate.random_splits(calibrate.eligible_donors(m.obs), 10))
+    a = _tested(hurdle.densify(suff, sizes, m.var)).select(F.split("celltype", ":")[0].cast("int").alias("split_id"), F.split("celltype", ":")[1].alias("celltype"), "gene", F.col("q").alias("fdr"))
+    return calibrate.discoveries(a, F.col("gene").startswith("Brand#1"), 0.6).withColumn("rejection_pct", F.round("rejection_pct", 6))
+
+
 @query(BASE + ", r AS (SELECT celltype, cond, cell_id, row_number() OVER (PARTITION BY celltype, cond ORDER BY md5('0:' || cell_id), cell_id) AS r FROM obs) SELECT celltype, cond, cell_id FROM r WHERE r <= 50")
 def stratified_sample(spark, sf):
     return calibrate.stratified(orders_by_part(spark, sf).obs, ["celltype", "cond"], 50).select("celltype", "cond", "cell_id")
