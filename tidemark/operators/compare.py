@@ -92,14 +92,64 @@ def relative_difference(a: Column, b: Column, floor: float = 1e-8) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(floor))
 
 
+def aligned(genes: DataFrame, result: DataFrame, place: str) -> DataFrame:
+    """A result's rows for a list of genes, in a left join: of repeated genes the row that is first by ``place``, null where there is none."""
+    w = Window.partitionBy("celltype", "gene").orderBy(place)
+    first = result.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return genes.join(first, ["celltype", "gene"], "left")
+
+
+def stable_top_k(df: DataFrame, score: Column, place: str, k: int, by: list[str]) -> DataFrame:
+    """The k least of each group by ``score`` (nulls last), ties in the order of ``place``, as a stable sort leaves them."""
+    w = Window.partitionBy(*by).orderBy(score.asc_nulls_last(), place)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def order_overlap(df: DataFrame, p: str, stat: str, k: int, orders: int, seed: int = 0) -> DataFrame:
+    """How far the k best genes of a cell type hang on the order of its rows, over ``orders`` orders (the first by name, the others by
+    a hash): genes that the best by p (ties stay in that order) and the best by the statistic share, at least, in the median and at
+    most; the least Jaccard overlap of the best by p between one order and the next; and whether the best by the statistic are the same in all."""
+    place = F.when(F.col("run") == 0, F.col("gene")).otherwise(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("run").cast("string"), "gene")))
+    runs = df.select("celltype", "gene", p, stat, F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("run")).withColumn("_place", place)
+    by = ["celltype", "run"]
+    a = stable_top_k(runs, F.col(p), "_place", k, by).select(*by, "gene", F.lit(1).alias("p"))
+    b = stable_top_k(runs, -F.col(stat), "_place", k, by).select(*by, "gene", F.col("rank").alias("s"))
+    n = a.join(b, [*by, "gene"], "full_outer").groupBy(*by).agg(F.count(F.when(F.col("p").isNotNull() & F.col("s").isNotNull(), 1)).alias("shared"), F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "gene")))).alias("_s"), F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.col("gene")))).alias("_p"))
+    w = Window.partitionBy("celltype").orderBy("run")
+    before = F.lag("_p").over(w)
+    n = n.withColumn("_j", F.when(before.isNotNull(), F.try_divide(F.size(F.array_intersect("_p", before)), F.size(F.array_union("_p", before)))))
+    return n.groupBy("celltype").agg(
+        F.min("shared").alias("overlap_min"), F.median("shared").alias("overlap_median"), F.max("shared").alias("overlap_max"),
+        F.coalesce(F.min("_j"), F.lit(1.0)).alias("jaccard_min"), (F.count_distinct(F.to_json("_s")) == 1).alias("statistic_identical"),
+    )
+
+
+def pairwise(df: DataFrame, methods: list[str], k: int = 100, alpha: float = 0.05) -> DataFrame:
+    """``concordance`` of every two methods' tested genes, five in common at least, with the calls of either."""
+    tested = df.where("tested")
+    out = None
+    for i, a in enumerate(methods):
+        for b in methods[i + 1 :]:
+            one, two = tested.where(F.col("method") == a), tested.where(F.col("method") == b)
+            calls = [x.groupBy("celltype").agg(F.count_if(F.col("fdr") < alpha).alias(n)) for x, n in ((one, "sig_a"), (two, "sig_b"))]
+            c = concordance(one, two, k, alpha).where("n_genes >= 5").join(calls[0], "celltype").join(calls[1], "celltype")
+            c = c.select("celltype", F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), *[x for x in c.columns if x != "celltype"])
+            out = c if out is None else out.unionByName(c)
+    if out is None:
+        raise ValueError("a comparison needs two methods")
+    return out
+
+
 def agreement(a: DataFrame, b: DataFrame, value: str, tolerance: float = 1e-3) -> DataFrame:
-    """Per cell type: greatest and median absolute and relative difference, share within tolerance, the worst gene."""
+    """Per cell type: greatest and median absolute and relative difference, share within tolerance, the worst gene and the worst three."""
     j = a.select("celltype", "gene", F.col(value).alias("a")).join(b.select("celltype", "gene", F.col(value).alias("b")), ["celltype", "gene"]).dropna(subset=["a", "b"])
     j = j.withColumn("d", F.abs(F.col("a") - F.col("b"))).withColumn("r", relative_difference(F.col("a"), F.col("b")))
-    return j.groupBy("celltype").agg(
+    three = j.withColumn("_k", F.row_number().over(Window.partitionBy("celltype").orderBy(F.desc("r"), F.desc("gene")))).where("_k <= 3").groupBy("celltype").agg(F.array_sort(F.collect_list(F.struct("_k", "gene"))).alias("_worst"))
+    out = j.groupBy("celltype").agg(
         F.count("*").alias("n"), F.max("d").alias("max_abs"), F.median("d").alias("median_abs"), F.max("r").alias("max_rel"), F.median("r").alias("median_rel"),
         F.avg((F.col("r") <= tolerance).cast("double")).alias("within"), F.max_by("gene", F.struct("r", "gene")).alias("worst_gene"),
     )
+    return out.join(three, "celltype").withColumn("worst_genes", F.array_join(F.col("_worst.gene"), ";")).drop("_worst")
 
 
 def missing_with_reason(genes: DataFrame, result: DataFrame) -> DataFrame:

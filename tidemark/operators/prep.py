@@ -82,10 +82,52 @@ def members(var: DataFrame, listed: DataFrame, symbol: str = "gene", versioned:
     return one.union(two).distinct()
 
 
+def without_top_genes(expr: DataFrame, n: int = 50, value: str = "n") -> DataFrame:
+    """Values of all genes but the n of greatest total (ties by name) and those without any."""
+    keep = expr.groupBy("gene").agg(F.sum(value).alias("total")).where(F.col("total") > 0).select("gene")
+    keep = keep.join(top_genes(expr, n, value).select("gene"), "gene", "left_anti")
+    return expr.join(keep, "gene", "left_semi")
+
+
+def keep_top_genes(var: DataFrame, expr: DataFrame, n: int, value: str = "n") -> DataFrame:
+    """The genes of ``var`` (gene, gene_pos) among the n of greatest total, in the order they had."""
+    return var.join(top_genes(expr, n, value).select("gene"), "gene", "left_semi").orderBy("gene_pos")
+
+
+def cells_with_counts(expr: DataFrame, value: str = "n") -> DataFrame:
+    """Values of cells whose total is above zero."""
+    keep = expr.groupBy("cell_id").agg(F.sum(value).alias("total")).where(F.col("total") > 0).select("cell_id")
+    return expr.join(keep, "cell_id", "left_semi")
+
+
+def looked_up(df: DataFrame, key: str, names: DataFrame, out: str, fallback: Column) -> DataFrame:
+    """``out``: the name that the table (``key``, name) has for the row's key, else ``fallback``.  Of several names of a key
+    the least counts; a null key has the fallback."""
+    one = names.groupBy(F.col(key).alias("_key")).agg(F.min("name").alias("_name"))
+    return df.join(one, F.col(key) == F.col("_key"), "left").withColumn(out, F.coalesce("_name", fallback)).drop("_key", "_name")
+
+
+def with_counts(samples: DataFrame, cells: DataFrame, key: str = "donor", out: str = "cells") -> DataFrame:
+    """The sample table with the number of cells of each key; null where a key has none."""
+    return samples.join(cells.groupBy(key).agg(F.count("*").alias(out)), key, "left")
+
+
+def first_and_all(df: DataFrame, by: list[str], value: str, place: str) -> DataFrame:
+    """Per group: the value of the row that comes first by ``place`` (null values are passed over), and all values, sorted, without repeats."""
+    have = F.col(value).isNotNull()
+    return df.groupBy(*by).agg(F.min_by(value, F.when(have, F.struct(place, value))).alias("first"), F.array_join(F.array_sort(F.collect_set(value)), ",").alias("every"))
+
+
 def barcode(name: Column) -> Column:
     return F.regexp_extract(name, "([ACGT]{14,16})", 1)
 
 
+def library(name: Column) -> Column:
+    """A library's donor, batch (null where it has none) and run, from names such as HPAP-012_FGC34_5 or HPAP012_5."""
+    part = lambda k: F.nullif(F.regexp_extract(name, "HPAP-?(\\d{3})_(?:(FGC\\d+)_)?(\\d+)$", k), F.lit(""))
+    return F.struct(part(1).alias("donor"), part(2).alias("batch"), part(3).alias("run"))
+
+
 def check_contract(obs: DataFrame, counts: DataFrame, unpaired: bool = False) -> DataFrame:
     """(rule, violations): unique cells, known conditions, counts whole, finite and not negative, known cells, donors in one condition."""
     rules = [
@@ -103,6 +145,45 @@ def check_contract(obs: DataFrame, counts: DataFrame, unpaired: bool = False) ->
     return out
 
 
+def check_values(normal: DataFrame, totals: DataFrame | None = None, tolerance: float = 1e-5) -> DataFrame:
+    """(rule, violations) of stored values beside their counts (cell_id, gene, n, value): cells without a count, stored zeros,
+    values further than ``tolerance`` from log1p(n * 1e4 / the cell's total), and, with ``totals`` (cell_id, total, nnz), cells
+    whose sum or number of counts is another."""
+    x = normal.withColumn("_t", F.sum("n").over(Window.partitionBy("cell_id")))
+    far = F.abs(F.col("value") - F.log1p(F.col("n") * SCALE / F.col("_t"))) > tolerance
+    bad = lambda c: F.count_if(F.coalesce(c, F.lit(True)))
+    one = x.agg(bad(F.col("n") == 0).alias("no_stored_zeros"), bad(far).alias("values_of_counts"))
+    out = one.select(F.explode(F.create_map(F.lit("no_stored_zeros"), "no_stored_zeros", F.lit("values_of_counts"), "values_of_counts")).alias("rule", "violations"))
+    cells = normal.groupBy("cell_id").agg(F.sum("n").alias("_sum"), F.count_if(F.col("n") != 0).alias("_nnz"))
+    out = out.unionByName(cells.where("_sum <= 0").agg(F.lit("cells_with_counts").alias("rule"), F.count("*").alias("violations")))
+    if totals is not None:
+        j = cells.join(totals.select("cell_id", "total", "nnz"), "cell_id", "full_outer")
+        for rule, a, b in (("cell_sums", "_sum", "total"), ("cell_nnz", "_nnz", "nnz")):
+            out = out.unionByName(j.where(~F.coalesce(F.col(a).cast("double"), F.lit(0.0)).eqNullSafe(F.coalesce(F.col(b).cast("double"), F.lit(0.0)))).agg(F.lit(rule).alias("rule"), F.count("*").alias("violations")))
+    return out
+
+
+def size_normalised(expr: DataFrame) -> DataFrame:
+    """n over the cell's size factor: its total by the median of all totals."""
+    total = expr.groupBy("cell_id").agg(F.sum("n").alias("total"))
+    return expr.join(total.crossJoin(total.agg(F.percentile("total", 0.5).alias("middle"))), "cell_id").withColumn("normal", F.col("n") * F.col("middle") / F.col("total"))
+
+
+def donor_spread(expr: DataFrame, obs: DataFrame, least: float = 0.2) -> DataFrame:
+    """(sigma_d, n_genes): the standard deviation between donors of log mean size-normalised counts, by the median over genes
+    with a mean above ``least`` that every donor has: their variance over donors less its part from sampling cells,
+    the mean over donors of (1 / mean + dispersion) / cells, and not below 0."""
+    sizes = obs.groupBy("donor").agg(F.count("*").alias("cells"))
+    whole = sizes.agg(F.count("*").alias("donors"), F.sum("cells").alias("all"), F.avg(1.0 / F.col("cells")).alias("inverse"))
+    x = size_normalised(expr).join(obs.select("cell_id", "donor"), "cell_id").groupBy("gene", "donor").agg(F.sum("normal").alias("s"), F.sum(F.col("normal") * F.col("normal")).alias("q"))
+    logs = F.when(F.col("s") > 0, F.log(F.col("s") / F.col("cells")))
+    g = x.join(sizes, "donor").groupBy("gene").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.count(logs).alias("have"), F.var_samp(logs).alias("v")).crossJoin(whole)
+    mu = F.col("s") / F.col("all")
+    g = g.withColumn("mu", mu).withColumn("phi", F.least(F.lit(20.0), F.greatest(F.lit(1e-3), (F.col("q") / F.col("all") - mu * mu - mu) / (mu * mu))))
+    g = g.where((F.col("have") == F.col("donors")) & (F.col("mu") > least)).withColumn("between", F.greatest(F.lit(0.0), F.col("v") - (1.0 / F.col("mu") + F.col("phi")) * F.col("inverse")))
+    return g.agg(F.sqrt(F.percentile("between", 0.5)).alias("sigma_d"), F.count("*").alias("n_genes"))
+
+
 def nb_moments(pb: DataFrame) -> DataFrame:
     """Per cell type and gene: mean and moment dispersion of counts over samples, clipped to [1e-3, 20]."""
     g = pb.groupBy("celltype", "gene").agg(F.avg("n").alias("mean"), F.var_samp("n").alias("var"))

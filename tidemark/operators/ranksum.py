@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import special
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_neglog10(z: pd.Series) -> pd.Series:
+    """-log10 of the two-sided normal tail, finite however far out."""
+    return pd.Series(-special.log_erfc(z.abs().to_numpy(float) / math.sqrt(2.0)) / special.LN10).where(z.notna())
+
+
+def two_sided(df: DataFrame) -> DataFrame:
+    """neglog10p and pvalue of the column z."""
+    return df.withColumn("neglog10p", normal_neglog10("z")).withColumn("pvalue", F.pow(F.lit(10.0), -F.col("neglog10p")))
 
 
 def rank_sum(expr: DataFrame, obs: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def run_both_arms(expr: DataFrame, counts: DataFrame, obs: DataFrame, var: DataF
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="tidemark", description="Two-part differential test on long Parquet tables.")
-    p.add_argument("mode", choices=("reference", "threshold"))
+    p.add_argument("mode", choices=("reference", "threshold", "compare"))
     for name in ("--obs", "--expr", "--var", "--out"):
         p.add_argument(name, required=True)
     p.add_argument("--column", default="condition")
@@ -131,6 +131,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--format", choices=("csv", "parquet"), default="parquet")
     p.add_argument("--preset", action="store_true")
     p.add_argument("--covariates", nargs="*", default=["CDR"])
+    p.add_argument("--counts", help="compare: the table of counts (cell_id, gene, n); --expr where it isn't given")
+    p.add_argument("--donor", default="donor")
+    p.add_argument("--methods", nargs="*", help="compare: the methods, all where none is named")
+    p.add_argument("--alpha", type=float, default=0.05)
+    p.add_argument("--top", type=int, default=100)
+    p.add_argument("--celltypes", type=int, default=0)
+    p.add_argument("--genes", type=int, default=0)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     obs, expr, var = (spark.read.parquet(x) for x in (a.obs, a.expr, a.var))
@@ -138,6 +145,13 @@ def main(argv: list[str] | None = None) -> None:
     if a.mode == "reference":
         condition.label_splits(obs, a.column, a.ref)
         print(run_two_part(expr, obs, var, a.ref, a.test, a.column, a.out, a.prefix, a.format, mast_compat=a.preset, settings=settings))
+    elif a.mode == "compare":
+        from . import comparison
+
+        cells = condition.by_exact(obs, a.column, a.ref, a.test).withColumn("donor", F.col(a.donor))
+        counts = spark.read.parquet(a.counts) if a.counts else expr
+        used = preset(settings) if a.preset else settings
+        print(comparison.run_comparison(expr, counts, cells, var, a.out, tuple(a.methods or comparison.METHODS), used, a.top, a.alpha, a.celltypes, a.genes))
     else:
         print(run_threshold(expr, obs, var, a.column, a.threshold, a.ref, a.test, a.out, a.prefix, a.format, settings=preset(settings) if a.preset else settings))
 

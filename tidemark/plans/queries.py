@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..operators import calibrate, calls, compare, condition, design, eb, general, hurdle, prep, pseudobulk, ranksum, scoring, simulate
 from ..operators.fdr import benjamini_hochberg
 from ..schema import average_rank
-from ..sources.mappings import ORDERS_BY_PART_SQL, documents_by_word, orders_by_part, users_by_event
+from ..sources.mappings import ORDERS_BY_PART_SQL, documents_by_word, orders_by_part, table, users_by_event
 from . import api
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -756,8 +757,6 @@ def rel_diff_agreement(spark, sf):
 
 @query("WITH " + ORDERS_BY_PART_SQL + " SELECT gene FROM var WHERE upper(gene) IN (SELECT upper(p_brand || '|' || p_type) FROM part WHERE p_size <= 5)")
 def semi_members(spark, sf):
-    from ..sources.mappings import table
-
     m = orders_by_part(spark, sf)
     listed = table(spark, sf, "part").where("p_size <= 5").select(F.lower(F.concat_ws("|", "p_brand", "p_type")).alias("gene"))
     return prep.members(m.var, listed)
@@ -826,6 +825,132 @@ def claims(spark, sf):
     return compare.verdict(n, expected).select("name", "status")
 
 
+# ---------------------------------------------------------------- lookups, gates and orders
+
+
+@query(BASE + ", t AS (SELECT gene, sum(n) AS total, row_number() OVER (ORDER BY sum(n) DESC, gene) AS r FROM expr GROUP BY 1) SELECT gene, CAST(total AS DOUBLE) AS total FROM t WHERE r > 50 AND total > 0")
+def without_top_genes(spark, sf):
+    return prep.without_top_genes(orders_by_part(spark, sf).expr, 50).groupBy("gene").agg(F.sum("n").cast("double").alias("total"))
+
+
+@query(BASE + ", t AS (SELECT gene, row_number() OVER (ORDER BY sum(n) DESC, gene) AS r FROM expr GROUP BY 1), v AS (SELECT gene, row_number() OVER (ORDER BY md5(gene)) AS pos FROM var) SELECT gene, row_number() OVER (ORDER BY pos) AS place FROM v WHERE gene IN (SELECT gene FROM t WHERE r <= 40)")
+def top_genes_in_order(spark, sf):
+    m = orders_by_part(spark, sf)
+    kept = prep.keep_top_genes(m.var.withColumn("gene_pos", F.md5("gene")), m.expr, 40)
+    return kept.select("gene", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("gene_pos")).cast("long").alias("place"))
+
+
+@query("SELECT c_custkey AS custkey, coalesce(n_name, regexp_replace(c_name, 'Customer#0*', 'c')) AS donor_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <= 2) ON n_nationkey = c_nationkey")
+def lookup_with_fallback(spark, sf):
+    names = table(spark, sf, "nation").where("n_regionkey <= 2").select(F.col("n_nationkey").alias("donor"), F.col("n_name").alias("name"))
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("donor"), "c_name")
+    return prep.looked_up(rows, "donor", names, "donor_name", F.regexp_replace("c_name", "Customer#0*", "c")).select(F.col("c_custkey").alias("custkey"), "donor_name")
+
+
+@query(BASE + META.format(cells=10) + ", per AS (SELECT donor, count(*) AS cells FROM obs WHERE balance > 9000 GROUP BY 1) SELECT celltype, sample, n_cells, cells FROM good LEFT JOIN per USING (donor)")
+def sample_cell_counts(spark, sf):
+    obs = orders_by_part(spark, sf).obs
+    return prep.with_counts(pseudobulk.samples(obs), obs.where("balance > 9000")).select("celltype", "sample", "n_cells", "cells")
+
+
+@query(BASE + " SELECT donor, celltype, arg_min(status, cell_id) AS first, string_agg(DISTINCT status, ',' ORDER BY status) AS every FROM obs GROUP BY 1, 2")
+def first_and_all_labels(spark, sf):
+    return prep.first_and_all(orders_by_part(spark, sf).obs, ["donor", "celltype"], "status", "cell_id")
+
+
+@query(WITH_SUFF + " SELECT celltype, gene FROM dense WHERE c_ref > 0 AND c_test > 0 AND greatest(c_ref / n_ref::DOUBLE, c_test / n_test::DOUBLE) >= 0.025")
+def gene_gate(spark, sf):
+    return prep.gene_gate(_dense(spark, sf), 0.025).select("celltype", "gene")
+
+
+@query(BASE + ", k AS (SELECT cell_id, sum(greatest(n - 20, 0)) AS total FROM expr GROUP BY 1 HAVING sum(greatest(n - 20, 0)) > 0) SELECT cell_id, count(*) AS genes FROM expr SEMI JOIN k USING (cell_id) GROUP BY 1")
+def cells_with_counts(spark, sf):
+    over = orders_by_part(spark, sf).expr.withColumn("over", F.greatest(F.col("n") - 20, F.lit(0)))
+    return prep.cells_with_counts(over, "over").groupBy("cell_id").agg(F.count("*").alias("genes"))
+
+
+@query(BASE + """, x AS (SELECT cell_id, gene, n, ln(1 + n * 1e4 / sum(n) OVER (PARTITION BY cell_id)) + CASE WHEN cell_id % 7 = 0 THEN 1e-3 ELSE 0 END AS value FROM expr), c AS (SELECT cell_id, sum(n) AS s, count(*) AS k FROM expr GROUP BY 1)
+SELECT 'no_stored_zeros' AS rule, count(*) FILTER (n = 0) AS violations FROM x UNION ALL SELECT 'values_of_counts', count(*) FILTER (cell_id % 7 = 0) FROM x UNION ALL SELECT 'cells_with_counts', count(*) FILTER (s <= 0) FROM c
+UNION ALL SELECT 'cell_sums', count(*) FILTER (cell_id % 5 = 0) FROM c UNION ALL SELECT 'cell_nnz', count(*) FILTER (k > 3) FROM c""")
+def value_checks(spark, sf):
+    """Rules over values that were shifted in every seventh cell, totals off by one in every fifth, and numbers held at three."""
+    e = orders_by_part(spark, sf).expr
+    x = prep.cp10k(e).withColumn("value", F.col("value") + F.when(F.col("cell_id") % 7 == 0, 1e-3).otherwise(0.0))
+    totals = e.groupBy("cell_id").agg(F.sum("n").alias("total"), F.least(F.count("*"), F.lit(3)).alias("nnz")).withColumn("total", F.col("total") + F.when(F.col("cell_id") % 5 == 0, 1).otherwise(0))
+    return prep.check_values(x, totals)
+
+
+@query(BASE + """, tot AS (SELECT cell_id, sum(n) AS t FROM expr GROUP BY 1), med AS (SELECT median(t) AS m FROM tot), x AS (SELECT donor, gene, sum(n * m / t) AS s, sum((n * m / t) ^ 2) AS q FROM expr JOIN tot USING (cell_id) JOIN obs USING (cell_id), med GROUP BY 1, 2),
+sz AS (SELECT donor, count(*) AS cells FROM obs GROUP BY 1), w AS (SELECT count(*) AS donors, sum(cells) AS al, avg(1.0 / cells) AS inv FROM sz),
+g AS (SELECT gene, sum(s) / any_value(al) AS mu, sum(q) / any_value(al) AS e2, count(*) FILTER (s > 0) AS have, any_value(donors) AS donors, any_value(inv) AS inv, var_samp(ln(s / cells)) FILTER (s > 0) AS v FROM x JOIN sz USING (donor), w GROUP BY 1),
+b AS (SELECT greatest(0.0, v - (1 / mu + least(20.0, greatest(1e-3, (e2 - mu * mu - mu) / (mu * mu)))) * inv) AS b FROM g WHERE have = donors AND mu > 0.2) SELECT round(sqrt(median(b)), 6) AS sigma_d, count(*) AS n_genes FROM b""")
+def donor_spread(spark, sf):
+    m = orders_by_part(spark, sf)
+    return prep.donor_spread(m.expr, m.obs).select(F.round("sigma_d", 6).alias("sigma_d"), "n_genes")
+
+
+@query(WITH_SUFF + """, j AS (SELECT celltype, gene, round(abs(s_ref / n_ref - s_test / n_test) / greatest(abs(s_ref / n_ref), abs(s_test / n_test), 1e-8), 6) AS r FROM dense), k AS (SELECT *, row_number() OVER (PARTITION BY celltype ORDER BY r DESC, gene DESC) AS k FROM j)
+SELECT celltype, string_agg(gene, ';' ORDER BY k) AS worst_genes FROM k WHERE k <= 3 GROUP BY 1""")
+def worst_genes(spark, sf):
+    d = hurdle.describe(_dense(spark, sf))
+    return compare.agreement(d.select("celltype", "gene", F.col("mean_expr_ref").alias("v")), d.select("celltype", "gene", F.col("mean_expr_test").alias("v")), "v").select("celltype", "worst_genes")
+
+
+@query(with_stats(10) + ", twice AS (SELECT celltype, gene, CAST(k AS INTEGER) AS place, round(sd, 6) AS stat FROM stats, range(2) t(k) WHERE gene NOT LIKE '%BRASS') SELECT celltype, gene, stat, place FROM (SELECT celltype, gene FROM sizes CROSS JOIN var) LEFT JOIN (SELECT * FROM twice WHERE place = 0) USING (celltype, gene)")
+def aligned_to_genes(spark, sf):
+    s = _stats(spark, sf)
+    twice = s.where(~F.col("gene").endswith("BRASS")).select("celltype", "gene", F.round("stat_detect", 6).alias("stat"), F.explode(F.array(F.lit(1), F.lit(0))).alias("place"))
+    return compare.aligned(s.select("celltype", "gene"), twice, "place").select("celltype", "gene", "stat", "place")
+
+
+@query(ADJUSTED + """, x AS (SELECT celltype, gene, round(p, 1) AS p, round(stat, 6) AS s, CAST(k AS INTEGER) AS run, CASE WHEN k = 0 THEN gene ELSE md5('0:' || k || ':' || gene) END AS pos FROM adj, range(5) t(k)),
+r AS (SELECT *, row_number() OVER (PARTITION BY celltype, run ORDER BY p NULLS LAST, pos) <= 20 AS a, row_number() OVER (PARTITION BY celltype, run ORDER BY s DESC NULLS LAST, pos) AS b FROM x),
+o AS (SELECT celltype, run, count(*) FILTER (a AND b <= 20) AS shared, list(gene ORDER BY gene) FILTER (a) AS p, string_agg(gene, ';' ORDER BY b) FILTER (b <= 20) AS best FROM r GROUP BY 1, 2),
+l AS (SELECT *, lag(p) OVER (PARTITION BY celltype ORDER BY run) AS before FROM o)
+SELECT celltype, min(shared) AS overlap_min, median(shared) AS overlap_median, max(shared) AS overlap_max, round(min(CASE WHEN before IS NOT NULL THEN len(list_intersect(p, before)) / (40.0 - len(list_intersect(p, before))) END), 6) AS jaccard_min, count(DISTINCT best) = 1 AS statistic_identical FROM l GROUP BY 1""")
+def order_overlap(spark, sf):
+    """The twenty best genes by p of one digit, and by the statistic, over five orders of the input."""
+    a = _adjusted(spark, sf).select("celltype", "gene", F.round("p", 1).alias("p"), F.round("stat", 6).alias("stat"))
+    return compare.order_overlap(a, "p", "stat", 20, 5).withColumn("jaccard_min", F.round("jaccard_min", 6))
+
+
+@query(ADJUSTED + """, x AS (SELECT celltype, gene, CASE WHEN gene LIKE '%TIN' THEN 0.0 WHEN gene LIKE '%STEEL' THEN 1.0 ELSE p END AS p FROM adj)
+SELECT celltype, gene, round(CASE WHEN p > 0 THEN -log10(p) WHEN p IS NOT NULL THEN 323.0 END, 6) AS neglog10p, round(ln(least(greatest(p, 1e-12), 1 - 1e-12) / (1 - least(greatest(p, 1e-12), 1 - 1e-12))), 5) AS logit FROM x""")
+def naive_tail_logit(spark, sf):
+    p = F.when(F.col("gene").endswith("TIN"), 0.0).when(F.col("gene").endswith("STEEL"), 1.0).otherwise(F.col("p"))
+    a = _adjusted(spark, sf).select("celltype", "gene", p.alias("p"))
+    return a.select("celltype", "gene", F.round(columns.neglog10_naive(F.col("p")), 6).alias("neglog10p"), F.round(F.when(F.col("p").isNotNull(), columns.logit(F.col("p"))), 5).alias("logit"))
+
+
+@query("SELECT n_nationkey AS nationkey, unnest(list_concat(range(n_nationkey, n_nationkey + 3), [CAST(n_regionkey AS BIGINT)])) AS number FROM nation")
+def range_spec(spark, sf):
+    n = table(spark, sf, "nation").withColumn("spec", F.concat(F.col("n_nationkey").cast("string"), F.lit("-"), (F.col("n_nationkey") + 2).cast("string"), F.lit(", ,"), F.col("n_regionkey").cast("string")))
+    return n.select(F.col("n_nationkey").alias("nationkey"), F.explode(columns.numbers(F.col("spec")).cast("array<bigint>")).alias("number"))
+
+
+def _pair_sql(a: str, b: str) -> str:
+    """The concordance of two methods, from the CTEs of their names (celltype, gene, log2fc, nlp, fdr), tested genes alone."""
+    top = lambda m: f"SELECT *, row_number() OVER (PARTITION BY celltype ORDER BY nlp DESC NULLS LAST, gene) <= 20 AS top, count(*) FILTER (coalesce(fdr < 0.3, false)) OVER (PARTITION BY celltype) AS sig FROM {m} WHERE tested"
+    ranks = ", ".join(f"rank() OVER (PARTITION BY celltype ORDER BY {c}) + (count(*) OVER (PARTITION BY celltype, {c}) - 1) / 2.0 AS r{c}" for c in "xypq")
+    return f"""SELECT celltype, '{a}' AS method_a, '{b}' AS method_b, count(*) AS n_genes, round(corr(x, y), 5) AS pearson_log2fc, round(corr(rx, ry), 5) AS spearman_log2fc, round(corr(rp, rq), 5) AS spearman_neglog10p, round(avg(CASE WHEN sign(x) = sign(y) THEN 1.0 ELSE 0.0 END), 6) AS sign_agreement,
+round(count(*) FILTER (s AND t) / nullif(count(*) FILTER (s OR t), 0)::DOUBLE, 6) AS jaccard, count(*) FILTER (tt) AS topk_overlap, any_value(sig_a) AS sig_a, any_value(sig_b) AS sig_b FROM (SELECT *, {ranks} FROM (SELECT celltype, gene, t1.log2fc AS x, t2.log2fc AS y, t1.nlp AS p, t2.nlp AS q, t1.fdr < 0.3 AS s, t2.fdr < 0.3 AS t, t1.top AND t2.top AS tt, t1.sig AS sig_a, t2.sig AS sig_b
+FROM ({top(a)}) t1 JOIN ({top(b)}) t2 USING (celltype, gene) WHERE t1.log2fc IS NOT NULL AND t2.log2fc IS NOT NULL AND t1.nlp IS NOT NULL AND t2.nlp IS NOT NULL)) GROUP BY celltype HAVING count(*) >= 5"""
+
+
+THREE = TWO.replace("ma AS (", "cell AS (").replace("mb AS (", "sample AS (") + ", " + RANKS[RANKS.index("pos AS (") :] + """,
+ranks AS (SELECT celltype, gene, s AS log2fc, abs(s) AS nlp, CASE WHEN abs(s) > 0.3 THEN 0.01 ELSE 0.5 END AS fdr, true AS tested FROM (SELECT celltype, gene, (w - n_test * (n_cells + 1) / 2.0) / sqrt(n_test::DOUBLE * n_ref * (n_cells + 1) / 12.0) AS s FROM z))"""
+
+
+@query(THREE + " " + " UNION ALL ".join(_pair_sql(a, b) for a, b in (("cell", "sample"), ("cell", "ranks"), ("sample", "ranks"))))
+def method_pairs(spark, sf):
+    """Concordance of each two of three methods: cells, samples, rank sums."""
+    m = orders_by_part(spark, sf)
+    a, b = _two_methods(spark, sf)
+    z = ranksum.rank_sum(m.expr, m.obs, condition.group_sizes(m.obs)).select("celltype", "gene", F.col("z").alias("log2fc"), F.abs("z").alias("neglog10p"), F.when(F.abs("z") > 0.3, 0.01).otherwise(0.5).alias("fdr"), F.lit(True).alias("tested"))
+    c = compare.pairwise(a.unionByName(b).unionByName(compare.harmonise(z, "ranks")), ["cell", "sample", "ranks"], 20, 0.3)
+    return c.select("celltype", "method_a", "method_b", "n_genes", *[F.round(x, 5).alias(x) for x in ("pearson_log2fc", "spearman_log2fc", "spearman_neglog10p")], *r6("sign_agreement", "jaccard"), "topk_overlap", "sig_a", "sig_b")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the whole two-part result of the driver's orders."""
     m = orders_by_part(spark, sf)

@@ -7,9 +7,14 @@ import fcntl
 import hashlib
 import json
 import os
+import resource
+import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def write_json(path: str | Path, value: object) -> None:
     """Written beside its place, flushed, then renamed: a reader sees the old file or the new one."""
@@ -81,3 +86,30 @@ class Steps:
                 raise
         write_json(self.folder / f"{step}.json", {"step": step, "state": "complete", "fingerprint": mark, "outputs": {p: digest(p) for p in outputs}})
         return worked
+
+
+class Clock:
+    """Wall and CPU seconds of this process's stages and its greatest resident set so far, as rows for ``timings``."""
+
+    def __init__(self, process: str = "driver"):
+        self.process = process
+        self.rows: list[tuple[str, str, float, float, float]] = []
+
+    @contextlib.contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        wall, cpu = time.perf_counter(), time.process_time()
+        try:
+            yield
+        finally:
+            peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024.0
+            self.rows.append((self.process, name, time.perf_counter() - wall, time.process_time() - cpu, peak))
+
+
+def timings(stages: DataFrame) -> DataFrame:
+    """process, stage, elapsed_s, cpu_s, peak_rss_mb: the stages, a TOTAL_PROCESS row each process, and one ALL, TOTAL_RUN; seconds are
+    summed, resident sets the greatest."""
+    each = (F.sum("elapsed_s").alias("elapsed_s"), F.sum("cpu_s").alias("cpu_s"), F.max("peak_rss_mb").alias("peak_rss_mb"))
+    columns = ("process", "stage", "elapsed_s", "cpu_s", "peak_rss_mb")
+    by = stages.groupBy("process").agg(*each).withColumn("stage", F.lit("TOTAL_PROCESS"))
+    whole = stages.agg(*each).withColumn("stage", F.lit("TOTAL_RUN")).withColumn("process", F.lit("ALL"))
+    return stages.select(*columns).unionByName(by.select(*columns)).unionByName(whole.select(*columns))

@@ -55,3 +55,19 @@ def read_matrix_market(spark: SparkSession, folder: str, matrix: str = "counts.m
     g = _numbered(spark, f"{folder}/{genes}").select("i", F.col("name").alias("gene"))
     c = _numbered(spark, f"{folder}/{cells}").select(F.col("i").alias("j"), F.col("name").alias("cell_id"))
     return entries.join(g, "i").join(c, "j").select("cell_id", "gene", "n")
+
+
+def inventory(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".csv", ".txt", ".json", ".png", ".parquet")) -> DataFrame:
+    """path, size_kb, modified and rows of each result file under a folder.
+
+    rows: lines of a .csv but its header (a folder of parts counts part by part), -1 for an empty one, null for other files; contents are
+    read of .csv files only.  Hidden files and those beginning with _ aren't listed.
+    """
+    wanted = F.lit(False)
+    for x in endings:
+        wanted = wanted | F.lower("path").endswith(x)
+    name = F.col("_metadata.file_path").alias("_p")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(name, "path", "modificationTime", "length").where(wanted)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder).groupBy(name).agg((F.count("*") - 1).alias("rows"))
+    empty = F.lower("path").endswith(".csv") & F.col("rows").isNull()
+    return files.join(lines, "_p", "left").select("path", F.round(F.col("length") / 1024, 1).alias("size_kb"), F.col("modificationTime").alias("modified"), F.when(empty, F.lit(-1)).otherwise(F.col("rows")).cast("long").alias("rows"))
