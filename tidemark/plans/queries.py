@@ -85,6 +85,9 @@ ADJUSTED = with_stats(10) + PVALS + BH_CTE
 
 # ---------------------------------------------------------------- common frames
 
+#: ``orders_by_part`` gives logarithms: no pass over the values to find out.
+LOGGED = api.Settings(assume_logged=True)
+
 
 def _stats(spark: SparkSession, sf: str, least: int = 10, partial: bool = False) -> DataFrame:
     m = orders_by_part(spark, sf)
@@ -212,7 +215,7 @@ def hurdle_neglog10p_df2(spark, sf):
 def hurdle_full(spark, sf):
     """The whole result with all tails (tails with one degree of freedom are beyond SQL)."""
     m = orders_by_part(spark, sf)
-    return api.two_part(m.expr, m.obs, m.var, api.preset(api.Settings(), moderated=False))[0]
+    return api.two_part(m.expr, m.obs, m.var, api.preset(LOGGED, moderated=False))[0]
 
 
 @query(ADJUSTED + " SELECT celltype, gene, round(q, 6) AS fdr FROM adj")
@@ -353,25 +356,25 @@ def nb_wald_paired_t(spark, sf):
 @query()
 def both_arms(spark, sf):
     m = orders_by_part(spark, sf)
-    return api.run_both_arms(m.expr, m.expr, m.obs.where("status IN ('F', 'O')"), m.var, "F", "O", "donor", "status", settings=api.preset(api.Settings()))
+    return api.run_both_arms(m.expr, m.expr, m.obs.where("status IN ('F', 'O')"), m.var, "F", "O", "donor", "status", settings=api.preset(LOGGED))
 
 
 @query()
 def eb_moderated(spark, sf):
     m = orders_by_part(spark, sf)
-    return api.two_part(m.expr, m.obs, m.var, api.preset(api.Settings()))[0]
+    return api.two_part(m.expr, m.obs, m.var, api.preset(LOGGED))[0]
 
 
 @query()
 def general_cdr(spark, sf):
     m = orders_by_part(spark, sf)
-    return api.two_part(m.expr, m.obs, m.var, api.Settings())[0]
+    return api.two_part(m.expr, m.obs, m.var, LOGGED)[0]
 
 
 @query()
 def threshold_run(spark, sf):
     m = orders_by_part(spark, sf)
-    return api.run_threshold(m.expr, m.obs.drop("cond"), m.var, "balance", 5000, settings=api.preset(api.Settings()))
+    return api.run_threshold(m.expr, m.obs.drop("cond"), m.var, "balance", 5000, settings=api.preset(LOGGED))
 
 
 @query()
@@ -416,7 +419,7 @@ def _run_statistics(result: DataFrame) -> DataFrame:
 
 
 def _plain_preset() -> api.Settings:
-    return api.preset(api.Settings(), moderated=False)
+    return api.preset(LOGGED, moderated=False)
 
 
 @query(_run_sql(ORDERS_BY_PART_SQL))
@@ -954,4 +957,4 @@ def method_pairs(spark, sf):
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the whole two-part result of the driver's orders."""
     m = orders_by_part(spark, sf)
-    return api.two_part(m.expr, m.obs, m.var, api.preset(api.Settings()))[0]
+    return api.two_part(m.expr, m.obs, m.var, api.preset(LOGGED))[0]
