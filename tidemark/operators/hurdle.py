@@ -66,7 +66,7 @@ def detection(suff: DataFrame) -> DataFrame:
     part = lambda k, m: xlogy(k, k / m) + xlogy(m - k, 1 - k / m)
     varies = (p > 0) & (p < n) & (nr > 0) & (nt > 0)
     gain = 2 * (part(cr, nr) + part(ct, nt) - part(p, n))
-    return suff.withColumn("df_detect", varies.cast("int")).withColumn("stat_detect", F.when(varies, F.greatest(F.lit(0.0), gain)).otherwise(F.lit(0.0)))
+    return suff.withColumns({"df_detect": varies.cast("int"), "stat_detect": F.when(varies, F.greatest(F.lit(0.0), gain)).otherwise(F.lit(0.0))})
 
 
 def continuous(suff: DataFrame, min_positive: int) -> DataFrame:
@@ -78,17 +78,13 @@ def continuous(suff: DataFrame, min_positive: int) -> DataFrame:
     full = F.greatest(F.lit(0.0), q - square(sr, cr) - square(st, ct))
     null = F.greatest(F.lit(0.0), q - square(sr + st, n))
     mean = lambda s, c: F.when(c > 0, s / c).otherwise(F.lit(0.0))
-    out = suff.withColumn("rss_full", F.when(full > NOISE * q, full).otherwise(F.lit(0.0))).withColumn("rss_null", null)
+    out = suff.withColumns({"rss_full": F.when(full > NOISE * q, full).otherwise(F.lit(0.0)), "rss_null": null})
     ok = (cr >= 1) & (ct >= 1) & (n >= min_positive) & (n - 2 >= 1) & (F.col("rss_full") > 0)
     stat = n * F.ln(F.greatest(F.col("rss_null") / F.greatest(F.col("rss_full"), F.lit(1e-12)), F.lit(1.0)))
-    return (
-        out.withColumn("df_continuous", ok.cast("int"))
-        .withColumn("stat_continuous", F.when(ok, F.greatest(F.lit(0.0), stat)).otherwise(F.lit(0.0)))
-        .withColumn("beta", F.when(ok, mean(st, ct) - mean(sr, cr)))
-        .withColumn("dfres", F.when(ok, n - 2))
-        .withColumn("s2", F.when(ok, F.col("rss_full") / (n - 2)))
-        .withColumn("vcoef", F.when(ok, 1.0 / cr + 1.0 / ct))
-    )
+    return out.withColumns({
+        "df_continuous": ok.cast("int"), "stat_continuous": F.when(ok, F.greatest(F.lit(0.0), stat)).otherwise(F.lit(0.0)), "beta": F.when(ok, mean(st, ct) - mean(sr, cr)),
+        "dfres": F.when(ok, n - 2), "s2": F.when(ok, F.col("rss_full") / (n - 2)), "vcoef": F.when(ok, 1.0 / cr + 1.0 / ct),
+    })
 
 
 def linear_log2fc(mean_test: Column, mean_ref: Column) -> Column:
@@ -109,10 +105,9 @@ def reasons(df: DataFrame, min_positive: int, partial: bool) -> DataFrame:
 
 def combine(df: DataFrame) -> DataFrame:
     """stat_hurdle and df_hurdle, and null for every statistic of what is not tested."""
-    out = df.withColumn("stat_hurdle", F.col("stat_detect") + F.col("stat_continuous")).withColumn("df_hurdle", F.col("df_detect") + F.col("df_continuous"))
-    for c in ("stat_detect", "stat_continuous", "stat_hurdle", "df_detect", "df_continuous", "df_hurdle"):
-        out = out.withColumn(c, F.when(F.col("tested"), F.col(c)))
-    return out
+    parts = {f"{k}_{part}": F.col(f"{k}_{part}") for part in ("detect", "continuous") for k in ("stat", "df")}
+    both = {f"{k}_hurdle": F.col(f"{k}_detect") + F.col(f"{k}_continuous") for k in ("stat", "df")}
+    return df.withColumns({name: F.when(F.col("tested"), c) for name, c in (parts | both).items()})
 
 
 def coefficient(df: DataFrame, mode: str) -> DataFrame:
@@ -121,7 +116,7 @@ def coefficient(df: DataFrame, mode: str) -> DataFrame:
     value = {"mast_logfc": difference, "mean_difference": difference, "linear_log2fc": linear_log2fc(F.col("mean_expr_test"), F.col("mean_expr_ref")), "continuous": F.col("beta")}
     if mode not in value:
         raise ValueError(f"coef_mode must be one of {sorted(value)}")
-    return df.withColumn("coef", F.when(F.col("tested"), value[mode])).withColumn("coef_continuous", F.when(F.col("tested"), F.col("beta")))
+    return df.withColumns({"coef": F.when(F.col("tested"), value[mode]), "coef_continuous": F.when(F.col("tested"), F.col("beta"))})
 
 
 def tails(df: DataFrame) -> DataFrame:
@@ -129,12 +124,11 @@ def tails(df: DataFrame) -> DataFrame:
     two = F.col("df_hurdle") == 2
     stat = F.col("stat_hurdle")
     some = lambda s, d: F.when(F.col(d) > 0, chi2_tail(F.col(s), F.col(d).cast("double")))
-    return (
-        df.withColumn("pvalue", F.when(two, F.exp(-stat / 2)).otherwise(some("stat_hurdle", "df_hurdle")))
-        .withColumn("neglog10p", F.when(two, stat / (2 * special.LN10)).otherwise(F.when(F.col("df_hurdle") > 0, chi2_neglog10(stat, F.col("df_hurdle").cast("double")))))
-        .withColumn("p_detect", some("stat_detect", "df_detect"))
-        .withColumn("p_continuous", some("stat_continuous", "df_continuous"))
-    )
+    return df.withColumns({
+        "pvalue": F.when(two, F.exp(-stat / 2)).otherwise(some("stat_hurdle", "df_hurdle")),
+        "neglog10p": F.when(two, stat / (2 * special.LN10)).otherwise(F.when(F.col("df_hurdle") > 0, chi2_neglog10(stat, F.col("df_hurdle").cast("double")))),
+        "p_detect": some("stat_detect", "df_detect"), "p_continuous": some("stat_continuous", "df_continuous"),
+    })
 
 
 def closed_form(expr: DataFrame, obs: DataFrame, var: DataFrame, sizes: DataFrame, min_positive: int = 10, partial: bool = False) -> DataFrame:

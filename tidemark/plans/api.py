@@ -69,14 +69,12 @@ def two_part(expr: DataFrame, obs: DataFrame, var: DataFrame, settings: Settings
     if settings.drop_untested:
         rows = rows.where("tested")
     rows = rows.select("*", F.col("gene").alias("primerid"), F.col("pvalue").alias("Pr(>Chisq)"), F.col("c_ref").alias("n_positive_ref"), F.col("c_test").alias("n_positive_test"))
-    out = conform(rows.withColumn("method", F.lit(METHOD)))
+    names_ = {c: F.lit(settings.labels[c]) for c in ("comparison", "ref_level", "test_level")} | {"lrt_term": F.lit("condition" + settings.labels["test_level"])}
+    out = conform(rows.withColumns({"method": F.lit(METHOD)} | names_))
     if settings.emit_skipped and not settings.drop_untested:
-        skipped = gate.where("gate_reason <> ''").crossJoin(var.select("gene")).select("celltype", "gene", F.col("gene").alias("primerid"), "n_cells", "n_ref", "n_test", F.lit(False).alias("tested"), F.lit(False).alias("detection_separated"), F.col("gate_reason").alias("skip_reason"), F.lit(METHOD).alias("method"))
+        skipped = gate.where("gate_reason <> ''").crossJoin(var.select("gene")).select("celltype", "gene", F.col("gene").alias("primerid"), "n_cells", "n_ref", "n_test", F.lit(False).alias("tested"), F.lit(False).alias("detection_separated"), F.col("gate_reason").alias("skip_reason"), F.lit(METHOD).alias("method"), *[c.alias(k) for k, c in names_.items()])
         out = out.unionByName(conform(skipped))
-    names_ = settings.labels
-    for c in ("comparison", "ref_level", "test_level"):
-        out = out.withColumn(c, F.lit(names_[c]))
-    return conform(out.withColumn("lrt_term", F.lit("condition" + names_["test_level"]))), gate
+    return out, gate
 
 
 def run_two_part(expr: DataFrame, obs: DataFrame, var: DataFrame, ref: str, test: str, column: str = "condition", folder: str | None = None, prefix: str = "two_part", form: str = "parquet", name: str | None = None, mast_compat: bool = False, settings: Settings = Settings()) -> DataFrame | str:
