@@ -13,9 +13,9 @@ def neglog10_naive(p: Column, floor: float = 323.0) -> Column:
 
 
 def logit(p: Column, edge: float = 1e-12) -> Column:
-    """Log odds of p held within [edge, 1 - edge]."""
+    """Log odds of p held within [edge, 1 - edge]; null where p is."""
     held = F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge))
-    return F.log(held / (1 - held))
+    return F.when(p.isNotNull(), F.log(held / (1 - held)))
 
 
 def numbers(spec: Column) -> Column:

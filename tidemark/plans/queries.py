@@ -899,7 +899,7 @@ def worst_genes(spark, sf):
     return compare.agreement(d.select("celltype", "gene", F.col("mean_expr_ref").alias("v")), d.select("celltype", "gene", F.col("mean_expr_test").alias("v")), "v").select("celltype", "worst_genes")
 
 
-@query(with_stats(10) + ", twice AS (SELECT celltype, gene, CAST(k AS INTEGER) AS place, round(sd, 6) AS stat FROM stats, range(2) t(k) WHERE gene NOT LIKE '%BRASS') SELECT celltype, gene, stat, place FROM (SELECT celltype, gene FROM sizes CROSS JOIN var) LEFT JOIN (SELECT * FROM twice WHERE place = 0) USING (celltype, gene)")
+@query(with_stats(10) + f", twice AS (SELECT celltype, gene, CAST(k AS INTEGER) AS place, CASE WHEN {STRICT} = '' THEN round(sd, 6) END AS stat FROM stats, range(2) t(k) WHERE gene NOT LIKE '%BRASS') SELECT celltype, gene, stat, place FROM (SELECT celltype, gene FROM sizes CROSS JOIN var) LEFT JOIN (SELECT * FROM twice WHERE place = 0) USING (celltype, gene)")
 def aligned_to_genes(spark, sf):
     s = _stats(spark, sf)
     twice = s.where(~F.col("gene").endswith("BRASS")).select("celltype", "gene", F.round("stat_detect", 6).alias("stat"), F.explode(F.array(F.lit(1), F.lit(0))).alias("place"))
@@ -918,11 +918,11 @@ def order_overlap(spark, sf):
 
 
 @query(ADJUSTED + """, x AS (SELECT celltype, gene, CASE WHEN gene LIKE '%TIN' THEN 0.0 WHEN gene LIKE '%STEEL' THEN 1.0 ELSE p END AS p FROM adj)
-SELECT celltype, gene, round(CASE WHEN p > 0 THEN -log10(p) WHEN p IS NOT NULL THEN 323.0 END, 6) AS neglog10p, round(ln(least(greatest(p, 1e-12), 1 - 1e-12) / (1 - least(greatest(p, 1e-12), 1 - 1e-12))), 5) AS logit FROM x""")
+SELECT celltype, gene, round(CASE WHEN p > 0 THEN -log10(p) WHEN p IS NOT NULL THEN 323.0 END, 6) AS neglog10p, CASE WHEN p IS NOT NULL THEN round(ln(least(greatest(p, 1e-12), 1 - 1e-12) / (1 - least(greatest(p, 1e-12), 1 - 1e-12))), 5) END AS logit FROM x""")
 def naive_tail_logit(spark, sf):
     p = F.when(F.col("gene").endswith("TIN"), 0.0).when(F.col("gene").endswith("STEEL"), 1.0).otherwise(F.col("p"))
     a = _adjusted(spark, sf).select("celltype", "gene", p.alias("p"))
-    return a.select("celltype", "gene", F.round(columns.neglog10_naive(F.col("p")), 6).alias("neglog10p"), F.round(F.when(F.col("p").isNotNull(), columns.logit(F.col("p"))), 5).alias("logit"))
+    return a.select("celltype", "gene", F.round(columns.neglog10_naive(F.col("p")), 6).alias("neglog10p"), F.round(columns.logit(F.col("p")), 5).alias("logit"))
 
 
 @query("SELECT n_nationkey AS nationkey, unnest(list_concat(range(n_nationkey, n_nationkey + 3), [CAST(n_regionkey AS BIGINT)])) AS number FROM nation")
