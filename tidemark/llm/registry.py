@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, near_duplicates, neighbours, pieces, quality, ranked, repeats, secrets, sharding, token_codes, warc
+from . import decontaminate, licenses, near_duplicates, neighbours, pieces, quality, ranked, repeats, secrets, sharding, token_codes, tries, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_pieces": pieces.op10_pieces,
+        "op11_trie": tries.op11_trie,
         "op12_ranked": ranked.op12_ranked,
         "op13_licenses": licenses.op13_licenses,
     }
@@ -30,6 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_secrets": secrets.ORACLE_SQL,
         "op7_repeats": repeats.ORACLE_SQL,
         "op9_decontaminate": decontaminate.ORACLE_SQL,
+        "op11_trie": tries.ORACLE_SQL,
         "op12_ranked": ranked.ORACLE_SQL,
         "op13_licenses": licenses.ORACLE_SQL,
     }
