@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+from pyspark.sql import functions as F
 from tidemark.llm import common, warc
 
 PAGES = [
@@ -49,3 +50,16 @@ def test_many_blocks(spark, monkeypatch):
     entries = scratch.keep(warc.write_archives(pages, scratch.path("warc")), "entries")
     top = warc.write_index(entries, scratch.path("index"))
     assert sorted(f["page_id"] for f in warc.lookup(top, "http://h3.example.com/same")) == list(range(3, 3000, 7))
+
+
+def test_reading_tasks_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """Two archives, one far larger: its stretches go to many tasks, and every record is read once."""
+    pages = spark.createDataFrame([(k, f"http://h/{k}", ("%d " % k) * 3000) for k in range(400)], "page_id long, url string, html string").coalesce(1)
+    top = warc.write_index(warc.write_archives(pages, str(tmp_path / "w")).persist(), str(tmp_path / "i"))
+    assert sum(t["entries"] for t in top) == 400 and sum(t["bytes"] for t in top) == sum(f.stat().st_size for f in (tmp_path / "w").iterdir() if f.name.endswith(".gz"))
+    monkeypatch.setattr(warc, "STRETCH", 1 << 10)
+    monkeypatch.setattr(warc, "TASK_BYTES", 1 << 12)
+    few = warc.read_archives(spark, top)
+    assert few.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-sum(t["bytes"] for t in top) // (1 << 12))) > 4
+    held = [n for n in few.groupBy(F.spark_partition_id()).count().toPandas()["count"] if n]
+    assert sum(held) == 400 and len(held) > 4 and sorted(r.page_id for r in few.collect()) == list(range(400))

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK = 512
+#: Record bytes (as stored) that a reading task takes, and that it reads in one stretch of a file.
+TASK_BYTES, STRETCH = 64 << 20, 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "key string, page_id long, url string, digest string, record_type string, file string, offset long, length long"
@@ -103,10 +105,14 @@ def parse(raw: bytes) -> tuple[dict[str, str], int, bytes]:
 
 
 def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id and refers_to of the records that revisit another: counts by digest first, no payload moves."""
+    """page_id and refers_to of the records that revisit another: counts by digest first, no payload moves.
+
+    The first of each digest is a written table, so that the join may split a payload that very many pages have.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n")).where(F.col("n") >= min_bytes)
     first = keys.groupBy("sha", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = common.Scratch(pages.sparkSession, "revisits").keep(first, "first")
     return keys.join(first, ["sha", "n"]).where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
@@ -150,8 +156,8 @@ def write_index(entries: DataFrame, folder: str) -> list[dict]:
     def run(batches):
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}.cdxb"
-        parts, directory, at, lines, first = [], [], 0, [], None
-        count = 0
+        parts, directory, at, lines = [], [], 0, []
+        count = size = 0
 
         def close():
             nonlocal at
@@ -165,6 +171,7 @@ def write_index(entries: DataFrame, folder: str) -> list[dict]:
             for row in b.to_pylist():
                 lines.append(f"{row.pop('key')} {json.dumps(row)}\n")
                 count += 1
+                size += row["length"]
                 if len(lines) == BLOCK:
                     close()
         if lines:
@@ -173,9 +180,9 @@ def write_index(entries: DataFrame, folder: str) -> list[dict]:
             return
         tail = gz(json.dumps(directory).encode())
         common.write_file(folder, name, [*parts, tail, struct.pack("<QI", at, len(tail))], context.taskAttemptId())
-        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [f"{folder}/{name}"], "first_key": [directory[0][0]], "entries": [count]})
+        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [f"{folder}/{name}"], "first_key": [directory[0][0]], "entries": [count], "bytes": [size]})
 
-    rows = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset").transform(common.arrow, run, "part long, file string, first_key string, entries long").collect()
+    rows = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset").transform(common.arrow, run, "part long, file string, first_key string, entries long, bytes long").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r.part)]
 
 
@@ -220,7 +227,11 @@ def lookup(top: list[dict], url: str) -> list[dict]:
 
 
 def read_archives(spark: SparkSession, top: list[dict]) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every capture, through the index."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every capture, through the index.
+
+    Tasks follow the bytes of the records, not those of their places: stretches of ``STRETCH`` bytes of a file
+    are dealt to a task for every ``TASK_BYTES``, one a core at least.
+    """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
     def entries(batches):
@@ -249,7 +260,8 @@ def read_archives(spark: SparkSession, top: list[dict]) -> DataFrame:
         return spark.createDataFrame([], schema)
     files = spark.createDataFrame([(t["file"],) for t in top], "file string").repartition(len(top))
     places = files.transform(common.arrow, entries, "file string, offset long, length long")
-    return places.repartition("file").sortWithinPartitions("file", "offset").transform(common.arrow, records, schema)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(t["bytes"] for t in top) // TASK_BYTES))
+    return places.repartition(tasks, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset").transform(common.arrow, records, schema)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
