@@ -145,26 +145,14 @@ def test_sample_level(spark):
     obs = spark.createDataFrame(obs, "cell_id long, celltype string, cond int, donor long")
     counts, var = spark.createDataFrame(rows, "cell_id long, gene string, n double"), spark.createDataFrame([(f"g{g:02d}",) for g in range(31)], "gene string")
     out = pseudobulk.run_pseudobulk(counts, obs, var).toPandas().set_index("gene")
-    assert (out.loc[[f"g{g:02d}" for g in range(4)], "pb_padj"] < 0.01).all() and out.loc["g30", "pb_skip_reason"] == "low_counts"
+    assert (out.loc[[f"g{g:02d}" for g in range(4)], "pb_padj"] < 0.01).all() and out.loc["g30", "pb_skip_reason"] == "below_min_gene_counts"
     assert abs(out.loc["g00", "pb_log2FC"] - out.loc["g10", "pb_log2FC"] - np.log2(6)) < 0.3
     few = pseudobulk.run_pseudobulk(counts, obs.where("donor IN (0, 4)"), var).toPandas()
-    assert few.pb_skip_reason.str.startswith("too_few_donors").all()
+    assert few.pb_skip_reason.str.startswith("need>=2 donors/group (ref=").all()
     with pytest.raises(ValueError):
         pseudobulk.run_pseudobulk(counts, obs, var, paired=True)
 
 
-def test_wald_test_ignores_sample_order():
-    random = np.random.default_rng(5)
-    y = random.negative_binomial(5, 0.05, (8, 60)).astype(float)
-    cond = np.array([0, 0, 0, 0, 1, 1, 1, 1])
-    a = nb.wald_test(y, cond)
-    order = [3, 1, 0, 2, 7, 4, 6, 5]
-    b = nb.wald_test(y[order], cond[order])
-    assert np.allclose(a.pb_log2FC, b.pb_log2FC, atol=1e-6, equal_nan=True)
-    t = nb.wald_test(y, cond, use_t=True)
-    assert (t.pb_pvalue >= a.pb_pvalue - 1e-12).all() and np.mean(a.pb_pvalue < 0.05) < 0.2
-
-
 def test_donor_splits():
     for n in (4, 5, 6, 7):
         s = calibrate.donor_splits(list(range(n)), 1000)

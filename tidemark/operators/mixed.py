@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
+from .dealing import deal
 
 NODES = 15
 SCORING, NEWTON, MODE_STEPS = 12, 14, 2
@@ -181,7 +182,7 @@ def _fitted(rows: DataFrame, fit, names: list[str]) -> DataFrame:
                     found = fit(values)
                 yield pa.RecordBatch.from_arrays([part.column("celltype"), part.column("gene"), *[pa.array(found[c], pa.float64(), from_pandas=True) for c in names]], ["celltype", "gene", *names])
 
-    return rows.select("celltype", "gene", "donors").mapInArrow(run, "celltype string, gene string, " + ", ".join(f"{c} double" for c in names))
+    return deal(rows.select("celltype", "gene", "donors"), "celltype", "gene").mapInArrow(run, "celltype string, gene string, " + ", ".join(f"{c} double" for c in names))
 
 
 def _stacked(values: dict[str, np.ndarray], name: str) -> np.ndarray:

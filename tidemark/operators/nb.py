@@ -1,31 +1,33 @@
-"""Negative-binomial Wald tests of samples x genes tables, from the published method: median-of-ratios
-size factors, Cox-Reid adjusted dispersions, a parametric trend, shrinkage to it, IRLS, Wald statistics,
-count outliers by Cook's distance, and Benjamini-Hochberg after independent filtering."""
+"""Negative-binomial fits of genes over samples, in NumPy: all genes of a batch at once.
+
+From the published method: Cox-Reid adjusted dispersions, shrinkage to a trend, IRLS, Wald statistics, and
+Cook's distance with a robust dispersion.  What looks over genes (size factors, trend, prior, the
+cut of independent filtering) is aggregated by Spark in ``pseudobulk``.
+"""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 
 from ..functions import special
 
 LEAST_DISP, LN2 = 1e-8, math.log(2.0)
+#: Replicates from which on outliers can be found, and from which on they are replaced.
+FOUND, REPLACED = 3, 7
+#: The robust dispersion isn't below this.
+LEAST_ROBUST = 0.04
+
 
+def design(cond: np.ndarray, donors: list | None) -> np.ndarray:
+    """Columns: intercept, condition, and donors but the first."""
+    x = np.column_stack([np.ones(len(cond)), cond.astype(float)])
+    return x if donors is None else np.column_stack([x, *[[float(d == v) for d in donors] for v in sorted(set(donors))[1:]]])
 
-def size_factors(counts: np.ndarray) -> np.ndarray:
-    """Median over genes of the ratio to the geometric mean; genes with a zero take no part (positive counts alone if none is left)."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        logs = np.log(counts)
-    every = np.isfinite(logs).all(0)
-    if not every.any():
-        logs = np.where(counts > 0, logs, np.nan)
-        means = np.nansum(logs, axis=0) / len(counts)
-        ratio = np.nanmedian(logs - means, axis=1)
-        return np.exp(ratio - ratio.mean())
-    part = logs[:, every]
-    return np.exp(np.median(part - part.mean(0), axis=1))
+
+def estimable(x: np.ndarray) -> bool:
+    return len(x) > x.shape[1] and np.linalg.matrix_rank(x) == x.shape[1]
 
 
 def _log_likelihood(y: np.ndarray, mu: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -44,18 +46,19 @@ def _adjusted(y, x, mu, log_a, prior=None) -> np.ndarray:
     return out if prior is None else out - (log_a - prior[0]) ** 2 / (2 * prior[1])
 
 
-def _maximise(y, x, mu, low, high, prior=None, rounds: int = 4, points: int = 21) -> np.ndarray:
-    """Log dispersions by grid search narrowed around the best point, all genes at once."""
+def _maximise(y, x, mu, low, high, prior=None, rounds: int = 4, points: int = 17) -> np.ndarray:
+    """Log dispersions by grid search narrowed around the best point, all genes at once, then the top of a parabola through three points."""
     a, b = np.full(y.shape[1], low), np.full(y.shape[1], high)
-    best = a
     for _ in range(rounds):
         grid = np.linspace(a, b, points)
         value = np.stack([_adjusted(y, x, mu, g, prior) for g in grid])
-        k = np.nanargmax(value, axis=0)
-        step = (b - a) / (points - 1)
-        best = grid[k, np.arange(len(k))]
+        k, at, step = np.nanargmax(value, axis=0), np.arange(y.shape[1]), (b - a) / (points - 1)
+        best = grid[k, at]
         a, b = np.maximum(best - step, low), np.minimum(best + step, high)
-    return best
+    below, here, above = (value[np.clip(k + d, 0, points - 1), at] for d in (-1, 0, 1))
+    bend = below - 2 * here + above
+    inside = (k > 0) & (k < points - 1) & (bend < -1e-9)
+    return best + np.where(inside, step * 0.5 * (below - above) / np.where(inside, bend, 1.0), 0.0)
 
 
 def fit_means(y: np.ndarray, x: np.ndarray, size: np.ndarray, a: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +75,7 @@ def fit_means(y: np.ndarray, x: np.ndarray, size: np.ndarray, a: np.ndarray, ste
         info = np.einsum("ni,ng,nj->gij", x, w, x) + ridge
         beta = np.linalg.solve(info, np.einsum("ni,ng->gi", x, w * z)[:, :, None])[:, :, 0]
         deviance = -2 * _log_likelihood(y, mu, a)
-        if np.all(np.abs(deviance - old) / (np.abs(deviance) + 0.1) < 1e-8):
+        if np.all(np.abs(deviance - old) / (np.abs(deviance) + 0.1) < 1e-12):
             break
         old = deviance
     mu = np.maximum(size[:, None] * np.exp(np.clip(x @ beta.T, -30, 30)), 0.5)
@@ -82,80 +85,93 @@ def fit_means(y: np.ndarray, x: np.ndarray, size: np.ndarray, a: np.ndarray, ste
     return beta, mu, inverse @ plain @ inverse
 
 
-def trend(means: np.ndarray, disp: np.ndarray) -> np.ndarray:
-    """Dispersion a0 + a1 / mean by gamma regression, without genes far off; the mean dispersion where that fails."""
-    use = (disp > 100 * LEAST_DISP) & (means > 0)
-    a0 = a1 = None
-    if use.sum() >= 3:
-        m, d, coef = means[use], disp[use], np.array([0.1, 1.0])
-        for _ in range(20):
-            fit = coef[0] + coef[1] / m
-            near = (d / fit > 1e-4) & (d / fit < 15)
-            if near.sum() < 3:
-                break
-            z = np.column_stack([np.ones(near.sum()), 1.0 / m[near]])
-            new = coef.copy()
-            for _ in range(50):
-                mu = np.maximum(z @ new, 1e-10)
-                weight = 1.0 / mu**2
-                step = np.linalg.lstsq((z.T * weight) @ z, (z.T * weight) @ d[near], rcond=None)[0]
-                if np.abs(step - new).max() < 1e-10:
-                    break
-                new = np.maximum(step, 1e-12)
-            if (np.log(new / coef) ** 2).sum() < 1e-6:
-                a0, a1 = new
-                break
-            coef = new
-    if a0 is None:
-        flat = np.mean(disp[use]) if use.any() else 0.1
-        return np.full(len(means), max(flat, LEAST_DISP))
-    return a0 + a1 / np.maximum(means, 1e-8)
-
-
-def wald_test(counts: np.ndarray, cond: np.ndarray, donors: list[str] | None = None, use_t: bool = False, alpha: float = 0.1) -> pd.DataFrame:
-    """counts: samples x genes, samples in a fixed order.  Columns pb_log2FC, pb_pvalue, pb_padj, pb_stat, pb_neglog10p."""
-    n, genes = counts.shape
-    columns = ["pb_log2FC", "pb_pvalue", "pb_padj", "pb_stat", "pb_neglog10p"]
-    x = np.column_stack([np.ones(n), cond.astype(float)])
-    if donors is not None:
-        x = np.column_stack([x, *[[float(d == v) for d in donors] for v in sorted(set(donors))[1:]]])
-    out = pd.DataFrame(np.nan, index=range(genes), columns=columns)
-    some = counts.sum(0) > 0
-    if n <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1] or not some.any():
-        return out
-    y, size = counts[:, some], size_factors(counts[:, some])
+def bounds(n: int) -> tuple[float, float]:
+    """Of a log dispersion."""
+    return math.log(LEAST_DISP), math.log(max(10.0, n))
+
+
+def gene_wise(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of normalised counts, and dispersions by likelihood at the means of a first fit."""
     normal = y / size[:, None]
-    means = normal.mean(0)
-    # first dispersions by moments, then by likelihood at the means of a first fit
-    variance = normal.var(0, ddof=1)
+    means, variance = normal.mean(0), normal.var(0, ddof=1)
     rough = np.clip((variance - (1 / size).mean() * means) / np.maximum(means, 1e-8) ** 2, LEAST_DISP, 10.0)
     _, mu, _ = fit_means(y, x, size, rough)
-    low, high = math.log(LEAST_DISP), math.log(max(10.0, n))
-    gene_wise = np.exp(_maximise(y, x, mu, low, high))
-    fitted = trend(means, gene_wise)
-    far = gene_wise >= 100 * LEAST_DISP
-    excess = np.log(gene_wise[far]) - np.log(fitted[far]) if far.any() else np.zeros(1)
-    spread = float(np.median(np.abs(excess - np.median(excess))) * 1.4826)
-    width = max(spread**2 - float(special.trigamma([(n - x.shape[1]) / 2])[0]), 0.25)
-    shrunk = np.exp(_maximise(y, x, mu, low, high, (np.log(fitted), width)))
-    final = np.where(np.log(gene_wise) > np.log(fitted) + 2 * spread, gene_wise, shrunk)
+    return means, np.exp(_maximise(y, x, mu, *bounds(len(y))))
+
+
+def shrunk(y: np.ndarray, x: np.ndarray, size: np.ndarray, disp: np.ndarray, fitted: np.ndarray, width: float, spread: float) -> np.ndarray:
+    """Dispersions drawn to the trend; those far above it stay."""
+    _, mu, _ = fit_means(y, x, size, disp)
+    drawn = np.exp(_maximise(y, x, mu, *bounds(len(y)), (np.log(fitted), width)))
+    return np.where(np.log(disp) > np.log(fitted) + 2 * spread, disp, drawn)
+
+
+def _trimmed(v: np.ndarray, share: float) -> np.ndarray:
+    """Means down the columns without ``share`` of the values at either end."""
+    cut = int(len(v) * share + 1e-9)
+    return np.sort(v, axis=0)[cut : len(v) - cut].mean(0)
+
+
+def robust_dispersion(normal: np.ndarray, arm: np.ndarray | None) -> np.ndarray:
+    """By moments from trimmed variances: within the arms, the greatest of them, where an arm has three samples; else over all samples."""
+    means = normal.mean(0)
+    found = []
+    for k in () if arm is None else np.unique(arm):
+        part = normal[arm == k]
+        if len(part) >= FOUND:
+            # shares to trim, and what makes trimmed squares of normal deviates unbiased, by the number of samples (fixed values)
+            share, scale = (1 / 3, 2.04) if len(part) <= 3 else (1 / 4, 1.86) if len(part) <= 23 else (1 / 8, 1.51)
+            found.append(scale * _trimmed((part - _trimmed(part, share)) ** 2, share))
+    variance = np.max(found, axis=0) if found else 1.51 * _trimmed((normal - _trimmed(normal, 1 / 8)) ** 2, 1 / 8)
+    return np.maximum((variance - means) / np.maximum(means, 1e-8) ** 2, LEAST_ROBUST)
+
+
+def cooks(y: np.ndarray, x: np.ndarray, size: np.ndarray, mu: np.ndarray, disp: np.ndarray, arm: np.ndarray | None) -> np.ndarray:
+    """Cook's distance of each sample: leverage by the fit's dispersion, the residual's variance by the robust one, which an outlier doesn't move."""
+    w = mu / (1 + mu * disp)
+    hat = np.einsum("ni,gij,nj->ng", x, np.linalg.inv(np.einsum("ni,ng,nj->gij", x, w, x)), x) * w
+    variance = mu + robust_dispersion(y / size[:, None], arm) * mu**2
+    return (y - mu) ** 2 / variance / x.shape[1] * hat / np.maximum(1 - hat, 1e-8) ** 2
+
+
+def wald(y: np.ndarray, cond: np.ndarray, donors: list | None, size: np.ndarray, disp: np.ndarray, trend, width: float, spread: float, use_t: bool) -> dict[str, np.ndarray]:
+    """Statistics of genes with counts; ``trend``: from means to dispersions.
+
+    A sample that alone moves the fit costs its gene the p where its arm has three to six samples, unless
+    three samples have larger counts; where it has seven, its count is replaced by the trimmed mean, and the gene is fitted again.
+    """
+    x = design(cond, donors)
+    n, p = x.shape
+    means = (y / size[:, None]).mean(0)
+    final = shrunk(y, x, size, disp, trend(means), width, spread)
     beta, mu, cov = fit_means(y, x, size, final)
+    flagged, replaced = np.zeros(y.shape[1], bool), np.zeros(y.shape[1], bool)
+    replicates = np.array([(cond == c).sum() for c in cond]) if donors is None else np.ones(n)
+    if (replicates >= FOUND).any() and n > p:
+        limit = f_quantile_99(p, n - p)
+        distance = cooks(y, x, size, mu, final, cond)
+        again = replicates >= REPLACED
+        out = (distance > limit) & again[:, None]
+        replaced = out.any(0)
+        if replaced.any():
+            typical = _trimmed(y[:, replaced] / size[:, None], 0.2) * size[:, None]
+            part = np.where(out[:, replaced], np.floor(typical), y[:, replaced])
+            new_means, new = gene_wise(part, x, size)
+            some = part.sum(0) > 0
+            at = np.flatnonzero(replaced)[some]
+            new = shrunk(part[:, some], x, size, new[some], trend(new_means[some]), width, spread)
+            beta[at], mu[:, at], cov[at] = fit_means(part[:, some], x, size, new)
+            distance[:, at] = cooks(part[:, some], x, size, mu[:, at], new, cond)
+            means[replaced] = new_means
+            final[at] = new
+        seen = np.where(((replicates >= FOUND) & ~again)[:, None] | (~replaced & (replicates >= FOUND)[:, None]), distance, 0.0)
+        most = seen.argmax(0)
+        larger = (y > y[most, np.arange(y.shape[1])]).sum(0)
+        flagged = (seen.max(0) > limit) & (larger < 3)
     z = beta[:, 1] / np.sqrt(np.maximum(cov[:, 1, 1], 1e-300))
-    df = n - x.shape[1]
-    log_p = special.t_log_two_sided(z, float(df)) if use_t else special.log_erfc(np.abs(z) / math.sqrt(2.0))
-    p = np.exp(log_p)
-    # a sample that alone moves the fit: no p for its gene (three replicates at least)
-    if min((cond == 0).sum(), (cond == 1).sum()) >= 3 and donors is None:
-        w = mu / (1 + mu * final)
-        hat = np.einsum("ni,gij,nj->ng", x, np.linalg.inv(np.einsum("ni,ng,nj->gij", x, w, x)), x) * w
-        cook = (y - mu) ** 2 / (mu + final * mu**2) / x.shape[1] * hat / np.maximum(1 - hat, 1e-8) ** 2
-        p[cook.max(0) > f_quantile_99(x.shape[1], df)] = np.nan
-    out.loc[some, "pb_log2FC"] = beta[:, 1] / LN2
-    out.loc[some, "pb_pvalue"] = p
-    out.loc[some, "pb_stat"] = z
-    out.loc[some, "pb_neglog10p"] = np.where(np.isnan(p), np.nan, -log_p / special.LN10)
-    out.loc[some, "pb_padj"] = filtered_bh(p, means, alpha)
-    return out
+    log_p = special.t_log_two_sided(z, float(n - p)) if use_t else special.log_erfc(np.abs(z) / math.sqrt(2.0))
+    lost = lambda v: np.where(flagged, np.nan, v)
+    return {"mean": means, "dispersion": final, "pb_log2FC": beta[:, 1] / LN2, "pb_stat": z, "pb_pvalue": lost(np.exp(log_p)), "pb_neglog10p": lost(-log_p / special.LN10), "replaced": replaced.astype(float)}
 
 
 def f_quantile_99(a: int, b: int) -> float:
@@ -181,13 +197,3 @@ def bh(p: np.ndarray) -> np.ndarray:
     back[order] = q
     out[ok] = back
     return out
-
-
-def filtered_bh(p: np.ndarray, means: np.ndarray, alpha: float) -> np.ndarray:
-    """Adjusted p after leaving out genes of low mean: the lowest of fifty cuts whose rejections come near the most."""
-    low = (means == 0).mean()
-    cuts = np.quantile(means, np.linspace(low, 0.95 if low < 0.95 else 1.0, 50))
-    adjusted = [bh(np.where(means >= c, p, np.nan)) for c in cuts]
-    rejected = np.array([np.nansum(a < alpha) for a in adjusted])
-    k = int(np.argmax(rejected >= rejected.max() - 0)) if rejected.max() > 10 else 0
-    return adjusted[k]

@@ -297,7 +297,7 @@ def pb_gene_filter(spark, sf):
     return pb.groupBy("celltype", "gene").agg(F.sum("n").alias("total"))
 
 
-@query(BASE + META.format(cells=40) + ", g AS (SELECT celltype, count(*) FILTER (cond = 0) AS n_donors_ref, count(*) FILTER (cond = 1) AS n_donors_test FROM good GROUP BY 1) SELECT *, CASE WHEN least(n_donors_ref, n_donors_test) >= 20 THEN '' ELSE 'too_few_donors (' || n_donors_ref || ' vs ' || n_donors_test || ')' END AS reason FROM g")
+@query(BASE + META.format(cells=40) + ", g AS (SELECT celltype, count(*) FILTER (cond = 0) AS n_donors_ref, count(*) FILTER (cond = 1) AS n_donors_test FROM good GROUP BY 1) SELECT *, CASE WHEN least(n_donors_ref, n_donors_test) >= 20 THEN '' ELSE 'need>=20 donors/group (ref=' || n_donors_ref || ', test=' || n_donors_test || ')' END AS reason FROM g")
 def pb_donor_gate(spark, sf):
     return pseudobulk.donor_gate(pseudobulk.samples(orders_by_part(spark, sf).obs, 40), 20)
 
@@ -323,7 +323,7 @@ def pb_welch(spark, sf):
     return _welch(spark, sf).select("celltype", "gene", *r6("pb_log2FC", "pb_stat"))
 
 
-@query(WITH_PB + ", keep AS (SELECT celltype, gene FROM pb GROUP BY 1, 2 HAVING sum(n) >= 2000), types AS (SELECT celltype, count(*) FILTER (cond = 0) AS a, count(*) FILTER (cond = 1) AS b FROM good GROUP BY 1) SELECT celltype, gene, CASE WHEN least(a, b) >= 2 THEN 'low_counts' ELSE 'too_few_donors (' || a || ' vs ' || b || ')' END AS pb_skip_reason FROM types CROSS JOIN var ANTI JOIN keep USING (celltype, gene)")
+@query(WITH_PB + ", keep AS (SELECT celltype, gene FROM pb GROUP BY 1, 2 HAVING sum(n) >= 2000), types AS (SELECT celltype, count(*) FILTER (cond = 0) AS a, count(*) FILTER (cond = 1) AS b FROM good GROUP BY 1) SELECT celltype, gene, CASE WHEN least(a, b) >= 2 THEN CASE WHEN celltype IN (SELECT celltype FROM keep) THEN 'below_min_gene_counts' ELSE 'no_genes_after_count_filter' END ELSE 'need>=2 donors/group (ref=' || a || ', test=' || b || ')' END AS pb_skip_reason FROM types CROSS JOIN var ANTI JOIN keep USING (celltype, gene)")
 def pb_padding(spark, sf):
     m = orders_by_part(spark, sf)
     meta = pseudobulk.samples(m.obs)
