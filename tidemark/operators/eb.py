@@ -2,52 +2,26 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import special
+from ..functions import native
 
 LEAST_GENES, MOST_DF = 10, 1e6
 
 
-@F.pandas_udf(T.DoubleType())
-def _log_excess(s2: pd.Series, df: pd.Series) -> pd.Series:
-    """ln s2 - digamma(df / 2) + ln(df / 2)."""
-    h = df.to_numpy(float) / 2
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return pd.Series(np.log(s2.to_numpy(float)) - special.digamma(h) + np.log(h))
-
-
-@F.pandas_udf(T.DoubleType())
-def _trigamma_half(df: pd.Series) -> pd.Series:
-    return pd.Series(special.trigamma(df.to_numpy(float) / 2))
-
-
-@F.pandas_udf(T.StructType([T.StructField("d0", T.DoubleType()), T.StructField("s02", T.DoubleType())]))
-def _prior(mean: pd.Series, var: pd.Series, tri: pd.Series) -> pd.DataFrame:
-    excess = var.to_numpy(float) - tri.to_numpy(float)
-    ok = excess > 0
-    d0 = np.where(ok, 2 * special.trigamma_inverse(np.where(ok, excess, 1.0)), np.inf)
-    h = np.where(ok, d0, 2.0) / 2
-    s02 = np.exp(mean.to_numpy(float) + np.where(ok, special.digamma(h) - np.log(h), 0.0))
-    return pd.DataFrame({"d0": np.minimum(d0, MOST_DF), "s02": s02})
-
-
-@F.pandas_udf(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("stat", T.DoubleType())]))
-def _moderated(t: pd.Series, df: pd.Series) -> pd.DataFrame:
-    p, stat = special.moderated_t_to_chi2(t.to_numpy(float), df.to_numpy(float))
-    return pd.DataFrame({"p": np.minimum(p, 1.0), "stat": stat})
-
-
 def priors(df: DataFrame) -> DataFrame:
     """celltype, d0, s02 by moments over the tested genes with a fitted continuous part; cell types with fewer than ten have none."""
     use = df.where(F.col("tested") & (F.col("df_continuous") == 1) & (F.col("s2") > 0) & (F.col("dfres") > 0) & (F.col("vcoef") > 0))
-    e = use.select("celltype", _log_excess("s2", F.col("dfres").cast("double")).alias("e"), _trigamma_half(F.col("dfres").cast("double")).alias("tri"))
+    half = F.col("dfres") / 2
+    e = use.select("celltype", (F.ln("s2") - native.digamma(half) + F.ln(half)).alias("e"), native.trigamma(half).alias("tri"))
     m = e.groupBy("celltype").agg(F.avg("e").alias("mean"), F.var_samp("e").alias("var"), F.avg("tri").alias("tri"), F.count("*").alias("n")).where(F.col("n") >= LEAST_GENES)
-    return m.select("celltype", _prior("mean", "var", "tri").alias("x")).select("celltype", "x.d0", "x.s02")
+    excess = F.col("var") - F.col("tri")
+    h = m.withColumn("h", F.when(excess > 0, native.trigamma_inverse(excess)))
+    return h.select(
+        "celltype", F.least(F.coalesce(2 * F.col("h"), F.lit(MOST_DF)), F.lit(MOST_DF)).alias("d0"),
+        F.exp(F.col("mean") + F.coalesce(native.digamma(F.col("h")) - F.ln("h"), F.lit(0.0))).alias("s02"),
+    )
 
 
 def moderate(df: DataFrame) -> DataFrame:
@@ -56,6 +30,6 @@ def moderate(df: DataFrame) -> DataFrame:
     use = F.col("tested") & (F.col("df_continuous") == 1) & F.col("d0").isNotNull() & (F.col("s2") > 0)
     post = (F.col("d0") * F.col("s02") + F.col("dfres") * F.col("s2")) / (F.col("d0") + F.col("dfres"))
     t = F.col("beta") / F.sqrt(F.greatest(post * F.col("vcoef"), F.lit(1e-300)))
-    out = joined.withColumn("_m", F.when(use, _moderated(F.coalesce(t, F.lit(0.0)), F.coalesce(F.col("dfres") + F.col("d0"), F.lit(1.0)))))
-    out = out.withColumn("stat_continuous", F.when(use, F.col("_m.stat")).otherwise(F.col("stat_continuous")))
-    return out.withColumn("stat_hurdle", F.when(F.col("tested"), F.col("stat_detect") + F.col("stat_continuous"))).drop("_m", "d0", "s02")
+    stat = native.chi2_of_log_tail(native.t_log_two_sided(t, F.col("dfres") + F.col("d0")))
+    out = joined.withColumn("stat_continuous", F.when(use, stat).otherwise(F.col("stat_continuous")))
+    return out.withColumn("stat_hurdle", F.when(F.col("tested"), F.col("stat_detect") + F.col("stat_continuous"))).drop("d0", "s02")

@@ -1,34 +1,21 @@
 """The two-part test of two groups in closed form: sufficient statistics, then Column algebra.
 
 One hash aggregate gives counts, sums and sums of squares a cell type and gene; detection is a
-G-test of the rates, expression a likelihood-ratio test of the positives' means.  No fit, no Python
-but for tails with one degree of freedom.
+G-test of the rates, expression a likelihood-ratio test of the positives' means.  No fit, no Python.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import special
+from ..functions import native
 from ..schema import xlogy
 
 #: Residual sums of squares up to this share of the sum of squares are rounding noise.
 NOISE = 1e-10
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_tail(stat: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(special.chi2_sf(stat.to_numpy(float), df.to_numpy(float))).where(stat.notna() & df.notna())
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_neglog10(stat: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(special.neglog10_chi2_sf(stat.to_numpy(float), df.to_numpy(float))).where(stat.notna() & df.notna())
-
-
 def sufficient(expr: DataFrame, obs: DataFrame, value: str = "value") -> DataFrame:
     """celltype, gene and, for each arm, positives c, sum s, sum of squares q.  Values of zero and below count as not detected."""
     v = F.col(value)
@@ -120,15 +107,11 @@ def coefficient(df: DataFrame, mode: str) -> DataFrame:
 
 
 def tails(df: DataFrame) -> DataFrame:
-    """p-values and -log10 p; with two degrees of freedom both are elementary, one takes erfc."""
-    two = F.col("df_hurdle") == 2
-    stat = F.col("stat_hurdle")
-    some = lambda s, d: F.when(F.col(d) > 0, chi2_tail(F.col(s), F.col(d).cast("double")))
-    return df.withColumns({
-        "pvalue": F.when(two, F.exp(-stat / 2)).otherwise(some("stat_hurdle", "df_hurdle")),
-        "neglog10p": F.when(two, stat / (2 * special.LN10)).otherwise(F.when(F.col("df_hurdle") > 0, chi2_neglog10(stat, F.col("df_hurdle").cast("double")))),
-        "p_detect": some("stat_detect", "df_detect"), "p_continuous": some("stat_continuous", "df_continuous"),
-    })
+    """p-values and -log10 p of one or two degrees of freedom, by logarithms of tails."""
+    log = {k: native.chi2_log_tail(F.col(f"stat_{k}"), F.col(f"df_{k}")) for k in ("hurdle", "detect", "continuous")}
+    return df.withColumn("_log", log["hurdle"]).withColumns({
+        "pvalue": F.exp("_log"), "neglog10p": native.neglog10(F.col("_log")), "p_detect": F.exp(log["detect"]), "p_continuous": F.exp(log["continuous"]),
+    }).drop("_log")
 
 
 def closed_form(expr: DataFrame, obs: DataFrame, var: DataFrame, sizes: DataFrame, min_positive: int = 10, partial: bool = False) -> DataFrame:

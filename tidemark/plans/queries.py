@@ -12,7 +12,7 @@ from ..operators import calibrate, calls, compare, condition, design, eb, genera
 from ..operators.fdr import benjamini_hochberg
 from ..schema import average_rank
 from ..sources.mappings import ORDERS_BY_PART_SQL, documents_by_word, orders_by_part, table, users_by_event
-from . import api
+from . import api, tails_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -211,11 +211,53 @@ def hurdle_neglog10p_df2(spark, sf):
     return a.select("celltype", "gene", F.when(F.col("p").isNotNull(), F.round(F.col("stat") / (2 * F.ln(F.lit(10.0))), 6)).alias("neglog10p"), F.round("p", 9).alias("pvalue"))
 
 
-@query()
+#: Moderated statistics of the continuous part, as ``why`` with another ``sc``.
+MODERATED = f""", used AS (SELECT celltype, rss_full / (n_positive - 2) AS s2, (n_positive - 2) / 2.0 AS h FROM why0 WHERE skip = '' AND dc = 1),
+excess AS (SELECT celltype, ln(s2) - {tails_sql.digamma('h')} + ln(h) AS e, {tails_sql.trigamma('h')} AS tri FROM used),
+moments AS (SELECT celltype, avg(e) AS mean, var_samp(e) - avg(tri) AS v FROM excess GROUP BY 1 HAVING count(*) >= 10),
+halved(celltype, mean, v, a, b, it) AS (SELECT celltype, mean, v, -ln(v), ln((1 + sqrt(1 + 4 * v)) / (2 * v)), 0 FROM moments WHERE v > 0
+  UNION ALL SELECT celltype, mean, v, CASE WHEN tri > v THEN m ELSE a END, CASE WHEN tri > v THEN b ELSE m END, it + 1 FROM (SELECT *, {tails_sql.trigamma('exp(m)')} AS tri FROM (SELECT *, (a + b) / 2 AS m FROM halved WHERE it < 60))),
+prior AS (SELECT celltype, least(2 * h, 1e6) AS d0, exp(mean + {tails_sql.digamma('h')} - ln(h)) AS s02 FROM (SELECT celltype, mean, exp((a + b) / 2) AS h FROM halved WHERE it = 60)
+  UNION ALL SELECT celltype, 1e6, exp(mean) FROM moments WHERE NOT v > 0),
+posted AS (SELECT why0.* EXCLUDE (sc), sc AS sc0, n_positive - 2 + d0 AS tdf, skip = '' AND dc = 1 AND d0 IS NOT NULL AS mod,
+  abs(s_test / c_test - s_ref / c_ref) / sqrt(greatest((d0 * s02 + rss_full) / (d0 + n_positive - 2) * (1.0 / c_ref + 1.0 / c_test), 1e-300)) AS tz FROM why0 LEFT JOIN prior USING (celltype)),
+logged AS (SELECT *, CASE WHEN mod THEN {tails_sql.t_log_two_sided('tz', 'tdf')} END AS tlp FROM posted),
+why AS (SELECT *, CASE WHEN mod THEN {tails_sql.chi2_of_log_tail('tlp')} ELSE sc0 END AS sc FROM logged)"""
+
+
+def _whole_sql(moderated: bool) -> str:
+    """Every column of the result, rounded as ``_whole_rounded`` does."""
+    head = with_stats(2).replace("WITH ", "WITH RECURSIVE ", 1) + f", why0 AS (SELECT *, {PARTIAL} AS skip FROM stats WHERE n_ref >= 1 AND n_test >= 1 AND n_cells >= 20)"
+    head += MODERATED if moderated else ", why AS (SELECT * FROM why0)"
+    logs = ", ".join(f"{tails_sql.chi2_log_tail(stat, df)} AS {name}" for name, stat, df in (("lh", "sd + sc", "(dd + dc)"), ("ld", "sd", "dd"), ("lc", "sc", "dc")))
+    rank = "PARTITION BY celltype, lh IS NULL ORDER BY"
+    head += f""", logs AS (SELECT *, {logs} FROM why), pv AS (SELECT * REPLACE (CASE WHEN skip = '' THEN lh END AS lh), CASE WHEN skip = '' THEN exp(lh) END AS p FROM logs),
+ranks AS (SELECT *, p * count(*) OVER (PARTITION BY celltype, lh IS NULL) / row_number() OVER ({rank} p, gene) AS ratio FROM pv),
+adj AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(ratio) OVER ({rank} p DESC, gene DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM ranks)"""
+    then = lambda x, d=6: f"CASE WHEN skip = '' THEN round({x}, {d}) END"
+    count = lambda x: f"CASE WHEN skip = '' THEN CAST({x} AS INTEGER) END"
+    columns = {
+        "primerid": "gene", "gene": "gene", "coef": then("s_test / n_test - s_ref / n_ref"), "coef_continuous": f"CASE WHEN dc = 1 THEN {then('s_test / c_test - s_ref / c_ref')} END", '"Pr(>Chisq)"': "round(p, 7)", "pvalue": "round(p, 7)",
+        "fdr": "round(q, 6)", "neglog10p": "round(-lh / ln(10), 6)", "p_detect": then("exp(ld)", 7), "p_continuous": then("exp(lc)", 7), "stat_detect": then("sd"), "stat_continuous": then("sc"), "stat_hurdle": then("sd + sc"),
+        "df_detect": count("dd"), "df_continuous": count("dc"), "df_hurdle": count("dd + dc"), "n_cells": "n_cells", "n_ref": "n_ref", "n_test": "n_test", "n_positive": "n_positive", "n_positive_ref": "c_ref", "n_positive_test": "c_test",
+        "detect_rate_ref": "round(c_ref / n_ref::DOUBLE, 6)", "detect_rate_test": "round(c_test / n_test::DOUBLE, 6)", "detection_separated": "c_ref = 0 OR c_ref = n_ref OR c_test = 0 OR c_test = n_test",
+        "mean_expr_ref": "round(s_ref / n_ref, 6)", "mean_expr_test": "round(s_test / n_test, 6)", "celltype": "celltype", "comparison": "'ref_vs_test'", "ref_level": "'ref'", "test_level": "'test'", "lrt_term": "'conditiontest'",
+        "tested": "skip = ''", "skip_reason": "skip", "method": "'two_part_hurdle'",
+    }
+    return head + " SELECT " + ", ".join(f"{c} AS {k}" for k, c in columns.items()) + " FROM adj"
+
+
+def _whole_rounded(result: DataFrame) -> DataFrame:
+    """p-values to seven decimals, other real numbers to six."""
+    seven = {"pvalue", "Pr(>Chisq)", "p_detect", "p_continuous"}
+    return result.select(*[F.round(F.col(f"`{n}`"), 7 if n in seven else 6).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in result.dtypes])
+
+
+@query(_whole_sql(False))
 def hurdle_full(spark, sf):
-    """The whole result with all tails (tails with one degree of freedom are beyond SQL)."""
+    """The whole result with all tails."""
     m = orders_by_part(spark, sf)
-    return api.two_part(m.expr, m.obs, m.var, api.preset(LOGGED, moderated=False))[0]
+    return _whole_rounded(api.two_part(m.expr, m.obs, m.var, api.preset(LOGGED, moderated=False))[0])
 
 
 @query(ADJUSTED + " SELECT celltype, gene, round(q, 6) AS fdr FROM adj")
@@ -359,10 +401,11 @@ def both_arms(spark, sf):
     return api.run_both_arms(m.expr, m.expr, m.obs.where("status IN ('F', 'O')"), m.var, "F", "O", "donor", "status", settings=api.preset(LOGGED))
 
 
-@query()
+@query(_whole_sql(True))
 def eb_moderated(spark, sf):
+    """The whole result, variances moderated."""
     m = orders_by_part(spark, sf)
-    return api.two_part(m.expr, m.obs, m.var, api.preset(LOGGED))[0]
+    return _whole_rounded(api.two_part(m.expr, m.obs, m.var, api.preset(LOGGED))[0])
 
 
 @query()
@@ -371,24 +414,6 @@ def general_cdr(spark, sf):
     return api.two_part(m.expr, m.obs, m.var, LOGGED)[0]
 
 
-@query()
-def threshold_run(spark, sf):
-    m = orders_by_part(spark, sf)
-    return api.run_threshold(m.expr, m.obs.drop("cond"), m.var, "balance", 5000, settings=api.preset(LOGGED))
-
-
-@query()
-def words_by_quality(spark, sf):
-    m = documents_by_word(spark, sf)
-    return api.two_part(m.expr, m.obs, m.var, api.preset(api.Settings(), moderated=False))[0]
-
-
-@query()
-def events_by_user(spark, sf):
-    m = users_by_event(spark, sf)
-    return api.two_part(m.expr, m.obs, m.var, api.preset(api.Settings()))[0]
-
-
 # The statistics of the four whole runs above, beside SQL: either part is enough, no moderation.
 
 EVENTS_SQL = """
@@ -406,6 +431,24 @@ var AS (SELECT DISTINCT gene FROM expr)
 BY_BALANCE_SQL = ORDERS_BY_PART_SQL.replace("CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END", "CASE WHEN c_acctbal >= 5000 THEN 1 ELSE 0 END")
 
 
+@query(_whole_sql(True).replace(ORDERS_BY_PART_SQL, BY_BALANCE_SQL).replace("'ref_vs_test'", "'high_vs_low_thr5000'").replace("'ref'", "'low'").replace("'test'", "'high'").replace("'conditiontest'", "'conditionhigh'"))
+def threshold_run(spark, sf):
+    m = orders_by_part(spark, sf)
+    return _whole_rounded(api.run_threshold(m.expr, m.obs.drop("cond"), m.var, "balance", 5000, settings=api.preset(LOGGED)))
+
+
+@query(_whole_sql(False).replace(ORDERS_BY_PART_SQL, WORDS_SQL))
+def words_by_quality(spark, sf):
+    m = documents_by_word(spark, sf)
+    return _whole_rounded(api.two_part(m.expr, m.obs, m.var, api.preset(api.Settings(), moderated=False))[0])
+
+
+@query(_whole_sql(True).replace(ORDERS_BY_PART_SQL, EVENTS_SQL))
+def events_by_user(spark, sf):
+    m = users_by_event(spark, sf)
+    return _whole_rounded(api.two_part(m.expr, m.obs, m.var, api.preset(api.Settings()))[0])
+
+
 def _run_sql(inputs: str) -> str:
     """What ``_run_statistics`` gives, from the inputs as CTEs."""
     then = lambda x: f"CASE WHEN {PARTIAL} = '' THEN {x} END"
