@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,14 +80,14 @@ def two_part(expr: DataFrame, obs: DataFrame, var: DataFrame, settings: Settings
 def run_two_part(expr: DataFrame, obs: DataFrame, var: DataFrame, ref: str, test: str, column: str = "condition", folder: str | None = None, prefix: str = "two_part", form: str = "parquet", name: str | None = None, mast_compat: bool = False, settings: Settings = Settings()) -> DataFrame | str:
     """Condition by label, the test, and (with a folder) the result and its diagnostics written."""
     settings = preset(settings) if mast_compat else settings
-    settings.labels = {"comparison": f"{ref}_vs_{test}", "ref_level": ref, "test_level": test}
+    settings = replace(settings, labels={"comparison": f"{ref}_vs_{test}", "ref_level": ref, "test_level": test})
     result, gate = two_part(expr, obs.withColumn("cond", condition.by_label(F.col(column), ref)), var, settings)
     return _written(result, gate, var, folder, prefix, form, name)
 
 
 def run_threshold(expr: DataFrame, obs: DataFrame, var: DataFrame, score: str, threshold: float, ref: str = "low", test: str = "high", folder: str | None = None, prefix: str = "threshold", form: str = "parquet", name: str | None = None, settings: Settings = Settings()) -> DataFrame | str:
     """The same with the condition from a numeric score."""
-    settings.labels = {"comparison": f"{test}_vs_{ref}_thr{threshold}", "ref_level": ref, "test_level": test}
+    settings = replace(settings, labels={"comparison": f"{test}_vs_{ref}_thr{threshold}", "ref_level": ref, "test_level": test})
     result, gate = two_part(expr, obs.withColumn("cond", condition.by_threshold(F.col(score), threshold)), var, settings)
     return _written(result, gate, var, folder, prefix, form, name)
 

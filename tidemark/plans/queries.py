@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import columns
+from ..functions import columns, native
 from ..operators import calibrate, calls, compare, condition, design, eb, general, hurdle, prep, pseudobulk, ranksum, scoring, simulate
 from ..operators.fdr import benjamini_hochberg
 from ..schema import average_rank
@@ -355,6 +356,21 @@ wm AS (SELECT celltype, gene, avg(x) FILTER (cond = 0) AS m0, avg(x) FILTER (con
 welch AS (SELECT celltype, gene, m1 - m0 AS lfc, CASE WHEN v0 / k0 + v1 / k1 > 0 THEN (m1 - m0) / sqrt(v0 / k0 + v1 / k1) END AS t FROM wm)"""
 
 
+def normal_sql(source: str, stat: str, name: str) -> str:
+    """CTE ``name``: the rows of ``source`` with the two-sided normal tail of ``stat``: its logarithm lp, p, and q by Benjamini-Hochberg a cell type."""
+    rank = "PARTITION BY celltype, p IS NULL ORDER BY"
+    return f""", {name}_p AS (SELECT *, exp(lp) AS p FROM (SELECT *, CASE WHEN {stat} IS NOT NULL THEN least(0.0, {tails_sql.log_erfc(f'(abs({stat}) / sqrt(2.0))')}) END AS lp FROM {source})),
+{name}_r AS (SELECT *, p * count(*) OVER (PARTITION BY celltype, p IS NULL) / row_number() OVER ({rank} p, gene) AS ratio FROM {name}_p),
+{name} AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(ratio) OVER ({rank} p DESC, gene DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM {name}_r)"""
+
+
+def _normal(df: DataFrame, stat: str, p: str = "pvalue", q: str = "fdr") -> DataFrame:
+    """neglog10p, ``p`` and ``q`` of a statistic that is normal without an effect."""
+    log_p = F.when(F.col(stat).isNotNull(), F.least(F.lit(0.0), native.log_erfc(F.abs(stat) / math.sqrt(2.0))))
+    out = df.withColumn("_lp", log_p).withColumn("neglog10p", native.neglog10(F.col("_lp"))).withColumn(p, F.exp("_lp")).drop("_lp")
+    return benjamini_hochberg(out, p, q, ["celltype"])
+
+
 def _welch(spark, sf):
     m = orders_by_part(spark, sf)
     return pseudobulk.welch(pseudobulk.sums(m.expr, m.obs, pseudobulk.samples(m.obs), m.var))
@@ -373,13 +389,14 @@ def pb_padding(spark, sf):
     return pseudobulk.pad(found, pseudobulk.donor_gate(meta), m.var).where("NOT pb_tested").select("celltype", "gene", "pb_skip_reason")
 
 
-@query(ADJUSTED.replace("WITH ", "WITH ", 1) + META.format(cells=10) + PB + ", pbd AS (SELECT g.celltype, g.sample, g.cond, v.gene, coalesce(pb.n, 0) AS n FROM good g CROSS JOIN var v LEFT JOIN pb ON pb.celltype = g.celltype AND pb.sample = g.sample AND pb.gene = v.gene)" + WELCH + """,
-arms AS (SELECT celltype, gene, q, coef, lfc, t IS NOT NULL AS pt, CASE WHEN t IS NULL THEN NULL WHEN abs(t) > 1.6 THEN 0.01 ELSE 0.5 END AS pq FROM adj FULL JOIN welch USING (celltype, gene))
-SELECT celltype, gene, CASE WHEN NOT coalesce(pt, false) THEN 'not_tested' WHEN coalesce(pq < 0.05, false) THEN CASE WHEN coalesce(sign(lfc) = sign(coef), false) THEN 'significant' ELSE 'direction_conflict' END WHEN coalesce(q < 0.3, false) THEN 'ranked_only' ELSE 'ns' END AS call FROM arms""")
+@query(ADJUSTED.replace("WITH ", "WITH ", 1) + META.format(cells=10) + PB + ", pbd AS (SELECT g.celltype, g.sample, g.cond, v.gene, coalesce(pb.n, 0) AS n FROM good g CROSS JOIN var v LEFT JOIN pb ON pb.celltype = g.celltype AND pb.sample = g.sample AND pb.gene = v.gene)" + WELCH + normal_sql("welch", "t", "wq") + """,
+arms AS (SELECT celltype, gene, adj.q AS q, coef, lfc, t IS NOT NULL AS pt, wq.q AS pq FROM adj FULL JOIN wq USING (celltype, gene))
+SELECT celltype, gene, CASE WHEN NOT coalesce(pt, false) THEN 'not_tested' WHEN coalesce(pq < 0.3, false) THEN CASE WHEN coalesce(sign(lfc) = sign(coef), false) THEN 'significant' ELSE 'direction_conflict' END WHEN coalesce(q < 0.3, false) THEN 'ranked_only' ELSE 'ns' END AS call FROM arms""")
 def combine_calls(spark, sf):
-    w = _welch(spark, sf).withColumn("pb_tested", F.col("pb_stat").isNotNull()).withColumn("pb_padj", F.when(F.col("pb_stat").isNotNull(), F.when(F.abs("pb_stat") > 1.6, 0.01).otherwise(0.5)))
-    a = _adjusted(spark, sf).select("celltype", "gene", "coef", (F.col("q") / 6).alias("fdr"))
-    return calls.combine_calls(a, w).select("celltype", "gene", "call")
+    """The cell-level test and Welch's statistic with normal tails, both adjusted, at a level of 0.3."""
+    w = _normal(_welch(spark, sf).withColumn("pb_tested", F.col("pb_stat").isNotNull()), "pb_stat", "pb_pvalue", "pb_padj")
+    a = _adjusted(spark, sf).select("celltype", "gene", "coef", F.col("q").alias("fdr"))
+    return calls.combine_calls(a, w, 0.3).select("celltype", "gene", "call")
 
 
 @query()
@@ -502,14 +519,14 @@ def wilcoxon_z(spark, sf):
 
 def _two_methods(spark, sf):
     """The cell-level and the sample-level statistic as two harmonised methods."""
-    a = _adjusted(spark, sf).select("celltype", "gene", F.col("p").alias("pvalue"), F.col("q").alias("fdr"), F.col("coef").alias("log2fc"), F.when(F.col("p").isNotNull(), F.col("stat") / 2).alias("neglog10p"), "stat", F.col("p").isNotNull().alias("tested"), F.lit("").alias("skip_reason"))
-    b = _welch(spark, sf).select("celltype", "gene", F.lit(None).cast("double").alias("pvalue"), F.when(F.abs("pb_stat") > 1.6, 0.01).otherwise(0.5).alias("fdr"), F.col("pb_log2FC").alias("log2fc"), F.abs("pb_stat").alias("neglog10p"), F.col("pb_stat").alias("stat"), F.col("pb_stat").isNotNull().alias("tested"), F.lit("").alias("skip_reason"))
+    a = _adjusted(spark, sf).select("celltype", "gene", F.col("p").alias("pvalue"), F.col("q").alias("fdr"), F.col("coef").alias("log2fc"), F.when(F.col("p").isNotNull(), F.col("stat") / (2 * math.log(10))).alias("neglog10p"), "stat", F.col("p").isNotNull().alias("tested"), F.lit("").alias("skip_reason"))
+    b = _normal(_welch(spark, sf), "pb_stat").select("celltype", "gene", "pvalue", "fdr", F.col("pb_log2FC").alias("log2fc"), "neglog10p", F.col("pb_stat").alias("stat"), F.col("pb_stat").isNotNull().alias("tested"), F.lit("").alias("skip_reason"))
     return compare.harmonise(a, "cell"), compare.harmonise(b, "sample")
 
 
-TWO = ADJUSTED + META.format(cells=10) + PB + ", pbd AS (SELECT g.celltype, g.sample, g.cond, v.gene, coalesce(pb.n, 0) AS n FROM good g CROSS JOIN var v LEFT JOIN pb ON pb.celltype = g.celltype AND pb.sample = g.sample AND pb.gene = v.gene)" + WELCH + """,
-ma AS (SELECT celltype, gene, coef AS log2fc, CASE WHEN p IS NOT NULL THEN stat / 2 END AS nlp, q AS fdr, p IS NOT NULL AS tested FROM adj),
-mb AS (SELECT celltype, gene, lfc AS log2fc, abs(t) AS nlp, CASE WHEN abs(t) > 1.6 THEN 0.01 ELSE 0.5 END AS fdr, t IS NOT NULL AS tested FROM welch)"""
+TWO = ADJUSTED + META.format(cells=10) + PB + ", pbd AS (SELECT g.celltype, g.sample, g.cond, v.gene, coalesce(pb.n, 0) AS n FROM good g CROSS JOIN var v LEFT JOIN pb ON pb.celltype = g.celltype AND pb.sample = g.sample AND pb.gene = v.gene)" + WELCH + normal_sql("welch", "t", "wq") + """,
+ma AS (SELECT celltype, gene, coef AS log2fc, CASE WHEN p IS NOT NULL THEN stat / (2 * ln(10)) END AS nlp, q AS fdr, p IS NOT NULL AS tested FROM adj),
+mb AS (SELECT celltype, gene, lfc AS log2fc, -lp / ln(10) AS nlp, q AS fdr, t IS NOT NULL AS tested FROM wq)"""
 
 
 @query(TWO + " SELECT celltype, gene, round(ma.log2fc, 6) AS log2fc_cell, round(mb.log2fc, 6) AS log2fc_sample FROM ma FULL JOIN mb USING (celltype, gene)")
@@ -984,7 +1001,8 @@ FROM ({top(a)}) t1 JOIN ({top(b)}) t2 USING (celltype, gene) WHERE t1.log2fc IS
 
 
 THREE = TWO.replace("ma AS (", "cell AS (").replace("mb AS (", "sample AS (") + ", " + RANKS[RANKS.index("pos AS (") :] + """,
-ranks AS (SELECT celltype, gene, s AS log2fc, abs(s) AS nlp, CASE WHEN abs(s) > 0.3 THEN 0.01 ELSE 0.5 END AS fdr, true AS tested FROM (SELECT celltype, gene, (w - n_test * (n_cells + 1) / 2.0) / sqrt(n_test::DOUBLE * n_ref * (n_cells + 1) / 12.0) AS s FROM z))"""
+scores AS (SELECT celltype, gene, (w - n_test * (n_cells + 1) / 2.0) / sqrt(n_test::DOUBLE * n_ref * (n_cells + 1) / 12.0) AS s FROM z)""" + normal_sql("scores", "s", "rq") + """,
+ranks AS (SELECT celltype, gene, s AS log2fc, -lp / ln(10) AS nlp, q AS fdr, true AS tested FROM rq)"""
 
 
 @query(THREE + " " + " UNION ALL ".join(_pair_sql(a, b) for a, b in (("cell", "sample"), ("cell", "ranks"), ("sample", "ranks"))))
@@ -992,7 +1010,7 @@ def method_pairs(spark, sf):
     """Concordance of each two of three methods: cells, samples, rank sums."""
     m = orders_by_part(spark, sf)
     a, b = _two_methods(spark, sf)
-    z = ranksum.rank_sum(m.expr, m.obs, condition.group_sizes(m.obs)).select("celltype", "gene", F.col("z").alias("log2fc"), F.abs("z").alias("neglog10p"), F.when(F.abs("z") > 0.3, 0.01).otherwise(0.5).alias("fdr"), F.lit(True).alias("tested"))
+    z = _normal(ranksum.rank_sum(m.expr, m.obs, condition.group_sizes(m.obs)), "z").select("celltype", "gene", F.col("z").alias("log2fc"), "neglog10p", "pvalue", "fdr", F.lit(True).alias("tested"))
     c = compare.pairwise(a.unionByName(b).unionByName(compare.harmonise(z, "ranks")), ["cell", "sample", "ranks"], 20, 0.3)
     return c.select("celltype", "method_a", "method_b", "n_genes", *[F.round(x, 5).alias(x) for x in ("pearson_log2fc", "spearman_log2fc", "spearman_neglog10p")], *r6("sign_agreement", "jaccard"), "topk_overlap", "sig_a", "sig_b")
 
