@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +50,11 @@ def donor_splits(donors: list, most: int) -> list[list[tuple]]:
 
 
 def n_donor_splits(n: int) -> int:
-    return comb(n, n // 2) // 2 if n % 2 == 0 else n * comb(n - 1, (n - 1) // 2) // 2
+    """How many ``donor_splits`` there are: for each donor who may stay out, the companions that the least of the others can have in its arm."""
+    if n < 2:
+        return 0
+    dealt, left_out = n - n % 2, n if n % 2 else 1
+    return left_out * comb(dealt - 1, dealt // 2 - 1)
 
 
 def split_table(spark: SparkSession, splits: list[list[tuple]]) -> DataFrame:
@@ -154,16 +157,23 @@ def arm_offset(expr: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def bootstrap_mean(df: DataFrame, value: str, by: list[str], resamples: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean of each group (a few values a group: replicates)."""
-    import numpy as np
+    """Percentile interval of the mean of each group: by, mean, low, high.
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema) + ", mean double, low double, high double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].dropna().sort_values().to_numpy(float)
-        m = np.random.default_rng(seed).choice(x, (resamples, len(x))).mean(1) if len(x) else np.array([np.nan])
-        out = pdf[by].head(1).copy()
-        out["mean"], out["low"], out["high"] = x.mean() if len(x) else np.nan, np.quantile(m, (1 - level) / 2), np.quantile(m, (1 + level) / 2)
-        return out
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    Resample k of a group of n values takes, for each of its n places, the value whose number (in order of value) is a hash of
+    (seed, k, place) modulo n: the same draws on every run and in any plan.  Places are dealt out as rows, and one
+    aggregate adds up all resamples; a group without values has nulls.
+    """
+    x = df.select(*by, F.col(value).cast("double").alias("_x"))
+    have = x.where(F.col("_x").isNotNull())
+    numbered = have.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_x")) - 1)
+    sizes = have.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_x").alias("mean"))
+    places = sizes.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_j", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_k").cast("string"), F.col("_j").cast("string"))), 1, 12), 16, 10).cast("long") % F.col("_n")
+    picked = places.select(*by, "_k", drawn.alias("_i")).groupBy(*by, "_k", "_i").agg(F.count("*").alias("_w"))
+    means = picked.join(numbered, [*by, "_i"]).groupBy(*by, "_k").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
+    tail = (1 - level) / 2
+    bounds = means.groupBy(*by).agg(F.percentile("_m", tail).alias("low"), F.percentile("_m", 1 - tail).alias("high"))
+    every = x.select(*by).distinct()
+    for part in (sizes.drop("_n"), bounds):
+        every = every.join(part, by, "left")
+    return every.select(*by, "mean", "low", "high")

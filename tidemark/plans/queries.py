@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns, native
-from ..operators import calibrate, calls, compare, condition, design, eb, general, hurdle, prep, pseudobulk, ranksum, scoring, simulate
+from ..operators import calibrate, calls, compare, condition, design, eb, general, hurdle, prep, pseudobulk, ranksum, scoring
 from ..operators.fdr import benjamini_hochberg
 from ..schema import average_rank
 from ..sources.mappings import ORDERS_BY_PART_SQL, documents_by_word, orders_by_part, table, users_by_event
@@ -725,15 +725,13 @@ def replicate_summary(spark, sf):
     return r.groupBy("celltype").agg(F.count("*").alias("n"), F.round(F.avg("b"), 4).alias("mean"), F.round(F.stddev_samp("b"), 4).alias("sd"), F.min("b").alias("low"), F.max("b").alias("high"), F.round(F.median("b"), 4).alias("median"), F.round(F.percentile("b", 0.25), 4).alias("q1"))
 
 
-@query()
+@query(BASE + """, v AS (SELECT celltype, donor, avg(balance) AS b FROM obs GROUP BY 1, 2), numbered AS (SELECT *, row_number() OVER (PARTITION BY celltype ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY celltype) AS n FROM v),
+drawn AS (SELECT celltype, k, CAST('0x' || substr(md5('0:' || k || ':' || j), 1, 12) AS BIGINT) % n AS i FROM (SELECT DISTINCT celltype, n FROM numbered), unnest(range(1, 2001)) AS a(k), unnest(range(0, n)) AS c(j)),
+m AS (SELECT celltype, k, avg(b) AS m FROM drawn JOIN numbered USING (celltype, i) GROUP BY 1, 2), e AS (SELECT celltype, avg(b) AS mean FROM v GROUP BY 1)
+SELECT celltype, round(any_value(e.mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN e USING (celltype) GROUP BY 1""")
 def bootstrap_ci(spark, sf):
     r = orders_by_part(spark, sf).obs.groupBy("celltype", "donor").agg(F.avg("balance").alias("b"))
-    return calibrate.bootstrap_mean(r, "b", ["celltype"])
-
-
-@query()
-def simulate_nb(spark, sf):
-    return simulate.simulate_counts(spark, 400, 60, scenario="donor")
+    return calibrate.bootstrap_mean(r, "b", ["celltype"]).select("celltype", *r6("mean", "low", "high"))
 
 
 # ---------------------------------------------------------------- preparation

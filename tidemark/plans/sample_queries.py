@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import mixed
+from ..functions import native
+from ..operators import condition, hurdle, mixed, penalised
 from ..sources.mappings import orders_by_part
-from .queries import BASE, query
+from . import tails_sql
+from .queries import BASE, query, with_stats
 
 # ---------------------------------------------------------------- donor random effects
 
@@ -96,3 +98,38 @@ def glmm_counts(spark, sf):
 def glmm_hurdle(spark, sf):
     m = orders_by_part(spark, sf)
     return mixed.glmm_hurdle(mixed.donor_sums(m.expr, m.obs, m.var))
+
+
+# ---------------------------------------------------------------- detection under a prior
+
+
+def _penalised_sql() -> str:
+    """The fold as a recursion over steps; ``m`` is 1 for the full model, 0 without a difference of the arms."""
+    s0, s1 = penalised.SCALES
+    p0, p1 = "(1 / (1 + exp(-b0)))", "(1 / (1 + exp(-b0 - b1)))"
+    w = f"SELECT *, n_ref * {p0} * (1 - {p0}) AS w0, n_test * {p1} * (1 - {p1}) AS w1 FROM fit WHERE it < {penalised.STEPS}"
+    g = f"SELECT *, w1 * (b0 + b1) + c_test - n_test * {p1} AS g1, w0 * b0 + c_ref - n_ref * {p0} AS g0 FROM ({w})"
+    a = f"SELECT *, w0 + w1 + 1 / v0 AS a00, CASE WHEN m = 1 THEN w1 ELSE 0 END AS a01, CASE WHEN m = 1 THEN w1 + 1 / v1 ELSE 1 END AS a11, g0 + g1 AS h0, CASE WHEN m = 1 THEN g1 ELSE 0 END AS h1 FROM ({g})"
+    x = f"SELECT *, (h0 * a11 - h1 * a01) / (a00 * a11 - a01 * a01) AS x0, (a00 * h1 - a01 * h0) / (a00 * a11 - a01 * a01) AS x1, a11 / (a00 * a11 - a01 * a01) AS q0, a00 / (a00 * a11 - a01 * a01) AS q1 FROM ({a})"
+    soft = lambda k, n, e: f"({k} * ({e}) - {n} * (greatest({e}, 0) + ln(1 + exp(-abs({e})))))"
+    return with_stats(10).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+fit(it, m, celltype, gene, c_ref, c_test, n_ref, n_test, b0, b1, v0, v1, se) AS (
+  SELECT 0, m, celltype, gene, c_ref::DOUBLE, c_test::DOUBLE, n_ref::DOUBLE, n_test::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, {s0 * s0}::DOUBLE, {s1 * s1}::DOUBLE, 0.0::DOUBLE FROM stats CROSS JOIN (VALUES (0), (1)) AS v(m) WHERE dd = 1
+  UNION ALL SELECT it + 1, m, celltype, gene, c_ref, c_test, n_ref, n_test, x0, x1, (x0 * x0 + q0 + {s0 * s0}) / 2, (x1 * x1 + q1 + {s1 * s1}) / 2, sqrt(q1) FROM ({x})),
+done AS (SELECT *, {soft('c_ref', 'n_ref', 'b0')} + {soft('c_test', 'n_test', 'b0 + b1')} AS ll FROM fit WHERE it = {penalised.STEPS}),
+pair AS (SELECT a.*, greatest(0.0, 2 * (a.ll - b.ll)) AS stat FROM done AS a JOIN done AS b USING (celltype, gene) WHERE a.m = 1 AND b.m = 0)
+SELECT celltype, gene, round(b0, 6) AS b0, round(b1, 6) AS b1, round(se, 6) AS se_b1, round(stat, 6) AS stat_detect, round(exp({tails_sql.chi2_log_tail('stat', '1')}), 6) AS p_detect,
+  round(stat + sc, 6) AS stat_hurdle, CASE WHEN dc = 1 THEN round(exp(-(stat + sc) / 2), 6) END AS p_hurdle
+FROM pair JOIN (SELECT celltype, gene, sc, dc FROM stats) AS s USING (celltype, gene)"""
+
+
+@query(_penalised_sql())
+def bias_reduced_detection(spark, sf):
+    """Detection under Cauchy priors, alone and with the continuous part."""
+    m = orders_by_part(spark, sf)
+    dense = hurdle.densify(hurdle.sufficient(m.expr, m.obs), condition.group_sizes(m.obs), m.var)
+    both = hurdle.continuous(penalised.detection(hurdle.describe(dense)), 10).where("df_detect = 1").withColumn("stat_hurdle", F.col("stat_detect") + F.col("stat_continuous"))
+    p = F.exp(native.chi2_log_tail(F.col("stat_detect"), F.lit(1))).alias("p_detect")
+    hurdle_p = F.when(F.col("df_continuous") == 1, F.exp(-F.col("stat_hurdle") / 2)).alias("p_hurdle")
+    out = both.select("celltype", "gene", "b0", "b1", "se_b1", "stat_detect", p, "stat_hurdle", hurdle_p)
+    return out.select("celltype", "gene", *[F.round(c, 6).alias(c) for c in out.columns[2:]])

@@ -34,7 +34,8 @@ def to_the_end(stream: DataFrame, label: str) -> DataFrame:
     spark = stream.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a shared folder")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
