@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import native
-from ..operators import condition, hurdle, mixed, penalised
+from ..operators import condition, hurdle, mixed, penalised, pseudobulk, weighted
+from ..operators.kept import keep
 from ..sources.mappings import orders_by_part
 from . import tails_sql
-from .queries import BASE, query, with_stats
+from .queries import BASE, WITH_PB, query, with_stats
 
 # ---------------------------------------------------------------- donor random effects
 
@@ -133,3 +134,139 @@ def bias_reduced_detection(spark, sf):
     hurdle_p = F.when(F.col("df_continuous") == 1, F.exp(-F.col("stat_hurdle") / 2)).alias("p_hurdle")
     out = both.select("celltype", "gene", "b0", "b1", "se_b1", "stat_detect", p, "stat_hurdle", hurdle_p)
     return out.select("celltype", "gene", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+# ---------------------------------------------------------------- precision weights and blocks
+
+_OVER = "(PARTITION BY celltype)"
+LIBRARIES = WITH_PB + f""", pbd AS (SELECT g.celltype, g.sample, g.donor, g.cond, v.gene, coalesce(pb.n, 0) AS n FROM good g CROSS JOIN var v LEFT JOIN pb ON pb.celltype = g.celltype AND pb.sample = g.sample AND pb.gene = v.gene),
+lib0 AS (SELECT celltype, sample, any_value(cond) AS cond, sum(n) AS lib FROM pbd GROUP BY 1, 2), arm AS (SELECT celltype, min(m) AS m FROM (SELECT celltype, cond, count(*) AS m FROM lib0 GROUP BY 1, 2) GROUP BY 1),
+cut AS (SELECT celltype, 10 / quantile_cont(lib, 0.5) * 1e6 AS cut, any_value(CASE WHEN m > 10 THEN 10 + (m - 10) * 0.7 ELSE m END) AS need FROM lib0 JOIN arm USING (celltype) GROUP BY 1),
+kept AS (SELECT celltype, gene FROM pbd JOIN lib0 USING (celltype, sample) JOIN cut USING (celltype) GROUP BY 1, 2 HAVING count(*) FILTER (n / lib * 1e6 >= cut) >= max(need) - 1e-14 AND sum(n) >= 15),
+x AS (SELECT * FROM pbd SEMI JOIN kept USING (celltype, gene)),
+lib AS (SELECT celltype, sample, sum(n)::DOUBLE AS lib, quantile_cont(n, 0.75) / sum(n) AS quartile FROM x GROUP BY 1, 2),
+ref AS (SELECT celltype, sample FROM (SELECT *, row_number() OVER (PARTITION BY celltype ORDER BY abs(quartile - mq), sample) AS r FROM (SELECT *, avg(quartile) OVER {_OVER} AS mq FROM lib)) WHERE r = 1),
+on_ref AS (SELECT celltype, gene, n AS rn, lib AS rl FROM x JOIN lib USING (celltype, sample) SEMI JOIN ref USING (celltype, sample) WHERE n > 0),
+pairs AS (SELECT celltype, sample, log2((n / lib) / (rn / rl)) AS ratio, (log2(n / lib) + log2(rn / rl)) / 2 AS mean, (1 - n / lib) / n + (1 - rn / rl) / rn AS v FROM x JOIN lib USING (celltype, sample) JOIN on_ref USING (celltype, gene) WHERE n > 0),
+placed AS (SELECT *, count(*) OVER s AS m, rank() OVER (PARTITION BY celltype, sample ORDER BY ratio) + (count(*) OVER (PARTITION BY celltype, sample, ratio) - 1) / 2.0 AS r1, rank() OVER (PARTITION BY celltype, sample ORDER BY mean) + (count(*) OVER (PARTITION BY celltype, sample, mean) - 1) / 2.0 AS r2 FROM pairs WINDOW s AS (PARTITION BY celltype, sample)),
+f AS (SELECT celltype, sample, CASE WHEN max(abs(ratio)) < 1e-6 THEN 0.0 ELSE sum(ratio / v) FILTER (v > 0) / sum(1 / v) FILTER (v > 0) END AS f FROM placed WHERE r1 BETWEEN floor(m * {weighted.TRIM_RATIO}) + 1 AND m - floor(m * {weighted.TRIM_RATIO}) AND r2 BETWEEN floor(m * {weighted.TRIM_MEAN}) + 1 AND m - floor(m * {weighted.TRIM_MEAN}) GROUP BY 1, 2),
+libs AS (SELECT celltype, sample, lib, pow(2, coalesce(f, 0) - avg(coalesce(f, 0)) OVER {_OVER}) AS factor FROM lib LEFT JOIN f USING (celltype, sample))"""
+POINTS = LIBRARIES + """, rows_ AS (SELECT x.*, lib * factor AS lib, log2((n + 0.5) / (lib * factor + 1) * 1e6) AS y FROM x JOIN libs USING (celltype, sample)),
+sums AS (SELECT celltype, gene, count(*) AS m, count(*) FILTER (cond = 0) AS w0, count(*) FILTER (cond = 1) AS w1, avg(y) FILTER (cond = 0) AS mean0, avg(y) FILTER (cond = 1) AS mean1, sum(y * y) AS q, avg(y) AS a, avg(log2(lib + 1)) AS l FROM rows_ GROUP BY 1, 2),
+points AS (SELECT celltype, gene, a + l - log2(1e6) AS x, sqrt(sqrt(greatest(q - w0 * mean0 * mean0 - w1 * mean1 * mean1, 0) / (m - 2))) AS y, mean0, mean1 FROM sums WHERE w0 > 0 AND w1 > 0 AND m > 2)"""
+
+
+def _between_sql(x: str) -> str:
+    at = f"least(greatest(({x} - lo) / step, 0.0), {weighted.PLACES - 1}.0)"
+    j = f"CAST(least(floor({at}), {weighted.PLACES - 2}) AS INTEGER)"
+    return f"(curve[{j} + 1] + ({at} - {j}) * (curve[{j} + 2] - curve[{j} + 1]))"
+
+
+def _trend_sql() -> str:
+    """CTEs up to ``curve`` (celltype, lo, step, curve): a round after the other."""
+    p = weighted.PLACES
+    out = POINTS + f""", extent AS (SELECT celltype, min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / {p - 1} AS step, greatest(least(count(*), CAST(floor({weighted.SPAN} * count(*) + 1e-7) AS BIGINT)), 2) AS k FROM points GROUP BY 1),
+spots AS (SELECT *, lo + j * step AS a FROM extent, unnest(range(0, {p})) AS u(j)), numbered AS (SELECT celltype, x, row_number() OVER (PARTITION BY celltype ORDER BY x, gene) AS r FROM points),
+runs AS (SELECT f.celltype, f.x AS head, l.x AS tail FROM numbered AS f JOIN extent USING (celltype) JOIN numbered AS l ON l.celltype = f.celltype AND l.r = f.r + k - 1),
+spot AS (SELECT celltype, j, any_value(a) AS a, any_value(lo) AS lo, any_value(hi) AS hi, any_value(step) AS step, min(greatest(a - head, tail - a)) AS h FROM spots JOIN runs USING (celltype) GROUP BY 1, 2),
+trust0 AS (SELECT celltype, x, y, 1.0::DOUBLE AS trust FROM points)"""
+    r = "abs(x - a)"
+    for k in range(weighted.ROUNDS + 1):
+        w = f"trust * CASE WHEN {r} <= 0.001 * h THEN 1.0 WHEN {r} <= 0.999 * h THEN pow(1 - pow({r} / h, 3), 3) ELSE 0.0 END"
+        out += f""", t{k} AS (SELECT celltype, j, any_value(lo) AS lo, any_value(hi) AS hi, any_value(step) AS step, sum(w) AS t0, sum(w * d) AS t1, sum(w * d * d) AS t2, sum(w * y) AS ty, sum(w * d * y) AS txy FROM (SELECT *, x - a AS d, {w} AS w FROM trust{k} JOIN spot USING (celltype)) WHERE w > 0 GROUP BY 1, 2),
+fit{k} AS (SELECT *, ty / t0 - (t1 / t0) * CASE WHEN sqrt(greatest(t2 / t0 - t1 / t0 * t1 / t0, 0)) > 0.001 * (hi - lo) THEN (txy / t0 - t1 / t0 * ty / t0) / (t2 / t0 - t1 / t0 * t1 / t0) ELSE 0.0 END AS fit FROM t{k}),
+curve{k} AS (SELECT celltype, any_value(lo) AS lo, any_value(step) AS step, list(fit ORDER BY j) AS curve FROM fit{k} GROUP BY 1)"""
+        if k < weighted.ROUNDS:
+            out += f""", rest{k} AS (SELECT celltype, x, y, abs(y - {_between_sql('x')}) AS rest FROM trust{k} JOIN curve{k} USING (celltype)),
+scale{k} AS (SELECT celltype, 6 * quantile_cont(rest, 0.5) AS c, avg(rest) AS m FROM rest{k} GROUP BY 1),
+trust{k + 1} AS (SELECT celltype, x, y, CASE WHEN c <= 1e-7 * m OR rest / c <= 0.001 THEN 1.0 WHEN rest / c <= 0.999 THEN pow(1 - pow(rest / c, 2), 2) ELSE 0.0 END AS trust FROM rest{k} JOIN scale{k} USING (celltype))"""
+    return out + f", curve AS (SELECT * FROM curve{weighted.ROUNDS})"
+
+
+WEIGHTED = _trend_sql() + f""", weighed AS (SELECT r.*, pow({_between_sql('(CASE WHEN cond = 0 THEN mean0 ELSE mean1 END + log2(lib + 1) - log2(1e6))')}, -4) AS w FROM rows_ AS r JOIN (SELECT celltype, gene, mean0, mean1 FROM points) USING (celltype, gene) JOIN curve USING (celltype))"""
+_WEIGHTED_FIT = """, ws AS (SELECT celltype, gene, count(*) AS m, sum(w) FILTER (cond = 0) AS w0, sum(w) FILTER (cond = 1) AS w1, sum(w * y) FILTER (cond = 0) AS s0, sum(w * y) FILTER (cond = 1) AS s1, sum(w * y * y) AS q FROM weighed GROUP BY 1, 2),
+wf AS (SELECT celltype, gene, s1 / w1 - s0 / w0 AS beta, (q - s0 * s0 / w0 - s1 * s1 / w1) / (m - 2) AS s2, 1 / w0 + 1 / w1 AS vcoef FROM ws)
+SELECT celltype, gene, round(beta, 6) AS beta, round(s2, 6) AS s2, round(beta / sqrt(s2 * vcoef), 6) AS t FROM wf"""
+
+
+def _samples_of(spark, sf):
+    m = orders_by_part(spark, sf)
+    pb = keep(pseudobulk.sums(m.expr, m.obs, pseudobulk.samples(m.obs), m.var), "samples")
+    return keep(weighted.expressed(pb), "expressed")
+
+
+def _weighed(spark, sf):
+    pb = _samples_of(spark, sf)
+    rows = weighted.log_counts(pb, keep(weighted.library_sizes(pb), "libraries"))
+    points = keep(weighted.trend_points(rows), "points")
+    return keep(weighted.weights(rows, points, weighted.trend(points)), "weights")
+
+
+def _six(*names):
+    return [F.round(c, 6).alias(c) for c in names]
+
+
+@query(WITH_PB + """, pbd AS (SELECT g.celltype, g.sample, v.gene, coalesce(pb.n, 0) AS n FROM good g CROSS JOIN var v LEFT JOIN pb ON pb.celltype = g.celltype AND pb.sample = g.sample AND pb.gene = v.gene),
+l AS (SELECT *, CASE WHEN n > 0 THEN ln(n) END AS log FROM pbd), g AS (SELECT celltype, gene, sum(log) / count(*) AS mean, min(n) > 0 AS whole FROM l GROUP BY 1, 2), a AS (SELECT celltype, bool_or(whole) AS any_whole FROM g GROUP BY 1),
+r AS (SELECT celltype, sample, quantile_cont(log - mean, 0.5) AS ratio, any_value(any_whole) AS any_whole FROM l JOIN g USING (celltype, gene) JOIN a USING (celltype) WHERE n > 0 AND (whole OR NOT any_whole) GROUP BY 1, 2)
+SELECT celltype, sample, round(exp(ratio - CASE WHEN any_whole THEN 0 ELSE avg(ratio) OVER (PARTITION BY celltype) END), 6) AS size FROM r""")
+def pb_size_factors(spark, sf):
+    m = orders_by_part(spark, sf)
+    return pseudobulk.size_factors(pseudobulk.sums(m.expr, m.obs, pseudobulk.samples(m.obs), m.var)).select("celltype", "sample", F.round("size", 6).alias("size"))
+
+
+@query(LIBRARIES + " SELECT celltype, sample, lib, round(factor, 6) AS factor FROM libs")
+def library_factors(spark, sf):
+    return weighted.library_sizes(_samples_of(spark, sf)).select("celltype", "sample", "lib", F.round("factor", 6).alias("factor"))
+
+
+@query(_trend_sql() + f" SELECT celltype, gene, round(x, 6) AS x, round(y, 6) AS y, round({_between_sql('x')}, 6) AS trend FROM points JOIN curve USING (celltype)")
+def precision_trend(spark, sf):
+    pb = _samples_of(spark, sf)
+    points = keep(weighted.trend_points(weighted.log_counts(pb, weighted.library_sizes(pb))), "points")
+    at = points.join(F.broadcast(weighted.trend(points)), "celltype").withColumn("trend", weighted._between(F.col("x")))
+    return at.select("celltype", "gene", *_six("x", "y", "trend"))
+
+
+@query(WEIGHTED + _WEIGHTED_FIT)
+def weighted_samples(spark, sf):
+    fit = weighted.weighted_fit(_weighed(spark, sf))
+    return fit.select("celltype", "gene", *_six("beta", "s2", "t"))
+
+
+def _blocks_sql() -> str:
+    """CTEs up to ``agreed`` (celltype, rho)."""
+    out = WEIGHTED.replace("WITH ", "WITH RECURSIVE ", 1) + """, blk AS (SELECT celltype, gene, donor, sum(w) AS v, coalesce(sum(w) FILTER (cond = 1), 0) AS v1, sum(w * y) AS s, coalesce(sum(w * y) FILTER (cond = 1), 0) AS s1, sum(w * y * y) AS q, count(*) AS n FROM weighed GROUP BY 1, 2, 3),
+grid0 AS (SELECT celltype, gene, greatest(1 / (1 - max(n)) + 0.01, -MOST) AS lo, MOST::DOUBLE AS hi FROM blk GROUP BY 1, 2 HAVING max(n) > 1)""".replace("MOST", str(weighted.MOST))
+    last = weighted.GRID - 1
+    for k in range(weighted.GRIDS):
+        out += f""", tried{k} AS (SELECT celltype, gene, lo, hi, i, lo + i * ((hi - lo) / {last}) AS rho FROM grid{k}, unnest(range(0, {weighted.GRID})) AS u(i)),
+c{k} AS (SELECT t.*, b.*, rho / (1 - rho) AS ratio, rho / (1 - rho) / (1 + rho / (1 - rho) * v) AS c FROM tried{k} AS t JOIN blk AS b USING (celltype, gene)),
+r{k} AS (SELECT celltype, gene, lo, hi, i, rho, sum(v - c * v * v) AS a, sum(v1 - c * v * v1) AS b, sum(v1 - c * v1 * v1) AS d, sum(s - c * v * s) AS e, sum(s1 - c * v1 * s) AS f, sum(q - c * s * s) AS q, sum(n) AS n, sum(CASE WHEN 1 + ratio * v > 0 THEN ln(1 + ratio * v) END) AS l, bool_and(1 + ratio * v > 0) AS ok FROM c{k} GROUP BY ALL),
+v{k} AS (SELECT *, a * d - b * b AS det, q - (e * (d * e - b * f) + f * (a * f - b * e)) / (a * d - b * b) AS rest FROM r{k}),
+best{k} AS (SELECT celltype, gene, any_value(lo) AS lo, any_value(hi) AS hi, arg_max(rho, -0.5 * (l + ln(det) + (n - 2) * ln(rest))) AS rho FROM v{k} WHERE ok AND det > 0 AND rest > 0 GROUP BY 1, 2),
+grid{k + 1} AS (SELECT celltype, gene, greatest(rho - (hi - lo) / {last}, lo) AS lo, least(rho + (hi - lo) / {last}, hi) AS hi FROM best{k})"""
+    return out + f""", z AS (SELECT *, 0.5 * ln((1 + rho) / (1 - rho)) AS z FROM best{weighted.GRIDS - 1}), zr AS (SELECT *, row_number() OVER (PARTITION BY celltype ORDER BY z, gene) AS r, count(*) OVER {_OVER} AS m FROM z),
+agreed AS (SELECT celltype, tanh(avg(z)) AS rho FROM zr WHERE r > floor(m * {weighted.TRIM_CONSENSUS}) AND r <= m - floor(m * {weighted.TRIM_CONSENSUS}) GROUP BY 1)"""
+
+
+BLOCKS = _blocks_sql()
+
+
+@query(BLOCKS + f" SELECT celltype, gene, round(best{weighted.GRIDS - 1}.rho, 4) AS rho, round(agreed.rho, 4) AS consensus FROM best{weighted.GRIDS - 1} JOIN agreed USING (celltype)")
+def block_correlation(spark, sf):
+    found = weighted.correlations(weighted.block_sums(_weighed(spark, sf))).where("rho IS NOT NULL")
+    found = keep(found, "correlations")
+    both = found.join(F.broadcast(weighted.consensus(found).withColumnRenamed("rho", "consensus")), "celltype")
+    return both.select("celltype", "gene", F.round("rho", 4).alias("rho"), F.round("consensus", 4).alias("consensus"))
+
+
+@query(BLOCKS + """, one AS (SELECT celltype, gene, donor, count(*) AS n, sum(sqrt(w)) AS u, coalesce(sum(sqrt(w)) FILTER (cond = 1), 0) AS u1, sum(sqrt(w) * y) AS z, sum(w) AS a, coalesce(sum(w) FILTER (cond = 1), 0) AS b, sum(w * y) AS d, coalesce(sum(w * y) FILTER (cond = 1), 0) AS e, sum(w * y * y) AS q FROM weighed GROUP BY 1, 2, 3),
+two AS (SELECT *, rho / (1 + (n - 1) * rho) AS c FROM one JOIN agreed USING (celltype)),
+g AS (SELECT celltype, gene, sum(n) AS m, sum(a - c * u * u) / (1 - any_value(rho)) AS a, sum(b - c * u * u1) / (1 - any_value(rho)) AS b, sum(b - c * u1 * u1) / (1 - any_value(rho)) AS c1, sum(d - c * u * z) / (1 - any_value(rho)) AS d, sum(e - c * u1 * z) / (1 - any_value(rho)) AS e, sum(q - c * z * z) / (1 - any_value(rho)) AS q FROM two GROUP BY 1, 2),
+h AS (SELECT *, (a * e - b * d) / (a * c1 - b * b) AS beta, (c1 * d - b * e) / (a * c1 - b * b) AS b0, a / (a * c1 - b * b) AS vcoef FROM g)
+SELECT celltype, gene, round(beta, 5) AS beta, round((q - b0 * d - beta * e) / (m - 2), 5) AS s2, round(beta / sqrt((q - b0 * d - beta * e) / (m - 2) * vcoef), 5) AS t FROM h""")
+def blocked_samples(spark, sf):
+    rows = _weighed(spark, sf)
+    fit = weighted.blocked_fit(rows, weighted.consensus(keep(weighted.correlations(weighted.block_sums(rows)), "correlations")))
+    return fit.select("celltype", "gene", *[F.round(c, 5).alias(c) for c in ("beta", "s2", "t")])
