@@ -8,9 +8,10 @@ import sys
 import duckdb
 import pytest
 from tidemark.plans import queries as q
+from tidemark.plans import sample_queries  # noqa: F401  (registers its queries)
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["group_sizes", "suff_stats", "gtest_detect", "gauss_lrt", "bh_fdr", "bh_masked", "pb_sums", "pb_welch", "combine_calls", "wilcoxon_z", "concordance", "roc_auc", "avg_precision", "ks_uniform", "fdr_matched", "icc_design_effect", "arm_offset", "donor_swap", "donor_swap_discoveries", "majority_label", "nb_params", "strict_skip_reasons", "streaming_windows", "missing_reasons", "claims", "order_sensitivity", "permutation_null", "stratified_sample", "consensus", "hurdle_full_statistics", "threshold_run_statistics", "words_by_quality_statistics", "events_by_user_statistics", "without_top_genes", "top_genes_in_order", "lookup_with_fallback", "sample_cell_counts", "first_and_all_labels", "gene_gate", "cells_with_counts", "value_checks", "donor_spread", "worst_genes", "aligned_to_genes", "order_overlap", "naive_tail_logit", "range_spec", "method_pairs"]
+FAST = ["group_sizes", "suff_stats", "gtest_detect", "gauss_lrt", "bh_fdr", "bh_masked", "pb_sums", "pb_welch", "combine_calls", "wilcoxon_z", "concordance", "roc_auc", "avg_precision", "ks_uniform", "fdr_matched", "icc_design_effect", "arm_offset", "donor_swap", "donor_swap_discoveries", "majority_label", "nb_params", "strict_skip_reasons", "streaming_windows", "missing_reasons", "claims", "order_sensitivity", "permutation_null", "stratified_sample", "consensus", "hurdle_full_statistics", "threshold_run_statistics", "words_by_quality_statistics", "events_by_user_statistics", "without_top_genes", "top_genes_in_order", "lookup_with_fallback", "sample_cell_counts", "first_and_all_labels", "gene_gate", "cells_with_counts", "value_checks", "donor_spread", "worst_genes", "aligned_to_genes", "order_overlap", "naive_tail_logit", "range_spec", "method_pairs", "hurdle_full", "eb_moderated", "threshold_run", "events_by_user", "bootstrap_ci", "glmm_detection", "bias_reduced_detection", "pb_size_factors", "library_factors"]
 
 
 @pytest.fixture(scope="module")
