@@ -160,7 +160,7 @@ def _arrays(column: pa.ListArray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     inside = np.arange(width) < size[:, None]
     out = {}
     for k, field in enumerate(flat.type):
-        if field.name != "donor":
+        if not pa.types.is_string(field.type) and field.name != "donor":
             wide = np.zeros(inside.shape)
             wide[inside] = flat.field(k).to_numpy(zero_copy_only=False)
             out[field.name] = wide

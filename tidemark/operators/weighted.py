@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,13 @@ from ..functions import native
 from ..schema import average_rank
 from .dealing import deal
 from .kept import small
+from .mixed import CELLS, _arrays
 
 PLACES, SPAN, ROUNDS = 101, 0.5, 3
 #: Shares of genes trimmed by ratio and by mean (fixed values of the method).
 TRIM_RATIO, TRIM_MEAN = 0.3, 0.05
-GRID, GRIDS, MOST, TRIM_CONSENSUS = 33, 4, 0.99, 0.15
+#: Points of a grid of correlations, and grids: the last has steps of about 0.0002, between which likelihoods still differ beyond rounding.
+GRID, GRIDS, MOST, TRIM_CONSENSUS = 33, 3, 0.99, 0.15
 
 
 def expressed(pb: DataFrame, least: int = 10, total: int = 15) -> DataFrame:
@@ -178,41 +182,51 @@ def block_sums(rows: DataFrame, block: str = "donor") -> DataFrame:
     return one.groupBy("celltype", "gene").agg(F.array_sort(F.collect_list(F.struct("block", "v", "v1", "s", "s1", "q", "n"))).alias("blocks"))
 
 
-def _restricted(rho: Column, blocks: Column) -> Column:
-    """Restricted log-likelihood at a correlation, without its constant; null where it has none."""
-    names = ("a", "b", "c", "d", "e", "q", "n", "l")
+def _restricted(ratio: np.ndarray, x: dict[str, np.ndarray]) -> np.ndarray:
+    """Restricted log-likelihoods, without their constant, of ratios (genes x tried) of block to residual variance; -inf where a covariance isn't one."""
+    v, v1, s, s1, q, n = (x[k][:, None, :] for k in ("v", "v1", "s", "s1", "q", "n"))
+    one = 1 + ratio[:, :, None] * v
+    c = ratio[:, :, None] / one
+    a, b, d = (t.sum(2) for t in (v - c * v * v, v1 - c * v * v1, v1 - c * v1 * v1))
+    e, f, g = (t.sum(2) for t in (s - c * v * s, s1 - c * v1 * s, q - c * s * s))
+    det = a * d - b * b
+    rest = g - (e * (d * e - b * f) + f * (a * f - b * e)) / det
+    value = -0.5 * (np.log(one).sum(2) + np.log(det) + (n.sum(2) - 2) * np.log(rest))
+    return np.where((one > 0).all(2) & (det > 0) & (rest > 0), value, -np.inf)
 
-    def add(t: Column, x: Column) -> Column:
-        def with_ratio(ratio: Column) -> Column:
-            c = ratio / (1 + ratio * x["v"])
-            moved = {"a": x["v"] - c * x["v"] * x["v"], "b": x["v1"] - c * x["v"] * x["v1"], "c": x["v1"] - c * x["v1"] * x["v1"], "d": x["s"] - c * x["v"] * x["s"], "e": x["s1"] - c * x["v1"] * x["s"], "q": x["q"] - c * x["s"] * x["s"], "n": x["n"].cast("double"), "l": F.when(1 + ratio * x["v"] > 0, F.ln(1 + ratio * x["v"]))}
-            return F.struct(*[(t[k] + moved[k]).alias(k) for k in names])
 
-        return native._with(rho / (1 - rho), with_ratio)
+def _best_correlation(x: dict[str, np.ndarray]) -> np.ndarray:
+    most = x["n"].max(1)
+    low, high = np.maximum(1 / (1 - np.maximum(most, 1.5)) + 0.01, -MOST), np.full(len(most), MOST)
+    rho = low
+    for _ in range(GRIDS):
+        step = (high - low) / (GRID - 1)
+        tried = low[:, None] + np.arange(GRID) * step[:, None]
+        at = _restricted(tried / (1 - tried), x).argmax(1)
+        rho = tried[np.arange(len(at)), at]
+        low, high = np.maximum(rho - step, low), np.minimum(rho + step, high)
+    return np.where(most > 1, rho, np.nan)
 
-    def value(t: Column) -> Column:
-        det = t["a"] * t["c"] - t["b"] * t["b"]
-        rest = t["q"] - (t["d"] * (t["c"] * t["d"] - t["b"] * t["e"]) + t["e"] * (t["a"] * t["e"] - t["b"] * t["d"])) / det
-        return F.when((det > 0) & (rest > 0), -0.5 * (t["l"] + F.ln(det) + (t["n"] - 2) * F.ln(rest)))
 
-    return F.aggregate(blocks, F.struct(*[F.lit(0.0).alias(k) for k in names]), add, value)
+def correlations(blocks: DataFrame) -> DataFrame:
+    """celltype, gene, rho: the correlation within blocks of greatest restricted likelihood, from just above the least one that blocks of that size can have.
 
+    Genes are dealt out and tried in Arrow batches; null where no block has two samples.
+    """
 
-def correlations(blocks: DataFrame) -> DataFrame:
-    """celltype, gene, rho: the correlation within blocks of greatest restricted likelihood, from just above the least one that blocks of that size can have."""
-    low = 1 / (1 - F.array_max(F.transform("blocks", lambda b: b["n"]))) + 0.01
-    start = F.struct(F.greatest(low, F.lit(-MOST)).cast("double").alias("lo"), F.lit(MOST).alias("hi"), F.lit(None).cast("double").alias("rho"))
-    rows = deal(blocks, "celltype", "gene").withColumn("_f", start)
-    # a grid a projection: expressions nested in each other take Spark's analysis long
-    for _ in range(GRIDS):
-        f = F.col("_f")
-        step = (f["hi"] - f["lo"]) / (GRID - 1)
-        places = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda k: F.struct((-k).alias("k"), (f["lo"] + k * step).alias("rho")))
-        tried = rows.withColumn("_tried", F.transform(places, lambda p: F.struct(_restricted(p["rho"], F.col("blocks")).alias("value"), p["k"].alias("k"), p["rho"].alias("rho"))))
-        best = tried.withColumn("_best", F.array_max(F.filter("_tried", lambda t: t["value"].isNotNull()))["rho"])
-        rows = best.withColumn("_f", F.struct(F.greatest(F.col("_best") - step, f["lo"]).alias("lo"), F.least(F.col("_best") + step, f["hi"]).alias("hi"), F.col("_best").alias("rho"))).drop("_tried", "_best")
-    some = F.array_max(F.transform("blocks", lambda b: b["n"])) > 1
-    return rows.select("celltype", "gene", F.when(some, F.col("_f.rho")).alias("rho"))
+    def run(batches):
+        for b in batches:
+            lists = b.column("blocks")
+            step = max(1, CELLS // (GRID * max(1, int(np.diff(lists.offsets.to_numpy()).max(initial=1)))))
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                held = part.column("blocks")
+                x, _ = _arrays(pa.ListArray.from_arrays(pa.array(held.offsets.to_numpy() - held.offsets[0].as_py()), held.flatten()))
+                with np.errstate(all="ignore"):
+                    rho = _best_correlation(x)
+                yield pa.RecordBatch.from_arrays([part.column("celltype"), part.column("gene"), pa.array(rho, from_pandas=True)], ["celltype", "gene", "rho"])
+
+    return deal(blocks, "celltype", "gene").select("celltype", "gene", "blocks").mapInArrow(run, "celltype string, gene string, rho double")
 
 
 def consensus(found: DataFrame) -> DataFrame:
