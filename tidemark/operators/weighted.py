@@ -52,7 +52,7 @@ def expressed(pb: DataFrame, least: int = 10, total: int = 15) -> DataFrame:
 def library_sizes(pb: DataFrame) -> DataFrame:
     """celltype, sample, lib, factor: sums, and factors from trimmed means of log ratios to the sample whose upper quartile is nearest their mean.
 
-    Ratios are weighted by their variances; the factors of a cell type have a geometric mean of 1.
+    Ratios are weighted by their variances, and tie where they agree to ten decimals; the factors of a cell type have a geometric mean of 1.
     """
     some = pb.groupBy("celltype", "gene").agg(F.sum("n").alias("all")).where("all > 0").select("celltype", "gene")
     rows = pb.join(some, ["celltype", "gene"], "left_semi")
@@ -65,7 +65,7 @@ def library_sizes(pb: DataFrame) -> DataFrame:
     pairs = sized.join(ref, ["celltype", "gene"]).select("celltype", "sample", F.log2(a / b).alias("ratio"), (F.log2(a) / 2 + F.log2(b) / 2).alias("mean"), ((1 - a) / F.col("n") + (1 - b) / F.col("rn")).alias("v"))
     one = ["celltype", "sample"]
     n = F.count("*").over(Window.partitionBy(*one))
-    ranked = pairs.select("*", n.alias("m"), average_rank(one, F.col("ratio")).alias("r1"), average_rank(one, F.col("mean")).alias("r2"))
+    ranked = pairs.select("*", n.alias("m"), average_rank(one, F.round("ratio", 10)).alias("r1"), average_rank(one, F.round("mean", 10)).alias("r2"))
     inside = lambda r, share: (F.col(r) >= F.floor(F.col("m") * share) + 1) & (F.col(r) <= F.col("m") - F.floor(F.col("m") * share))
     kept = ranked.where(inside("r1", TRIM_RATIO) & inside("r2", TRIM_MEAN))
     log_factor = F.when(F.max(F.abs("ratio")) < 1e-6, 0.0).otherwise(F.try_divide(F.sum(F.try_divide("ratio", "v")), F.sum(F.try_divide(F.lit(1.0), "v"))))

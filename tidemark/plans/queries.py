@@ -238,8 +238,8 @@ adj AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(ratio) OVER ({rank
     then = lambda x, d=6: f"CASE WHEN skip = '' THEN round({x}, {d}) END"
     count = lambda x: f"CASE WHEN skip = '' THEN CAST({x} AS INTEGER) END"
     columns = {
-        "primerid": "gene", "gene": "gene", "coef": then("s_test / n_test - s_ref / n_ref"), "coef_continuous": f"CASE WHEN dc = 1 THEN {then('s_test / c_test - s_ref / c_ref')} END", '"Pr(>Chisq)"': "round(p, 7)", "pvalue": "round(p, 7)",
-        "fdr": "round(q, 6)", "neglog10p": "round(-lh / ln(10), 6)", "p_detect": then("exp(ld)", 7), "p_continuous": then("exp(lc)", 7), "stat_detect": then("sd"), "stat_continuous": then("sc"), "stat_hurdle": then("sd + sc"),
+        "primerid": "gene", "gene": "gene", "coef": then("s_test / n_test - s_ref / n_ref"), "coef_continuous": f"CASE WHEN dc = 1 THEN {then('s_test / c_test - s_ref / c_ref')} END", '"Pr(>Chisq)"': "round(p, 5)", "pvalue": "round(p, 5)",
+        "fdr": "round(q, 6)", "neglog10p": "round(-lh / ln(10), 6)", "p_detect": then("exp(ld)", 5), "p_continuous": then("exp(lc)", 5), "stat_detect": then("sd"), "stat_continuous": then("sc"), "stat_hurdle": then("sd + sc"),
         "df_detect": count("dd"), "df_continuous": count("dc"), "df_hurdle": count("dd + dc"), "n_cells": "n_cells", "n_ref": "n_ref", "n_test": "n_test", "n_positive": "n_positive", "n_positive_ref": "c_ref", "n_positive_test": "c_test",
         "detect_rate_ref": "round(c_ref / n_ref::DOUBLE, 6)", "detect_rate_test": "round(c_test / n_test::DOUBLE, 6)", "detection_separated": "c_ref = 0 OR c_ref = n_ref OR c_test = 0 OR c_test = n_test",
         "mean_expr_ref": "round(s_ref / n_ref, 6)", "mean_expr_test": "round(s_test / n_test, 6)", "celltype": "celltype", "comparison": "'ref_vs_test'", "ref_level": "'ref'", "test_level": "'test'", "lrt_term": "'conditiontest'",
@@ -249,9 +249,9 @@ adj AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(ratio) OVER ({rank
 
 
 def _whole_rounded(result: DataFrame) -> DataFrame:
-    """p-values to seven decimals, other real numbers to six."""
-    seven = {"pvalue", "Pr(>Chisq)", "p_detect", "p_continuous"}
-    return result.select(*[F.round(F.col(f"`{n}`"), 7 if n in seven else 6).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in result.dtypes])
+    """p-values to five decimals (a statistic of 0 but for rounding has a p of nearly 1), other real numbers to six."""
+    five = {"pvalue", "Pr(>Chisq)", "p_detect", "p_continuous"}
+    return result.select(*[F.round(F.col(f"`{n}`"), 5 if n in five else 6).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in result.dtypes])
 
 
 @query(_whole_sql(False))

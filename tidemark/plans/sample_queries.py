@@ -148,7 +148,7 @@ lib AS (SELECT celltype, sample, sum(n)::DOUBLE AS lib, quantile_cont(n, 0.75) /
 ref AS (SELECT celltype, sample FROM (SELECT *, row_number() OVER (PARTITION BY celltype ORDER BY abs(quartile - mq), sample) AS r FROM (SELECT *, avg(quartile) OVER {_OVER} AS mq FROM lib)) WHERE r = 1),
 on_ref AS (SELECT celltype, gene, n AS rn, lib AS rl FROM x JOIN lib USING (celltype, sample) SEMI JOIN ref USING (celltype, sample) WHERE n > 0),
 pairs AS (SELECT celltype, sample, log2((n / lib) / (rn / rl)) AS ratio, (log2(n / lib) + log2(rn / rl)) / 2 AS mean, (1 - n / lib) / n + (1 - rn / rl) / rn AS v FROM x JOIN lib USING (celltype, sample) JOIN on_ref USING (celltype, gene) WHERE n > 0),
-placed AS (SELECT *, count(*) OVER s AS m, rank() OVER (PARTITION BY celltype, sample ORDER BY ratio) + (count(*) OVER (PARTITION BY celltype, sample, ratio) - 1) / 2.0 AS r1, rank() OVER (PARTITION BY celltype, sample ORDER BY mean) + (count(*) OVER (PARTITION BY celltype, sample, mean) - 1) / 2.0 AS r2 FROM pairs WINDOW s AS (PARTITION BY celltype, sample)),
+placed AS (SELECT *, count(*) OVER s AS m, rank() OVER (PARTITION BY celltype, sample ORDER BY round(ratio, 10)) + (count(*) OVER (PARTITION BY celltype, sample, round(ratio, 10)) - 1) / 2.0 AS r1, rank() OVER (PARTITION BY celltype, sample ORDER BY round(mean, 10)) + (count(*) OVER (PARTITION BY celltype, sample, round(mean, 10)) - 1) / 2.0 AS r2 FROM pairs WINDOW s AS (PARTITION BY celltype, sample)),
 f AS (SELECT celltype, sample, CASE WHEN max(abs(ratio)) < 1e-6 THEN 0.0 ELSE sum(ratio / v) FILTER (v > 0) / sum(1 / v) FILTER (v > 0) END AS f FROM placed WHERE r1 BETWEEN floor(m * {weighted.TRIM_RATIO}) + 1 AND m - floor(m * {weighted.TRIM_RATIO}) AND r2 BETWEEN floor(m * {weighted.TRIM_MEAN}) + 1 AND m - floor(m * {weighted.TRIM_MEAN}) GROUP BY 1, 2),
 libs AS (SELECT celltype, sample, lib, pow(2, coalesce(f, 0) - avg(coalesce(f, 0)) OVER {_OVER}) AS factor FROM lib LEFT JOIN f USING (celltype, sample))"""
 POINTS = LIBRARIES + """, rows_ AS (SELECT x.*, lib * factor AS lib, log2((n + 0.5) / (lib * factor + 1) * 1e6) AS y FROM x JOIN libs USING (celltype, sample)),
