@@ -247,3 +247,27 @@ def test_discoveries(spark):
     out = {r.split_id: r.asDict() for r in calibrate.discoveries(spark.createDataFrame(rows, "split_id int, celltype string, gene string, fdr double"), F.col("gene") == "a").collect()}
     assert out[0] == {"split_id": 0, "celltype": "T", "n_tested": 2, "n_tested_listed": 1, "n_discoveries": 1, "n_discoveries_listed": 1, "listed_discoveries": "a", "rejection_pct": 50.0, "any_discovery": True}
     assert out[1]["rejection_pct"] == 0.0 and not out[1]["any_discovery"] and out[1]["listed_discoveries"] == ""
+
+
+def test_covariate_fits_hold_patterns_not_cells(spark, data, monkeypatch):
+    """Cells alike are one row of a fit, whatever their number; fits in blocks of patterns are those of all cells at once."""
+    expr, obs, _ = data
+    expr = expr.where("gene IN ('g00', 'g03', 'g07', 'constant')")
+    expr = expr.unionByName(expr.where("gene = 'g03' AND cell_id < 40"))  # a pair listed twice is detected once
+    cells = obs.withColumns({"cond": condition.by_label(F.col("condition"), "ctrl"), "age": F.round("age", 1)})
+    whole = general.fit_genes("T", expr.toPandas(), cells.toPandas(), ["age", "donor"], 10, False, "chisq").set_index("gene").sort_index()
+    for size in (10**6, 60):
+        monkeypatch.setattr(general, "PATTERNS", size)
+        got = general.fit_all(expr, cells, ["age", "donor"], 10).toPandas().set_index("gene").sort_index()
+        pd.testing.assert_frame_equal(got.astype({"dfres": "Int64"}), whole, rtol=1e-7, atol=1e-9, check_dtype=False)
+    # twice the cells, the same patterns: the tables that tasks hold don't grow
+    kept = {}
+    monkeypatch.setattr(general, "PATTERNS", 10**6)
+    monkeypatch.setattr(general, "keep", lambda df, label, write=general.keep: kept.setdefault(label, write(df, label)))
+    few, sizes = cells.withColumn("age", F.round("age", 0)), []
+    twice = lambda df: df.unionByName(df.withColumn("cell_id", F.col("cell_id") + 1000))
+    for e, c in ((expr, few), (twice(expr), twice(few))):
+        kept.clear()
+        general.fit_all(e, c, ["age"], 10)
+        sizes.append([kept[k].count() for k in ("cells", "patterns", "values")])
+    assert sizes[1] == [600, *sizes[0][1:]] and sizes[0][1] < 20
