@@ -1,10 +1,12 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import special
-from tidemark.operators import calibrate, calls, condition, design, general, hurdle, nb, pseudobulk
+from tidemark.operators import calibrate, calls, condition, design, general, hurdle, nb, prep, pseudobulk
 from tidemark.operators.fdr import benjamini_hochberg
 from tidemark.plans import api
 from tidemark.schema import RESULT
@@ -271,3 +273,16 @@ def test_covariate_fits_hold_patterns_not_cells(spark, data, monkeypatch):
         general.fit_all(e, c, ["age"], 10)
         sizes.append([kept[k].count() for k in ("cells", "patterns", "values")])
     assert sizes[1] == [600, *sizes[0][1:]] and sizes[0][1] < 20
+
+
+def test_contract_rules_go_over_parts_that_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(prep, "ROWS", 100, raising=False)
+    obs = [(c, c % 2, c % 8) for c in range(200)] + [(7, 1, 7), (201, 2, 9), (202, None, 9), (203, 1, 3), (204, 0, 3)]
+    counts = [(c, f"g{g}", float(c % 5)) for c in range(200) for g in range(4)] + [(7, "g1", 1.0), (8, "g2", 2.0), (8, "g2", 2.0), (900, "g0", 1.5), (901, "g0", -1.0), (None, "g0", float("nan"))]
+    obs, counts = spark.createDataFrame(obs, "cell_id long, cond int, donor long"), spark.createDataFrame(counts, "cell_id long, gene string, n double")
+    out = prep.check_contract(obs, counts, unpaired=True)
+    assert {r.rule: r.violations for r in out.collect()} == {"cell_id_unique": 1, "condition_known": 2, "counts_whole": 3, "pairs_unique": 2, "cells_known": 3, "donor_in_one_condition": 1}
+    assert len(prep.check_contract(obs.drop("donor"), counts).collect()) == 5
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # 806 values in parts of 100: as many tasks for the rules on cells and pairs, which aren't joined again
+    assert re.search(r"hashpartitioning\(cell_id#\d+L?, 9\), REPARTITION_BY_NUM", plan)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import keep
+
 SCALE = 1e4
+#: Rows of a part whose keys a task holds at once, on average.
+ROWS = 500_000
 
 
 def cp10k(counts: DataFrame) -> DataFrame:
@@ -129,13 +135,20 @@ def library(name: Column) -> Column:
 
 
 def check_contract(obs: DataFrame, counts: DataFrame, unpaired: bool = False) -> DataFrame:
-    """(rule, violations): unique cells, known conditions, counts whole, finite and not negative, known cells, donors in one condition."""
+    """(rule, violations): unique cells, known conditions, counts whole, finite and not negative, known cells, donors in one condition.
+
+    Both tables are written once, for all rules; rules on cells and pairs go over parts of at most some ROWS rows, by cell.
+    """
+    obs = keep(obs.select("cell_id", "cond", *["donor"] * unpaired), "obs")
+    counts = keep(counts.select("cell_id", "gene", "n"), "counts")
+    parts = max(1, math.ceil(max(obs.count(), counts.count()) / ROWS))
+    cells, pairs = (df.select(*c).repartition(parts, "cell_id") for df, c in ((obs, ["cell_id"]), (counts, ["cell_id", "gene"])))
     rules = [
-        obs.groupBy("cell_id").count().where("count > 1").agg(F.lit("cell_id_unique").alias("rule"), F.count("*").alias("violations")),
+        cells.groupBy("cell_id").count().where("count > 1").agg(F.lit("cell_id_unique").alias("rule"), F.count("*").alias("violations")),
         obs.where("cond IS NULL OR cond NOT IN (0, 1)").agg(F.lit("condition_known").alias("rule"), F.count("*").alias("violations")),
         counts.where((F.col("n") < 0) | F.isnan(F.col("n").cast("double")) | (F.col("n") != F.rint("n"))).agg(F.lit("counts_whole").alias("rule"), F.count("*").alias("violations")),
-        counts.groupBy("cell_id", "gene").count().where("count > 1").agg(F.lit("pairs_unique").alias("rule"), F.count("*").alias("violations")),
-        counts.join(obs, "cell_id", "left_anti").agg(F.lit("cells_known").alias("rule"), F.count("*").alias("violations")),
+        pairs.groupBy("cell_id", "gene").count().where("count > 1").agg(F.lit("pairs_unique").alias("rule"), F.count("*").alias("violations")),
+        pairs.join(cells, "cell_id", "left_anti").agg(F.lit("cells_known").alias("rule"), F.count("*").alias("violations")),
     ]
     if unpaired:
         rules.append(obs.groupBy("donor").agg(F.count_distinct("cond").alias("k")).where("k > 1").agg(F.lit("donor_in_one_condition").alias("rule"), F.count("*").alias("violations")))
